@@ -39,7 +39,7 @@ class Subwords:
     ``fold`` lower-cases first; ``letters`` splits words at all ASCII but letters and digits, else at white space.
     """
 
-    bits: int = 18
+    bits: int = 20
     least: int = 3
     most: int = 5
     fold: bool = False
@@ -93,75 +93,98 @@ def _pieces(text: str):
 
 @dataclass
 class Model:
-    """``margin`` of a text: mean of its features' weights; score: logistic of scale * margin + offset."""
+    """``margin`` of a text: sum of its features' weights over their number plus ``prior``; score: logistic of that."""
 
     how: Subwords
     weight: np.ndarray  # of each bucket: its vector times the softmax layer's difference of class 1 and class 0
+    prior: float
     scale: float
     offset: float
 
     def margin(self, text: str | None) -> float:
         total, n = 0.0, 0
         for b in self.how.buckets(text):
-            total += float(self.weight[b].sum(dtype=np.float64))
+            total += float(self.weight[b].sum())
             n += len(b)
-        return total / n if n else 0.0
+        return total / (n + self.prior)
 
     def score(self, text: str | None) -> float:
         return float(1 / (1 + np.exp(-np.clip(self.scale * self.margin(text) + self.offset, -60, 60))))
 
 
-def train(texts: list[str], labels: list[int], how: Subwords, dim: int = 8, epochs: int = 12, rate: float = 0.1, min_docs: int = 3, decay: float = 1e-6, seed: int = 7) -> Model:
-    """Vectors of all features and the softmax layer, trained together by stochastic gradient descent.
+def train(
+    texts: list[str], labels: list[int], how: Subwords, dim: int = 8, epochs: int = 8, rate: float = 1.0, prior: float = 200.0,
+    min_docs: int = 10, min_z: float = 5.0, seed: int = 7,
+) -> Model:
+    """Vectors of hashed features and the softmax layer, trained together by stochastic gradient descent.
 
-    Each step takes one document: the mean of its feature vectors goes through the softmax, and the gradient goes back
-    into the layer and into each vector, with a step that shrinks with the vector's past gradients. Features in fewer than
-    ``min_docs`` documents keep weight 0. A fifth of the documents is left out of this to fit scale and offset.
+    Each step takes one document: the average of its feature vectors (over its features and ``prior`` empty ones, so that a
+    few words say little) goes through the softmax, and the gradient goes back into the layer and the vectors. Features
+    are scaled by the inverse root of their deviation. Vectors are learned for features in ``min_docs`` documents or
+    more whose presence or share differs between the classes by ``min_z`` standard errors; all others keep weight 0.
+    A fifth of the documents is left out of this: the epoch that does best on it stays, and it fits scale and offset.
     Without documents, or with one class only, every score is that class's share (0.5 without documents).
     """
     size = 1 << how.bits
-    share = float(np.mean(labels)) if labels else 0.5
-    flat = Model(how, np.zeros(size, np.float32), 1.0, float(np.clip(np.log((share + 1e-4) / (1 - share + 1e-4)), -8, 8)))
+    y = np.array(labels, np.int64)
+    share = float(y.mean()) if len(y) else 0.5
     if len(set(labels)) < 2:
-        return flat
+        return Model(how, np.zeros(size, np.float32), prior, 1.0, float(np.clip(np.log((share + 1e-4) / (1 - share + 1e-4)), -8, 8)))
     rng = np.random.default_rng(seed)
-    docs, seen = [], np.zeros(size, np.int32)
-    for t in texts:
+
+    def features(t: str) -> tuple[np.ndarray, np.ndarray]:
         parts = list(how.buckets(t))
         u, c = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, np.int64), np.zeros(0))
-        docs.append((u, (c / max(c.sum(), 1)).astype(np.float32)))
-        seen[u] += 1
-    docs = [(u[k], c[k]) for u, c in docs for k in [seen[u] >= min_docs]]
-    y = np.array(labels)
-    order = rng.permutation(len(docs))
-    checked, used = order[: len(order) // 5], order[len(order) // 5 :]
-    E = ((rng.random((size, dim)) - 0.5) / dim).astype(np.float32)
-    past = np.zeros(size, np.float32)
-    W = ((rng.random((2, dim)) - 0.5)).astype(np.float32)
+        return u, (c / (c.sum() + prior)).astype(np.float32)
+
+    seen, mean = np.zeros((2, size), np.float32), np.zeros((2, size), np.float32)
+    square = np.zeros(size, np.float32)
+    for t, k in zip(texts, labels, strict=True):
+        u, x = features(t)
+        seen[k][u] += 1
+        mean[k][u] += x
+        square[u] += x * x
+    n = len(y)
+    n1, n0 = y.sum(), n - y.sum()
+    error = 1 / n1 + 1 / n0
+    p = seen.sum(axis=0) / n
+    deviation = np.sqrt(np.maximum(square / n - (mean.sum(axis=0) / n) ** 2, 1e-18))
+    z = np.abs(seen[1] / n1 - seen[0] / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-6) * error)
+    z = np.maximum(z, np.abs(mean[1] / n1 - mean[0] / n0) / (deviation * np.sqrt(error)))
+    used = (seen.sum(axis=0) >= min(min_docs, max(2, n // 20))) & (z >= min_z)
+    scale = np.where(used, deviation**-0.5, 0).astype(np.float32)
+    docs = [(u[k], x[k] * scale[u[k]]) for u, x in map(features, texts) for k in [used[u]]]  # anew, to hold only those used
+    order = rng.permutation(n)
+    checked, fitted = order[: n // 5], order[n // 5 :]
+    if len(set(y[checked].tolist())) < 2:
+        checked = fitted = order
+    E = ((rng.random((size, dim)) - 0.5) * 1e-4).astype(np.float32)
+    W = (rng.random((2, dim)) - 0.5).astype(np.float32)
     bias = np.zeros(2, np.float32)
+    step = rate / max(float(np.mean([x @ x for _, x in docs])), 1e-12)
+    best = (np.inf, None)
     for epoch in range(epochs):
-        step = rate * (1 - epoch / epochs)
-        for i in rng.permutation(used):
-            u, c = docs[i]
-            if not len(u):
-                continue
+        now = step * (1 - epoch / epochs)
+        for i in rng.permutation(fitted):
+            u, x = docs[i]
             v = E[u]
-            h = c @ v
-            o = W @ h * 10 + bias
+            h = x @ v
+            o = W @ h + bias
             e = np.exp(o - o.max())
             g = e / e.sum()
             g[y[i]] -= 1
-            back = (g @ W) * 10
-            W -= step * (np.outer(g, h) * 10 + 1e-4 * W)
-            bias -= step * 0.1 * g
-            past[u] += (c * c) * float(back @ back)
-            E[u] = v * (1 - decay) - (step * c / np.sqrt(past[u] + 1e-12))[:, None] * back
-    weight = (E @ (W[1] - W[0])).astype(np.float32) * 10
-    weight[seen < min_docs] = 0
-    m = np.array([c @ weight[u] for u, c in docs], np.float64)
-    fit = checked if len(set(y[checked].tolist())) == 2 and len(checked) >= 20 else np.arange(len(docs))
-    a, b = _logistic(m[fit], y[fit])
-    return Model(how, weight, a, b)
+            back = g @ W
+            W -= 0.02 * np.outer(g, h) / max(1.0, float(np.abs(h).max()))
+            bias -= 0.02 * g
+            E[u] = v - (now * x)[:, None] * back
+        w = E @ (W[1] - W[0])
+        m = np.array([x @ w[u] for u, x in docs], np.float64)
+        a, b = _logistic(m[checked], y[checked])
+        q = 1 / (1 + np.exp(-np.clip(a * m[checked] + b, -30, 30)))
+        loss = -np.log(np.where(y[checked] == 1, q, 1 - q) + 1e-12).mean()
+        if loss < best[0]:
+            best = (loss, Model(how, (w * scale).astype(np.float32), prior, a, b))
+    return best[1]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:

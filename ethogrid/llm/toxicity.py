@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ethogrid.llm.common import held_out, table
 from ethogrid.llm.subword import Model, Subwords, labelled_sample, train, with_score
 
-SAMPLE = 6000  # labelled documents that the classifier is fitted on at most
+SAMPLE = 10000  # labelled documents that the classifier is fitted on at most
 THRESHOLD = 0.7
 FOLDS, HELD = 3, 1
 
