@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from ethogrid.llm import decontaminate
+from ethogrid.llm import decontaminate, warc
 from ethogrid.llm.decontaminate import op5_benchmark_decontamination
 from ethogrid.llm.quality import op1_quality_classifier
 from ethogrid.llm.sstable import op2_token_sstable
 from ethogrid.llm.simhash import op7_simhash_near_dedup
 from ethogrid.llm.suffix_dedup import op10_suffix_array_dedup
 from ethogrid.llm.toxicity import op3_toxicity
+from ethogrid.llm.warc import op9_warc
 
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
@@ -16,9 +17,11 @@ QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
+    "op9_warc": op9_warc,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }
 
 ORACLE_SQL = {
     "op5_benchmark_decontamination": decontaminate.ORACLE,
+    "op9_warc": warc.ORACLE,
 }

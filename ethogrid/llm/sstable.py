@@ -332,7 +332,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END
     encoded = docs.select("doc_id", "text").mapInArrow(encode, "doc_id long, value binary")
     n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = encoded.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "value")
-    return written(ordered.mapInArrow(write, "shard int, path string, entries long, ids long"), "manifest")
+    return written(ordered.mapInArrow(write, "shard long, path string, entries long, ids long"), "manifest")
 
 
 _encoders: dict[str, Encoder] = {}
