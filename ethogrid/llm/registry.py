@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from ethogrid.llm import decontaminate, warc
+from ethogrid.llm import balltree, decontaminate, warc
+from ethogrid.llm.balltree import op8_exact_top_k
 from ethogrid.llm.decontaminate import op5_benchmark_decontamination
+from ethogrid.llm.packing import op6_best_fit_packing
 from ethogrid.llm.quality import op1_quality_classifier
 from ethogrid.llm.sstable import op2_token_sstable
 from ethogrid.llm.simhash import op7_simhash_near_dedup
@@ -16,12 +18,15 @@ QUERIES = {
     "op2_token_sstable": op2_token_sstable,
     "op3_toxicity": op3_toxicity,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
+    "op6_best_fit_packing": op6_best_fit_packing,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
+    "op8_exact_top_k": op8_exact_top_k,
     "op9_warc": op9_warc,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }
 
 ORACLE_SQL = {
     "op5_benchmark_decontamination": decontaminate.ORACLE,
+    "op8_exact_top_k": balltree.ORACLE,
     "op9_warc": warc.ORACLE,
 }
