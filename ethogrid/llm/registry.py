@@ -5,6 +5,7 @@ from __future__ import annotations
 from ethogrid.llm import balltree, decontaminate, warc
 from ethogrid.llm.balltree import op8_exact_top_k
 from ethogrid.llm.decontaminate import op5_benchmark_decontamination
+from ethogrid.llm.htmltext import op4_html_extraction
 from ethogrid.llm.packing import op6_best_fit_packing
 from ethogrid.llm.quality import op1_quality_classifier
 from ethogrid.llm.sstable import op2_token_sstable
@@ -17,6 +18,7 @@ QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_token_sstable": op2_token_sstable,
     "op3_toxicity": op3_toxicity,
+    "op4_html_extraction": op4_html_extraction,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
