@@ -250,7 +250,7 @@ def cut_out(text: str | None, spans) -> tuple[bytes, int, int]:
     data = _utf8(text)
     kept, at, runs = [], 0, 0
     end = -1
-    for s, e in sorted((x["s"], x["e"]) for x in spans or ()):
+    for s, e in sorted((x["s"], x["e"]) for x in (() if spans is None else spans)):
         if s > end:
             runs += 1
             kept.append(data[at:s])
