@@ -286,40 +286,35 @@ class Encoder:
 def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, shards: int | None = None) -> DataFrame:
     """Encodes ``docs`` (doc_id, text) and writes shards in ascending doc_id order into ``folder``; returns their manifest.
 
-    Ids are dealt out by range of doc_id, so shard after shard is in order. A shard is written under an attempt's own
+    Texts are dealt out by range of doc_id, so shard after shard is in order, and encoded after that: what finds the ranges looks
+    at ids alone, and each text is encoded once. A shard is written under an attempt's own
     name and then renamed, so a task that is run again leaves one whole file. The manifest (shard, path, entries, ids), a row a shard,
-    is a written table. Repeated ids stay, ordered by their ids' bytes; rows with a null id come first.
+    is a written table. Rows that repeat an id stay, ordered by text; rows with a null id come first.
     """
     spark = docs.sparkSession
 
-    def encode(batches):
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        enc = _encoder(tokenizer)
-        for b in batches:
-            doc, text = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for i in range(0, len(doc), 256):
-                got = enc.ids(text[i : i + 256])
-                values = [pack_ids(np.append(x, x.dtype.type(end_id))) for x in got]
-                yield pa.RecordBatch.from_arrays([pa.array(doc[i : i + 256], pa.int64()), pa.array(values, pa.binary())], ["doc_id", "value"])
-
     def write(batches):
+        import os
         import uuid
 
         from pyspark import TaskContext
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        enc = _encoder(tokenizer)
         fs, root = filesystem(folder)
         part = TaskContext.get().partitionId()
         name, temporary = f"{root}/shard-{part:06d}.sst", f"{root}/.attempt-{uuid.uuid4().hex}"
         entries = None
         for b in batches:
-            for doc, value in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if entries is None:
-                    fs.create_dir(root, recursive=True)
-                    out = fs.open_output_stream(temporary)
-                    entries = Writer(out)
-                entries.add(key_of(doc), value, (len(value) - 1) // value[0])
+            docs, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+            if docs and entries is None:
+                fs.create_dir(root, recursive=True)
+                out = fs.open_output_stream(temporary)
+                entries = Writer(out)
+            for i in range(0, len(docs), 256):
+                for doc, ids in zip(docs[i : i + 256], enc.ids(texts[i : i + 256]), strict=True):
+                    ids = np.append(ids, ids.dtype.type(end_id))
+                    entries.add(key_of(doc), pack_ids(ids), len(ids))
         if entries is None:
             return
         entries.finish()
@@ -329,9 +324,9 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END
         fs.move(temporary, name)
         yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (part, f"shard-{part:06d}.sst", entries.entries, entries.ids)], ["shard", "path", "entries", "ids"])
 
-    encoded = docs.select("doc_id", "text").mapInArrow(encode, "doc_id long, value binary")
     n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = encoded.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "value")
+    order = F.col("doc_id").asc_nulls_first()
+    ordered = docs.select("doc_id", "text").repartitionByRange(n, order).sortWithinPartitions(order, "text")
     return written(ordered.mapInArrow(write, "shard long, path string, entries long, ids long"), "manifest")
 
 
