@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from ethogrid.plans import behaviour, behaviour_sql
 
-
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+QUERIES = dict(behaviour.QUERIES)
+ORACLE_SQL = dict(behaviour_sql.ORACLE)
+flagship = behaviour.flagship
