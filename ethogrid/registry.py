@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from ethogrid.plans import behaviour, behaviour_sql
+from ethogrid.plans import behaviour, behaviour_sql, subjects
 
-QUERIES = dict(behaviour.QUERIES)
-ORACLE_SQL = dict(behaviour_sql.ORACLE)
+QUERIES = behaviour.QUERIES | subjects.QUERIES
+ORACLE_SQL = behaviour_sql.ORACLE | subjects.ORACLE
 flagship = behaviour.flagship
