@@ -140,7 +140,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, part_bytes: int = PART_
     windows. Repeated benchmark rows count once, since an item is its id; windows of an item without id mark words but
     name no item. Null or empty document text: no words. Empty benchmark: nothing is hit. Other columns are ignored.
     """
-    marked = mark_contamination(docs.select("doc_id", "text"), benchmark, part_bytes)
+    marked = mark_contamination(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark, part_bytes)
 
     def close(batches):
         for b in batches:

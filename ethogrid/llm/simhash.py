@@ -6,7 +6,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ethogrid.llm.common import table, written
@@ -50,7 +50,7 @@ def with_fingerprint(docs: DataFrame, shingle: int = 4, seed: int = 42) -> DataF
             fps = [fingerprint(t, shingle, seed) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
 def block_masks(blocks: int, budget: int) -> list[list[int]]:
@@ -262,10 +262,8 @@ def simhash_keep_one(docs: DataFrame, budget: int = 4, shingle: int = 4, seed: i
 
     Of repeated rows with that doc_id one stays. Rows without a doc_id can't be named as a copy and stay.
     """
-    kept = simhash_components(docs, budget, shingle, seed).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    from pyspark.sql import Window
-
-    joined = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("kept_id")).drop("kept_id")
+    kept = simhash_components(docs, budget, shingle, seed).where("doc_id = component_id").select(F.col("doc_id").alias("__kept_id")).distinct()
+    joined = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("__kept_id")).drop("__kept_id")
     first = joined.withColumn("__rn", F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))).where("__rn = 1").drop("__rn")
     return first.unionByName(docs.where("doc_id is null"))
 

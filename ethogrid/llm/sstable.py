@@ -326,7 +326,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END
 
     n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = F.col("doc_id").asc_nulls_first()
-    ordered = docs.select("doc_id", "text").repartitionByRange(n, order).sortWithinPartitions(order, "text")
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(n, order).sortWithinPartitions(order, "text")
     return written(ordered.mapInArrow(write, "shard long, path string, entries long, ids long"), "manifest")
 
 

@@ -120,7 +120,7 @@ def anchor_rows(docs: DataFrame) -> DataFrame:
                     ["doc_id", "crc", "gram", "region", "loc"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, crc long, gram long, region long, loc long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, crc long, gram long, region long, loc long")
 
 
 def refine(data: np.ndarray, begins: np.ndarray, widths: np.ndarray, length: int = LENGTH, q: int = Q) -> tuple[np.ndarray, np.ndarray]:
@@ -211,7 +211,7 @@ def repeated_intervals(docs: DataFrame) -> DataFrame:
     wanted = regions.groupBy(F.col("first.doc_id").alias("w_id"), F.col("first.crc").alias("w_crc")).agg(
         F.collect_list(F.struct("gram", F.least("n", F.lit(2)).alias("n"), F.col("first.loc").alias("loc"))).alias("wanted")
     )
-    text = docs.select("doc_id", "text", F.crc32(F.col("text").cast("binary")).alias("crc"))
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.crc32(F.col("text").cast("binary")).alias("crc"))
 
     def cut(batches):
         for b in batches:

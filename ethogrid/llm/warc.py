@@ -67,6 +67,8 @@ def parse(data, at: int = 0) -> tuple[dict[str, str], bytes, int]:
     end = data.find(b"\r\n\r\n", m.end() - 2)
     if end < 0:
         raise NeedMore("header does not end")
+    if _VERSION.search(data, m.end(), end):
+        raise ValueError("another record begins inside the header")
     fields = {}
     for line in bytes(data[m.end() : end]).split(b"\r\n"):
         name, colon, value = line.partition(b":")
