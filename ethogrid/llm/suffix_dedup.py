@@ -16,7 +16,7 @@ LENGTH = 200  # bytes of a repeated string
 GRAM = 32  # bytes of an anchor
 Q = 50  # bytes of the first suffix buckets; doubled until LENGTH
 SEGMENT = 1 << 19  # bytes hashed at once
-CHUNK = 1 << 23  # bytes of suffixes refined at once
+CHUNK = 1 << 20  # bytes of suffixes refined at once
 
 _U = np.uint64
 _BYTE = np.random.default_rng(20240611).integers(1, 1 << 63, 256, dtype=np.uint64) | _U(1)
@@ -150,12 +150,48 @@ def refine(data: np.ndarray, begins: np.ndarray, widths: np.ndarray, length: int
     return np.repeat(np.arange(len(begins)), widths + 1), bucket[at]
 
 
+def refine_large(pieces: list[bytes], leads: np.ndarray, widths: np.ndarray, copies: np.ndarray, length: int = LENGTH, q: int = Q) -> tuple[np.ndarray, np.ndarray]:
+    """(first, last) repeated window of each region of one gram, as :func:`refine` would find, in little memory.
+
+    Equal windows have their anchor at one offset, so the windows of one offset after the other are bucketed by the q-grams they are
+    made of and refined by pairs of buckets. Besides the regions this holds a few numbers a region, however many there are.
+    """
+    n = len(pieces)
+    first, last = np.full(n, 1 << 40), np.full(n, -1)
+    weigh = _powers(q)[0]
+    for offset in range(int(leads.max()) + 1):
+        window = leads - offset
+        rows = np.flatnonzero((window >= 0) & (window <= widths))
+        if len(rows) < 2 and not (len(rows) and copies[rows[0]] > 1):
+            continue
+        grams = np.empty((len(rows), length // q), _U)
+        for i in range(0, len(rows), 4096):
+            part = rows[i : i + 4096].tolist()
+            at = window[part].tolist()
+            cut = np.frombuffer(b"".join([pieces[k][a : a + length] for k, a in zip(part, at, strict=True)]), np.uint8)
+            grams[i : i + 4096] = (_BYTE[cut].reshape(len(part), -1, q) * weigh).sum(axis=2, dtype=_U)
+        bucket = np.unique(grams, return_inverse=True)[1].reshape(grams.shape)
+        while bucket.shape[1] > 1:
+            bucket = np.unique(bucket[:, ::2] * (bucket.max() + 1) + bucket[:, 1::2], return_inverse=True)[1].reshape(len(rows), -1)
+        bucket = bucket[:, 0]
+        hit = np.bincount(bucket, weights=copies[rows])[bucket] >= 2
+        first[rows[hit]] = np.minimum(first[rows[hit]], window[rows[hit]])
+        last[rows[hit]] = np.maximum(last[rows[hit]], window[rows[hit]])
+    return first, last
+
+
 def _repeated(batches):
     """Rows of one gram come together; finds for each region that occurs once the first and last repeated window."""
     names = ["doc_id", "crc", "s", "e"]
 
+    def rows_out(rows, first, last):
+        out = [(r[0], r[1], r[3] + f, r[3] + z + LENGTH) for r, f, z in zip(rows, first.tolist(), last.tolist(), strict=True) if z >= 0 and r[2] == 1]
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(4)], names)
+
     def solve(rows):
         widths = np.array([r[4] for r in rows])
+        if size > 2 * CHUNK:
+            return rows_out(rows, *refine_large([r[5] for r in rows], np.array([r[6] for r in rows]), widths, np.array([min(r[2], 2) for r in rows])))
         sizes = widths + LENGTH
         begins = np.cumsum(sizes) - sizes
         data = np.frombuffer(b"".join(r[5] for r in rows), np.uint8)
@@ -167,14 +203,13 @@ def _repeated(batches):
         last = np.full(len(rows), -1)
         np.minimum.at(first, owner[hit], window[hit])
         np.maximum.at(last, owner[hit], window[hit])
-        out = [(r[0], r[1], r[3] + f, r[3] + z + LENGTH) for r, f, z in zip(rows, first.tolist(), last.tolist(), strict=True) if z >= 0 and r[2] == 1]
-        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(4)], names)
+        return rows_out(rows, first, last)
 
     rows, size, last = [], 0, None
     for b in batches:
-        cols = [b.column(i).to_pylist() for i in range(7)]
+        cols = [b.column(i).to_pylist() for i in range(8)]
         for gram, *r in zip(*cols, strict=True):
-            if size >= CHUNK and gram != last:
+            if gram != last and size >= CHUNK:
                 yield solve(rows)
                 rows, size = [], 0
             rows.append(r)
@@ -220,14 +255,14 @@ def repeated_intervals(docs: DataFrame) -> DataFrame:
                 t = _utf8(t)
                 for x in wanted:
                     s, width = x["loc"] >> 16, x["loc"] & 255
-                    out.append((x["gram"], doc, crc, x["n"], s, width, t[s : s + width + LENGTH]))
-            types = [pa.int64()] * 6 + [pa.binary()]
+                    out.append((x["gram"], doc, crc, x["n"], s, width, t[s : s + width + LENGTH], x["loc"] >> 8 & 255))
+            types = [pa.int64()] * 6 + [pa.binary(), pa.int64()]
             for i in range(0, len(out), 20_000):
                 part = out[i : i + 20_000]
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in part], types[k]) for k in range(7)], ["gram", "doc_id", "crc", "n", "s", "width", "bytes"])
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in part], types[k]) for k in range(8)], ["gram", "doc_id", "crc", "n", "s", "width", "bytes", "lead"])
 
     pieces = text.join(wanted, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("crc") == F.col("w_crc")))
-    pieces = pieces.select("doc_id", "text", "crc", "wanted").mapInArrow(cut, "gram long, doc_id long, crc long, n long, s long, width long, bytes binary")
+    pieces = pieces.select("doc_id", "text", "crc", "wanted").mapInArrow(cut, "gram long, doc_id long, crc long, n long, s long, width long, bytes binary, lead long")
     single = pieces.repartition("gram").sortWithinPartitions("gram").mapInArrow(_repeated, "doc_id long, crc long, s long, e long")
     out = written(found.where("alike").select("doc_id", "crc", *whole).union(copies).union(single), "intervals")
     release(spark)

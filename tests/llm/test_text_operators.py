@@ -188,3 +188,20 @@ def test_sstable_lookup_and_damage(tmp_path):
     path.write_bytes(data)
     with open(path, "rb") as f, pytest.raises(ValueError):
         list(T.Reader(f).scan())
+
+
+def test_large_groups_are_refined_as_small_ones():
+    rng = random.Random(8)
+    passage = "".join(rng.choices("abcdef", k=260)).encode()
+    texts = ["".join(rng.choices("abcdef", k=rng.randint(0, 300))).encode() + passage[rng.randint(0, 30) :] + "".join(rng.choices("ab", k=rng.randint(0, 200))).encode() for _ in range(60)]
+    texts = [t for t in texts if len(t) >= 200]
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    pos, lo, hi, g, r = X.anchors(data, np.cumsum([len(t) for t in texts]))
+    pieces = [data[a : b + X.LENGTH].tobytes() for a, b in zip(lo, hi, strict=True)]
+    widths, copies = hi - lo, np.ones(len(lo), np.int64)
+    owner, bucket = X.refine(np.frombuffer(b"".join(pieces), np.uint8), np.cumsum(widths + X.LENGTH) - widths - X.LENGTH, widths)
+    hit = np.bincount(bucket)[bucket] >= 2
+    window = np.arange(len(owner)) - (np.cumsum(widths + 1) - widths - 1)[owner]
+    want = [(min(w), max(w)) if (w := window[(owner == k) & hit].tolist()) else (1 << 40, -1) for k in range(len(lo))]
+    first, last = X.refine_large(pieces, pos - lo, widths, copies)
+    assert list(zip(first.tolist(), last.tolist(), strict=True)) == want and (last >= 0).any()
