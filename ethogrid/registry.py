@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from ethogrid.plans import behaviour, behaviour_sql, pipelines, subjects
+from ethogrid.plans import behaviour, behaviour_sql, detections, pipelines, subjects
 
-QUERIES = behaviour.QUERIES | subjects.QUERIES | pipelines.QUERIES
-ORACLE_SQL = behaviour_sql.ORACLE | subjects.ORACLE | pipelines.ORACLE
+QUERIES = behaviour.QUERIES | subjects.QUERIES | pipelines.QUERIES | detections.QUERIES
+ORACLE_SQL = behaviour_sql.ORACLE | subjects.ORACLE | pipelines.ORACLE | detections.ORACLE
 flagship = behaviour.flagship
