@@ -7,7 +7,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ethogrid.llm.common import release, table, written
@@ -123,6 +123,26 @@ def anchor_rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, crc long, gram long, region long, loc long")
 
 
+def anchor_counts(docs: DataFrame) -> DataFrame:
+    """(gram, region, n): anchors counted, those of each batch of texts together, so that very common ones are few rows."""
+
+    def run(batches):
+        for b in batches:
+            got = []
+            for _, _, parts in _segments([_utf8(t) for t in b.column(0).to_pylist()]):
+                got.append(anchors(np.frombuffer(b"".join(parts), np.uint8), np.cumsum([len(x) for x in parts]))[3:])
+            if not got:
+                continue
+            g, r = (np.concatenate(x).view(np.int64) for x in zip(*got, strict=True))
+            order = np.lexsort((r, g))
+            g, r = g[order], r[order]
+            first = np.flatnonzero(np.append(True, (g[1:] != g[:-1]) | (r[1:] != r[:-1]))) if len(g) else np.zeros(0, np.int64)
+            n = np.diff(np.append(first, len(g)))
+            yield pa.RecordBatch.from_arrays([pa.array(g[first]), pa.array(r[first]), pa.array(n)], ["gram", "region", "n"])
+
+    return docs.select("text").mapInArrow(run, "gram long, region long, n long")
+
+
 def refine(data: np.ndarray, begins: np.ndarray, widths: np.ndarray, length: int = LENGTH, q: int = Q) -> tuple[np.ndarray, np.ndarray]:
     """Bucket-pointer refinement: (owner, bucket) of the windows begins[i] .. begins[i] + widths[i] of each region i.
 
@@ -223,29 +243,25 @@ def repeated_intervals(docs: DataFrame) -> DataFrame:
     """(doc_id, crc, s, e): byte intervals of each text that repeated LENGTH-byte strings cover; they may overlap.
 
     Anchors chosen by content stand for the 170 or so windows around them, so equal windows meet at equal anchors and the
-    first shuffles carry about one row for every 85 bytes. An anchor that occurs once drops out. Where all occurrences of
-    an anchor have the same region, and for every region that occurs twice, the whole region repeats. Only distinct
-    regions whose anchor recurs with other bytes around it are fetched and refined as suffixes.
+    first shuffles carry about one row for every 85 bytes. An anchor that occurs once drops out, and a region that occurs twice
+    repeats whole. Only distinct regions whose anchor recurs with other bytes around it are fetched and refined as suffixes.
     """
     spark = docs.sparkSession
-    grams = (
-        anchor_rows(docs).groupBy("gram").agg(F.count("*").alias("n"), F.min("region").alias("r0"), F.max("region").alias("r1"))
-    )
-    grams = written(grams.where("n > 1").select(F.col("gram").alias("g"), (F.col("r0") == F.col("r1")).alias("alike")), "grams")
+    by_gram = Window.partitionBy("gram")
+    classes = anchor_counts(docs).repartition("gram").groupBy("gram", "region").agg(F.sum("n").alias("n"))
+    classes = classes.withColumn("total", F.sum("n").over(by_gram)).withColumn("kinds", F.count("*").over(by_gram)).where("total > 1")
+    classes = written(classes.select(F.col("gram").alias("g"), F.col("region").alias("r"), "n", (F.col("kinds") > 1).alias("mixed")), "classes")
     release(spark)
     found = anchor_rows(docs)
-    found = written(found.join(grams, found.gram == grams.g).drop("g"), "anchors")
+    found = written(found.join(classes, (found.gram == classes.g) & (found.region == classes.r)).drop("g", "r"), "anchors")
     release(spark)
-    whole = [F.shiftright("loc", 16).alias("s"), (F.shiftright("loc", 16) + F.col("loc").bitwiseAND(255) + LENGTH).alias("e")]
-    mixed = found.where("not alike")
-    regions = written(
-        mixed.groupBy("gram", "region").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "crc", "loc")).alias("first")), "regions"
-    )
-    twice = regions.where("n > 1").select(F.col("gram").alias("g"), F.col("region").alias("r"))
-    copies = mixed.join(twice, (mixed.gram == twice.g) & (mixed.region == twice.r)).select("doc_id", "crc", *whole)
-    wanted = regions.groupBy(F.col("first.doc_id").alias("w_id"), F.col("first.crc").alias("w_crc")).agg(
-        F.collect_list(F.struct("gram", F.least("n", F.lit(2)).alias("n"), F.col("first.loc").alias("loc"))).alias("wanted")
-    )
+    first = F.shiftright("loc", 16)
+    whole = found.where("n > 1").select("doc_id", "crc", first.alias("s"), (first + F.col("loc").bitwiseAND(255) + LENGTH).alias("e"))
+    mixed = found.where("mixed")
+    one = mixed.where("n = 1").select("doc_id", "crc", "gram", F.lit(1).cast("long").alias("n"), "loc")
+    more = mixed.where("n > 1").groupBy("gram", "region").agg(F.min(F.struct("doc_id", "crc", "loc")).alias("x"))
+    more = more.select("x.doc_id", "x.crc", "gram", F.lit(2).cast("long").alias("n"), "x.loc")
+    wanted = one.unionByName(more).groupBy(F.col("doc_id").alias("w_id"), F.col("crc").alias("w_crc")).agg(F.collect_list(F.struct("gram", "n", "loc")).alias("wanted"))
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.crc32(F.col("text").cast("binary")).alias("crc"))
 
     def cut(batches):
@@ -264,7 +280,7 @@ def repeated_intervals(docs: DataFrame) -> DataFrame:
     pieces = text.join(wanted, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("crc") == F.col("w_crc")))
     pieces = pieces.select("doc_id", "text", "crc", "wanted").mapInArrow(cut, "gram long, doc_id long, crc long, n long, s long, width long, bytes binary, lead long")
     single = pieces.repartition("gram").sortWithinPartitions("gram").mapInArrow(_repeated, "doc_id long, crc long, s long, e long")
-    out = written(found.where("alike").select("doc_id", "crc", *whole).union(copies).union(single), "intervals")
+    out = written(whole.union(single), "intervals")
     release(spark)
     return out
 
