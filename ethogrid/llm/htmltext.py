@@ -17,6 +17,7 @@ from ethogrid.llm.common import table
 GROUP = 256  # pages whose occurrence vectors are compared at once
 SUPPORT = 0.5  # share of the group's pages that hold the tokens of a valid class
 LEAST_SIZE = 2  # tokens of a valid class
+MAIN_PAGES = 3  # pages that a block of an article stands on before it counts as template
 
 RAW = frozenset("script style noscript template textarea iframe svg math object canvas select title xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -66,7 +67,7 @@ def tokens(page: str | None) -> list[Token]:
         m = _TAG.search(page, at)
         if not m:
             text(at, len(page))
-            return out
+            return by_block(out)
         text(at, m.start())
         at = m.end()
         tag = (m[2] or "").lower()
@@ -100,6 +101,20 @@ def tokens(page: str | None) -> list[Token]:
             path = tuple(x[1] for x in stack)
 
 
+def by_block(page: list[Token]) -> list[Token]:
+    """Inside articles a text node is told apart by the text of its whole block, so that no link or bold word goes from a sentence."""
+    run: list[Token] = []
+    for t in [*page, Token("p", True, (), False, False)]:
+        if not t.tag and t.main and t.text.strip():
+            run.append(t)
+        elif run and t.tag in BLOCKS:
+            whole = " ".join("".join(x.text for x in run).split())
+            for i, x in enumerate(run):
+                x.key = (x.path, "", whole, i)
+            run = []
+    return page
+
+
 @dataclass
 class Template:
     """Keys of the tokens in valid equivalence classes, and how the classes nest: class -> class whose slot holds it."""
@@ -116,16 +131,17 @@ def deduce(pages: list[list[Token]], support: float = SUPPORT, least: int = LEAS
     ``least`` tokens share it, ``support`` of the pages (two at least) hold it, and its tokens come in one order on every page, round
     after round. A class lies in the slot of another if, on the first page with both, all its tokens fall between two neighbouring
     tokens of one round of the other; a class that overlaps another without nesting is dropped, the larger stays.
-    A text node counts as a template token only outside of articles: what an article says is data even where many pages say it.
+    Inside articles a block of text is a template token too, if ``MAIN_PAGES`` pages at least hold it: what two pages say may be a quotation.
     """
     n = len(pages)
+    quoted = {t.key for page in pages for t in page if t.main and not t.tag and t.text.strip()}
     vectors: dict[tuple, dict[int, int]] = {}
     for i, page in enumerate(pages):
-        for key, c in Counter(t.key for t in page if t.tag or not t.main).items():
+        for key, c in Counter(t.key for t in page).items():
             vectors.setdefault(key, {})[i] = c
     groups: dict[tuple, list] = {}
     for key, v in vectors.items():
-        if len(v) >= max(2 if n > 1 else 1, support * n) and (n > 1 or key[1]):
+        if len(v) >= max(MAIN_PAGES if key in quoted else 2 if n > 1 else 1, support * n) and (n > 1 or key[1]):
             groups.setdefault(tuple(sorted(v.items())), []).append(key)
     found = []
     for vector, keys in groups.items():
@@ -176,9 +192,9 @@ def deduce(pages: list[list[Token]], support: float = SUPPORT, least: int = LEAS
 def main_text(page: list[Token], template: Template) -> str:
     """Text of the slots that the template leaves, without those in dropped elements; one line a block.
 
-    Where the page has an article or main element with text, only slots inside count.
+    Where the page has an article or main element with slots of text, only those count.
     """
-    data = [t for t in page if not t.tag and t.text.strip() and not t.dropped and (t.main or t.key not in template.keys)]
+    data = [t for t in page if not t.tag and t.text.strip() and not t.dropped and t.key not in template.keys]
     inside = any(t.main for t in data)
     chosen = {id(t) for t in data if t.main or not inside}
     blocks, now = [], []

@@ -131,6 +131,14 @@ def test_groups_of_a_large_host_agree(spark):
     assert {r.page_id: r.text for r in H.extract_text(df, group=64).collect()} == {i: f"Story {i}" for i in range(700)}
 
 
+def test_template_decides_inside_articles_too():
+    shared = "<p>Follow <b>us</b> for more</p>"
+    pages = [f"<html><body><article><h1>Story {i}</h1>{shared}<p>Body {i} of <b>the</b> story, <a>here</a></p></article></body></html>" for i in range(6)]
+    assert H.extract_group(pages) == [f"Story {i}\nBody {i} of the story, here" for i in range(6)]
+    quoted = [f"<html><body><article><p>Story {i}</p><p>To be or not to be</p></article></body></html>" for i in range(2)]
+    assert H.extract_group(quoted) == [f"Story {i}\nTo be or not to be" for i in range(2)]
+
+
 # --- archives --------------------------------------------------------------------------------------
 
 
