@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ethogrid.llm.common import table
 
-GROUP = 256  # pages whose occurrence vectors are compared at once
+GROUP = 256  # distinct pages of a host whose occurrence vectors are compared at once, on average at most
 SUPPORT = 0.5  # share of the group's pages that hold the tokens of a valid class
 LEAST_SIZE = 2  # tokens of a valid class
 MAIN_PAGES = 3  # pages that a block of an article stands on before it counts as template
@@ -210,56 +210,80 @@ def main_text(page: list[Token], template: Template) -> str:
     return "\n".join(x for x in (" ".join(b.split()) for b in blocks) if x)
 
 
+def unlike(pages: list[list[Token]]) -> list[list[Token]]:
+    """The first of the pages with the same text outside of dropped elements: copies are no evidence of a template."""
+    return list({tuple(" ".join(t.text.split()) for t in p if not t.tag and not t.dropped and t.text.strip()): p for p in reversed(pages)}.values())[::-1]
+
+
 def extract_group(pages: list[str | None]) -> list[str]:
-    parsed = [tokens(p) for p in pages]
-    template = deduce(parsed)
-    return [main_text(p, template) for p in parsed]
+    """Main text of each page; the template is deduced from what is distinct among them, in an order that does not depend on theirs."""
+    parsed = {p: tokens(p) for p in sorted({p or "" for p in pages})}
+    template = deduce(unlike(list(parsed.values())))
+    texts = {p: main_text(x, template) for p, x in parsed.items()}
+    return [texts[p or ""] for p in pages]
 
 
 def host_of(url):
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
+def dealt_pages(pages: DataFrame, group: int = GROUP) -> DataFrame:
+    """``pages`` with ``host``, ``c`` (hash of the html) and ``part``: parts of a host hold ``group`` distinct pages at most, on average.
+
+    A host has one part for each ``group`` distinct pages begun, and a page's part follows from its html. So copies share one, and parts
+    depend on the pages of the host only. Hosts with more than one part are broadcast, one row for ``group`` pages or more.
+    """
+    rows = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), F.coalesce("html", F.lit("")).alias("html")).withColumn("c", F.xxhash64("html"))
+    sizes = rows.select("host", "c").distinct().groupBy("host").agg(F.ceil(F.count("*") / group).alias("parts")).where("parts > 1")
+    big = F.broadcast(sizes.withColumnRenamed("host", "__host"))
+    return rows.join(big, F.col("host") == F.col("__host"), "left").withColumn("part", F.pmod(F.xxhash64("c"), F.coalesce("parts", F.lit(1))).cast("int")).drop("__host", "parts")
+
+
 def extract_text(pages: DataFrame, group: int = GROUP) -> DataFrame:
     """(page_id, url, text, n_chars) for every row of ``pages`` (page_id, url, html).
 
-    Rows are ordered by host over range partitions and taken in groups of at most ``group`` pages of one host, so a host with very
-    many pages is spread over partitions and its template is deduced from each group. Only one shuffle moves pages, compressed. Null or empty html gives an empty
-    text. A url without a host, or null, groups with others like it. Repeated rows are extracted each. Other columns are ignored.
+    Templates are deduced for the parts of hosts that ``dealt_pages`` makes, each from its distinct pages, so a host with very many pages
+    is spread over partitions and no text depends on the number of partitions. Range partitions never cut a part. Only one shuffle moves
+    pages, compressed. Null or empty html gives an empty text. A url without a host, or null, groups with others like it. Repeated rows
+    each get the text. Other columns are ignored.
     """
 
     def squeeze(batches):
         for b in batches:
-            data = [None if h is None else zlib.compress(h.encode("utf-8", "surrogatepass"), 1) for h in b.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(data, pa.binary())], ["page_id", "url", "host", "z"])
+            data = [zlib.compress(h.encode("utf-8", "surrogatepass"), 1) for h in b.column(5).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(data, pa.binary())], ["page_id", "url", "host", "part", "c", "z"])
 
     def run(batches):
-        ids, urls, htmls, host = [], [], [], None
+        ids, urls, at, htmls, host = [], [], [], [], None  # copies come one after the other and are held once
 
         def solve():
-            texts = extract_group(htmls)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
-                ["page_id", "url", "text", "n_chars"],
-            )
+            found = extract_group([zlib.decompress(z).decode("utf-8", "surrogatepass") for z in htmls])
+            for i in range(0, len(ids), GROUP):
+                texts = [found[k] for k in at[i : i + GROUP]]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids[i : i + GROUP], pa.int64()), pa.array(urls[i : i + GROUP], pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
+                    ["page_id", "url", "text", "n_chars"],
+                )
 
         for b in batches:
-            for page, url, h, z in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if htmls and (h != host or len(htmls) == group):
-                    yield solve()
-                    ids, urls, htmls = [], [], []
-                host = h
+            for page, url, h, part, z in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if htmls and (h, part) != host:
+                    yield from solve()
+                    ids, urls, at, htmls = [], [], [], []
+                host = (h, part)
                 ids.append(page)
                 urls.append(url)
-                htmls.append("" if z is None else zlib.decompress(z).decode("utf-8", "surrogatepass"))
+                if not htmls or htmls[-1] != z:
+                    htmls.append(z)
+                at.append(len(htmls) - 1)
         if htmls:
-            yield solve()
+            yield from solve()
 
     spark = pages.sparkSession
-    rows = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), "html").mapInArrow(squeeze, "page_id long, url string, host string, z binary")
-    rows = rows.withColumn("h", F.xxhash64("page_id", "url"))
+    rows = dealt_pages(pages, group).select("page_id", "url", "host", "part", "c", "html")
+    rows = rows.mapInArrow(squeeze, "page_id long, url string, host string, part int, c long, z binary")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartitionByRange(n, "host", "h").sortWithinPartitions("host", "h").select("page_id", "url", "host", "z")
+    dealt = rows.repartitionByRange(n, "host", "part").sortWithinPartitions("host", "part", "c").select("page_id", "url", "host", "part", "z")
     return dealt.mapInArrow(run, "page_id long, url string, text string, n_chars long")
 
 

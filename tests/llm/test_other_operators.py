@@ -139,6 +139,27 @@ def test_template_decides_inside_articles_too():
     assert H.extract_group(quoted) == [f"Story {i}\nTo be or not to be" for i in range(2)]
 
 
+def test_copies_of_a_page_are_no_template():
+    hello = "<html><body><p>Hello world</p></body></html>"
+    assert H.extract_group([hello, hello]) == ["Hello world"] * 2
+    assert H.extract_group([hello, hello.replace("<body>", "<body><nav>7</nav>")]) == ["Hello world"] * 2
+    pages = [f"<html><body><p>Site</p><p>Story {max(i, 5)}</p></body></html>" for i in range(10)]
+    assert H.extract_group(pages) == [f"Story {max(i, 5)}" for i in range(10)]
+
+
+def test_texts_do_not_depend_on_partitions_or_copies(spark):
+    rows = [(i, f"http://h{i % 3}/{i}", f"<html><body><p>Site {i % 3}</p><p>Story {i}</p></body></html>") for i in range(400)]
+    want = {i: f"Story {i}" for i in range(400)}
+    for parts, more in ((1, []), (7, [(i + 1000, *rows[5][1:]) for i in range(90)])):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        try:
+            df = spark.createDataFrame(rows + more, "page_id long, url string, html string")
+            got = {r.page_id: r.text for r in H.extract_text(df, group=33).collect()}
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", 4)
+        assert got == want | {i: "Story 5" for i, *_ in more}
+
+
 # --- archives --------------------------------------------------------------------------------------
 
 
