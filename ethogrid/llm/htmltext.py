@@ -26,13 +26,16 @@ CONTAINERS = frozenset(
     "html head body nav header footer aside article main section div ul ol dl form fieldset table figure details dialog menu button".split()
 )
 BLOCKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd tr td th thead tbody tfoot caption blockquote pre address hr figcaption summary center legend".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 DROPPED = frozenset("head nav header footer aside form dialog menu button".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert".split())
-_MARKS = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|banner|sponsor\w*|promo\w*|sidebar|side|menu|nav|navbar|navigation|breadcrumbs?|footer|header|masthead|"
+_WORDS = (
+    r"(?:ad|ads|advert\w*|adsense|banner|sponsor\w*|promo\w*|sidebar|side|menu|nav|navbar|navigation|breadcrumbs?|footer|header|masthead|"
     r"comments?|respond|disqus|replies|notices?|cookies?|consent|gdpr|alert|popup|modal|overlay|share|sharing|social|related|recommended|"
-    r"newsletter|subscribe|subscription|signup|login|search|widget|pagination|pager|toolbar|skip)(?:$|[\s_-])"
+    r"newsletter|subscribe|subscription|signup|login|search|widget|pagination|pager|toolbar|skip)"
 )
+_MARKS = re.compile(rf"(?:^|[\s_-]){_WORDS}(?:$|[\s_-])")  # outside of articles parts of names count,
+_NAMES = re.compile(rf"(?:^|\s)(?!header|masthead){_WORDS}(?:$|\s)")  # inside whole names only, and an article's own heading stays
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
@@ -48,20 +51,25 @@ class Token:
     main: bool  # inside an article or main element
     text: str = ""
     path: tuple = field(default=(), repr=False)
+    heading: bool = False  # inside h1 to h6
+    named: tuple = ()  # keys of the elements of an article around it whose names say that they hold no main text
+
+
+NOWHERE = ("", "", False, False, ())
 
 
 def tokens(page: str | None) -> list[Token]:
     """Tags and text nodes of a page in order; comments and the contents of raw elements are left out."""
     out: list[Token] = []
-    stack: list[tuple[str, str, bool, bool]] = []  # (tag, name with class and id, dropped, main)
-    at, page = 0, page or ""
+    stack: list[tuple[str, str, bool, bool, tuple]] = []  # (tag, name with class and id, dropped, main, named)
+    at, page, heading = 0, page or "", ""
     path: tuple = ()
 
     def text(a: int, b: int) -> None:
         if a < b:
             t = _html.unescape(page[a:b])
-            _, _, dropped, main = stack[-1] if stack else ("", "", False, False)
-            out.append(Token("", False, (path, "", " ".join(t.split())), dropped, main, t, path))
+            _, _, dropped, main, named = stack[-1] if stack else NOWHERE
+            out.append(Token("", False, (path, "", " ".join(t.split())), dropped, main, t, path, bool(heading), named))
 
     while True:
         m = _TAG.search(page, at)
@@ -78,26 +86,34 @@ def tokens(page: str | None) -> list[Token]:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
             at = end.end() if end else len(page)
             continue
-        name, dropped, main = tag, False, False
+        if tag in HEADINGS:
+            heading = "" if closing else tag
+        elif tag in BLOCKS:
+            heading = ""
+        name, dropped, main, named = tag, False, False, ()
         if not closing and tag in CONTAINERS:
             attrs = {k.lower(): (a or b or c).lower() for k, a, b, c in _ATTR.findall(m[3] or "")}
             marks = f"{attrs.get('class', '')} {attrs.get('id', '')}"
             name = re.sub(r"\d+", "N", f"{tag}|{marks.strip()}")
-            up = stack[-1] if stack else ("", "", False, False)
-            dropped = up[2] or tag in DROPPED or attrs.get("role") in DROPPED_ROLES or (tag not in ("html", "body", "article", "main") and bool(_MARKS.search(marks)))
+            up = stack[-1] if stack else NOWHERE
             main = up[3] or tag in ("article", "main") or attrs.get("role") == "main"
+            dropped = up[2] or tag in DROPPED or attrs.get("role") in DROPPED_ROLES or (not main and tag not in ("html", "body") and bool(_MARKS.search(marks)))
+            named = up[4]
+            if up[3] and tag not in ("article", "main") and _NAMES.search(marks):
+                named = (*named, (path, "<", name))
             if tag == "header" and up[3] and not up[2]:
                 dropped = False  # an article's own heading
         if tag in CONTAINERS and closing:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
+                    name = stack[i][1]
                     del stack[i:]
                     break
             path = tuple(x[1] for x in stack)
-        top = stack[-1] if stack else ("", "", False, False)
+        top = stack[-1] if stack else NOWHERE
         out.append(Token(tag, closing, (path, "/" if closing else "<", name), top[2] or dropped, top[3] or main, "", path))
         if tag in CONTAINERS and not closing:
-            stack.append((tag, name, dropped, main))
+            stack.append((tag, name, dropped, main, named))
             path = tuple(x[1] for x in stack)
 
 
@@ -117,11 +133,15 @@ def by_block(page: list[Token]) -> list[Token]:
 
 @dataclass
 class Template:
-    """Keys of the tokens in valid equivalence classes, and how the classes nest: class -> class whose slot holds it."""
+    """Keys of the tokens in valid equivalence classes, and how the classes nest: class -> class whose slot holds it.
+
+    ``shared`` has the keys that more than one page shows to be template: a page alone shows nothing.
+    """
 
     keys: set
     classes: list
     parent: dict
+    shared: set = field(default_factory=set)
 
 
 def deduce(pages: list[list[Token]], support: float = SUPPORT, least: int = LEAST_SIZE) -> Template:
@@ -161,7 +181,7 @@ def deduce(pages: list[list[Token]], support: float = SUPPORT, least: int = LEAS
             found.append((vector, first))
         else:  # ordered subsets: tags of one element
             for k in keys:
-                if k[1] == "<" and (close := (k[0], "/", k[2].split("|")[0])) in wanted:
+                if k[1] == "<" and (close := (k[0], "/", k[2])) in wanted:
                     found.append((vector, [k, close]))
     found.sort(key=lambda x: (-len(x[0]), -len(x[1]), str(x[1][0])))
     kept, parent = [], {}
@@ -186,15 +206,18 @@ def deduce(pages: list[list[Token]], support: float = SUPPORT, least: int = LEAS
             parent[len(kept)] = holder
             kept.append(keys)
             spans.append((page, mine))
-    return Template({k for keys in kept for k in keys}, kept, parent)
+    flat = {k for keys in kept for k in keys}
+    return Template(flat, kept, parent, flat if n > 1 else set())
 
 
 def main_text(page: list[Token], template: Template) -> str:
     """Text of the slots that the template leaves, without those in dropped elements; one line a block.
 
-    Where the page has an article or main element with slots of text, only those count.
+    Where the page has an article or main element with slots of text, only those count. Elements inside whose names say that they hold
+    something else are dropped if they belong to the template, and their headings stay.
     """
     data = [t for t in page if not t.tag and t.text.strip() and not t.dropped and t.key not in template.keys]
+    data = [t for t in data if t.heading or template.shared.isdisjoint(t.named)]
     inside = any(t.main for t in data)
     chosen = {id(t) for t in data if t.main or not inside}
     blocks, now = [], []

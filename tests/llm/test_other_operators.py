@@ -160,6 +160,16 @@ def test_texts_do_not_depend_on_partitions_or_copies(spark):
         assert got == want | {i: "Story 5" for i, *_ in more}
 
 
+def test_named_blocks_of_an_article():
+    kept = [("section", 'id="side-effects"'), ("div", 'class="entry-header"'), ("div", 'class="header"'), ("div", 'id="search-methods"'), ("div", 'class="social-history ad-hoc"')]
+    body = lambda i: "".join(f"<{t} {a}><h1>T{i} {k}</h1><p>B{i} {k}</p></{t}>" for k, (t, a) in enumerate(kept))
+    want = lambda i: "\n".join(f"T{i} {k}\nB{i} {k}" for k in range(len(kept)))
+    pages = [f"<html><body><article>{body(i)}<div class='related'><h2>See also</h2><p>Other {i}</p></div></article></body></html>" for i in range(6)]
+    assert H.extract_group(pages) == [want(i) for i in range(6)]
+    rare = [f"<html><body><article><p>A{i}</p>{'<div class=notice><p>One only</p></div>' if i == 2 else ''}</article></body></html>" for i in range(6)]
+    assert H.extract_group(rare) == [f"A{i}" + "\nOne only" * (i == 2) for i in range(6)]
+
+
 # --- archives --------------------------------------------------------------------------------------
 
 
