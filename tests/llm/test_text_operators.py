@@ -6,6 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from ethogrid.llm import decontaminate as D
 from ethogrid.llm import simhash as S
 from ethogrid.llm import sstable as T
@@ -47,6 +48,41 @@ def test_simhash_keeps_one_row_of_each_component(docs, none):
     assert S.simhash_keep_one(none).count() == 0
 
 
+def test_near_dedup_stage_links_from_jaccard_0_8(spark, none):
+    rng = random.Random(5)
+    rows, i = [], 0
+    for k in range(40):
+        w = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+        rows.append((i := i + 1, " ".join(w)))
+        for n in range(1, 8):  # n words changed far apart: (196 - 5n) / (196 + 5n) of the shingles are common
+            x = list(w)
+            for c in range(n):
+                x[10 + c * 25] = f"x{n}{c}{k}"
+            rows.append((i := i + 1, " ".join(x)))
+    rows += [(i + 1, None), (i + 2, " "), (i + 3, "a b"), (i + 4, "A  b"), (i + 4, "A  b"), (None, "a b")]
+    sets = [set(zip(*((t or "").lower().split()[k:] for k in range(5)), strict=False)) or {t and t.lower().strip() and " ".join(t.lower().split()) or ""} for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                parent[find(a)] = find(b)
+    want = {}
+    for r, (d, _) in enumerate(rows):
+        if d is not None:
+            want[find(r)] = min(want.get(find(r), d), d)
+    docs = H.documents(spark, rows)
+    got = corpus_pipeline.near_dedup(spark, docs, None)
+    assert got.columns == docs.columns
+    assert sorted(r.doc_id or 0 for r in got.collect()) == sorted([0, *want.values()])
+    assert corpus_pipeline.near_dedup(spark, none, None).count() == 0
+
+
 @pytest.mark.parametrize("blocks", [5, 6, 7])
 def test_trie_join_connects_what_all_pairs_connect(blocks):
     rng = np.random.default_rng(blocks)
