@@ -18,6 +18,7 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     Every round is two aggregations with map-side minima and two joins whose small side has one row a node, so a
     node with very many links is split by adaptive execution. Rounds are written to the shared folder; only two
     numbers a round (edge count and a checksum) reach the driver. Nodes without an edge are not in the result.
+    The result reads its last round's table, which ``drop_written`` deletes.
     Raises RuntimeError if the edges have not settled after ``rounds`` rounds.
     """
     e = written(
@@ -50,4 +51,6 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError(f"components have not settled after {rounds} rounds")
     roots = e.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("root"))
-    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)
+    out = e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)
+    out.written_path = e.written_path
+    return out

@@ -8,12 +8,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ethogrid.llm.common import table, written
+from ethogrid.llm.common import drop_written, table, written
 from ethogrid.llm.components import connected_components
 
 BITS = 64
 LEAF_PAIRS = 64  # node pairs with at most so many leaf pairs are compared directly
+MARK = "__near_dedup_mark"  # helper column: what tells rows of one doc_id apart
+STEP = 4080  # shingles whose bits are counted at once
+MERGE = 1 << 12  # few node pairs of one level go down together, more of them those that agree first
 CHUNK = 1 << 15  # node pairs that are taken down one level at a time
 
 
@@ -37,9 +41,18 @@ def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
         ends = [*gaps[shingle - 1 :].tolist(), len(line)]
         h = xxhash.xxh64_digest
         hashes = [h(line[a:b], seed) for a, b in zip(starts, ends, strict=True)]
-    bits = np.unpackbits(np.frombuffer(b"".join(hashes), np.uint8).reshape(-1, 8), axis=1)
-    high = bits.sum(axis=0, dtype=np.int64) * 2 > len(hashes)
-    return int.from_bytes(np.packbits(high).tobytes(), "big")
+    rows = np.frombuffer(b"".join(hashes), np.uint8).reshape(-1, 8)
+    return int.from_bytes(majority((rows[i : i + STEP] for i in range(0, len(rows), STEP)), len(rows), BITS), "big")
+
+
+def majority(pieces, n: int, bits: int) -> bytes:
+    """The bits that are set in over half of ``n`` rows, which come in ``pieces`` of bytes (rows, bits / 8) so that long texts need little memory."""
+    total = np.zeros(bits, np.int64)
+    for rows in pieces:
+        flat = np.unpackbits(rows, axis=1)
+        for k in range(0, len(flat), 255):
+            total += np.add.reduce(flat[k : k + 255], axis=0, dtype=np.uint8)
+    return np.packbits(total * 2 > n).tobytes()
 
 
 def with_fingerprint(docs: DataFrame, shingle: int = 4, seed: int = 42) -> DataFrame:
@@ -53,12 +66,12 @@ def with_fingerprint(docs: DataFrame, shingle: int = 4, seed: int = 42) -> DataF
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
-def block_masks(blocks: int, budget: int) -> list[list[int]]:
-    """Bit orders, one for each choice of ``blocks - budget`` blocks: the chosen blocks' bits come first.
+def block_masks(blocks: int, budget: int, bits: int = BITS) -> list[tuple[int, list[int]]]:
+    """(bits of the chosen blocks, bit order), one for each choice of ``blocks - budget`` blocks: the chosen blocks' bits come first.
 
     Two fingerprints that differ in at most ``budget`` bits agree on all bits of at least one choice.
     """
-    cuts = [BITS * i // blocks for i in range(blocks + 1)]
+    cuts = [bits * i // blocks for i in range(blocks + 1)]
     parts = [list(range(cuts[i], cuts[i + 1])) for i in range(blocks)]
     out = []
     for chosen in combinations(range(blocks), blocks - budget):
@@ -97,17 +110,17 @@ class _Forest:
             x = p[x]
         return x
 
-    def union(self, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-        """The pairs (a, b) that joined two sets."""
+    def union(self, a: np.ndarray, b: np.ndarray) -> list[int]:
+        """Indexes of the pairs (a, b) that joined two sets."""
         self.refresh()
         n = len(self.label)
         _, at = np.unique(self.label[a] * n + self.label[b], return_index=True)
         joined = []
-        for x, y in zip(a[at].tolist(), b[at].tolist(), strict=True):
+        for k, x, y in zip(at.tolist(), a[at].tolist(), b[at].tolist(), strict=True):
             rx, ry = self.find(x), self.find(y)
             if rx != ry:
                 self.parent[max(rx, ry)] = min(rx, ry)
-                joined.append((x, y))
+                joined.append(k)
         self.stale = self.stale or bool(joined)
         return joined
 
@@ -126,39 +139,42 @@ class _Forest:
         self.same_until = ends[np.searchsorted(ends, np.arange(len(label)), side="right")]
         self.stale = False
 
+    def settled(self, p: np.ndarray) -> np.ndarray:
+        """Node pairs all of whose leaves lie in one set."""
+        self.refresh()
+        return (self.same_until[p[0]] >= p[1]) & (self.same_until[p[2]] >= p[3]) & (self.label[p[0]] == self.label[p[2]])
 
-def trie_links(values: np.ndarray, prefix: int, budget: int) -> np.ndarray:
-    """Self-join of a binary trie: index pairs (k, 2) that span all links between values equal in ``prefix`` bits.
 
-    ``values`` (uint64, ascending, distinct) are the leaves; a node is a range of leaves that agree in their first
-    bits. Starting at the nodes of depth ``prefix``, pairs of nodes go down together, adding a differing bit
-    whenever one turns left and the other right, and a pair is dropped once that exceeds ``budget`` or once both
-    nodes already lie in one component. The pairs returned connect exactly what all links would connect.
+def trie_join(values: np.ndarray, prefix: int, budget: int, forest: _Forest, meet, bits: int = BITS) -> None:
+    """Self-join of a binary trie: ``meet(a, b)`` gets the index pairs a < b of values within ``budget`` differing bits.
+
+    ``values`` (uint64, ascending; their first ``bits`` bits count) are the leaves; a node is a range of leaves that agree in their
+    first bits. Starting at the nodes of depth ``prefix``, pairs of nodes go down together, adding a differing bit whenever one turns left
+    and the other right, and a pair is dropped once that exceeds ``budget`` or once all its leaves lie in one set of ``forest``, which
+    ``meet`` may join as it goes. Equal values beyond the last bit are halved by rank.
     """
     n = len(values)
-    links: list[tuple[int, int]] = []
     if n < 2:
-        return np.zeros((0, 2), np.int64)
+        return
     top = values >> np.uint64(BITS - prefix) if prefix else np.zeros(n, np.uint64)
     cut = np.flatnonzero(top[1:] != top[:-1]) + 1
     lo, hi = np.append(0, cut), np.append(cut, n)
     keep = hi - lo > 1
     lo, hi = lo[keep], hi[keep]
-    forest = _Forest(n)
     stack = [(prefix, np.stack([lo, hi, lo, hi, np.zeros_like(lo)]))]
     while stack:
         depth, p = stack.pop()
+        while stack and stack[-1][0] == depth and p.shape[1] + stack[-1][1].shape[1] <= MERGE:
+            p = np.concatenate([p, stack.pop()[1]], axis=1)
         if p.shape[1] > CHUNK:
             for i in range(0, p.shape[1], CHUNK):
                 stack.append((depth, p[:, i : i + CHUNK]))
             continue
-        forest.refresh()
-        done = (forest.same_until[p[0]] >= p[1]) & (forest.same_until[p[2]] >= p[3]) & (forest.label[p[0]] == forest.label[p[2]])
-        p = p[:, ~done]
+        p = p[:, ~forest.settled(p)]
         if not p.shape[1]:
             continue
         size = (p[1] - p[0]) * (p[3] - p[2])
-        small = (size <= LEAF_PAIRS) | (depth == BITS)
+        small = size <= LEAF_PAIRS
         if small.any():
             q, m = p[:, small], size[small]
             at = np.repeat(np.arange(len(m)), m)
@@ -167,24 +183,26 @@ def trie_links(values: np.ndarray, prefix: int, budget: int) -> np.ndarray:
             a, b = q[0][at] + k // width, q[2][at] + k % width
             ok = (a < b) & (np.bitwise_count(values[a] ^ values[b]) <= budget)
             if ok.any():
-                links += forest.union(a[ok], b[ok])
+                meet(a[ok], b[ok])
             p = p[:, ~small]
             if not p.shape[1]:
                 continue
-        bit = np.uint64(BITS - 1 - depth)
-        above = ~((np.uint64(1) << (bit + np.uint64(1))) - np.uint64(1)) if depth else np.uint64(0)
-
-        def split(first: np.ndarray, above=above, bit=bit) -> np.ndarray:
-            return np.searchsorted(values, (values[first] & above) | (np.uint64(1) << bit))
-
-        am, bm = split(p[0]), split(p[2])
-        am, bm = np.minimum(am, p[1]), np.minimum(bm, p[3])
         own = p[0] == p[2]
         err = p[4]
+        if depth < bits:
+            bit = np.uint64(BITS - 1 - depth)
+            above = ~((np.uint64(1) << (bit + np.uint64(1))) - np.uint64(1)) if depth else np.uint64(0)
+
+            def split(first: np.ndarray, last: np.ndarray, above=above, bit=bit) -> np.ndarray:
+                return np.minimum(np.searchsorted(values, (values[first] & above) | (np.uint64(1) << bit)), last)
+
+            am, bm, more = split(p[0], p[1]), split(p[2], p[3]), 1
+        else:
+            am, bm, more = (p[0] + p[1] + 1) // 2, (p[2] + p[3] + 1) // 2, 0
         cross = np.concatenate(
             [
-                np.stack([p[0], am, bm, p[3], err + 1]),
-                np.stack([am, p[1], p[2], bm, err + 1])[:, ~own],
+                np.stack([p[0], am, bm, p[3], err + more]),
+                np.stack([am, p[1], p[2], bm, err + more])[:, ~own],
             ],
             axis=1,
         )
@@ -193,8 +211,22 @@ def trie_links(values: np.ndarray, prefix: int, budget: int) -> np.ndarray:
             q = q[:, (q[0] < q[1]) & (q[2] < q[3]) & (q[4] <= budget)]
             q = q[:, ~((q[0] == q[2]) & (q[1] - q[0] < 2))]
             if q.shape[1]:
-                stack.append((depth + 1, q))
-    return np.array(links, np.int64).reshape(-1, 2)
+                stack.append((min(depth + 1, bits), q))
+
+
+def trie_links(values: np.ndarray, prefix: int, budget: int) -> np.ndarray:
+    """Index pairs (k, 2) that connect distinct ``values`` exactly as all links between values equal in ``prefix`` bits would.
+
+    A pair of nodes is also dropped once both already lie in one component, so a dense ball of values gives a spanning tree.
+    """
+    forest, links = _Forest(len(values)), []
+
+    def meet(a: np.ndarray, b: np.ndarray) -> None:
+        k = forest.union(a, b)
+        links.append(np.stack([a[k], b[k]], axis=1))
+
+    trie_join(values, prefix, budget, forest, meet)
+    return np.concatenate(links) if links else np.zeros((0, 2), np.int64)
 
 
 def fingerprint_links(nodes: DataFrame, budget: int = 4, blocks: int | None = None, bucket: int = 512) -> DataFrame:
@@ -240,6 +272,17 @@ def fingerprint_links(nodes: DataFrame, budget: int = 4, blocks: int | None = No
     return dealt.repartition("choice", "key").mapInArrow(join, "u long, v long")
 
 
+def rooted_fingerprints(docs: DataFrame, budget: int = 4, shingle: int = 4, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp) for every row of ``docs``, and (fp, least_id, root) for every distinct fingerprint: root is the least it reaches."""
+    fps = written(with_fingerprint(docs, shingle, seed), "fingerprints")
+    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
+    comps = connected_components(fingerprint_links(fps.select("fp").distinct(), budget))
+    rooted = nodes.join(comps, nodes.fp == comps.node, "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
+    rooted = written(rooted, "roots")
+    drop_written(comps)
+    return fps, rooted
+
+
 def simhash_components(docs: DataFrame, budget: int = 4, shingle: int = 4, seed: int = 42) -> DataFrame:
     """(doc_id, fp, component_id) for every row of ``docs`` (doc_id, text; other columns are ignored).
 
@@ -247,11 +290,7 @@ def simhash_components(docs: DataFrame, budget: int = 4, shingle: int = 4, seed:
     ``budget`` or fewer differing bits. Rows without words have fingerprint 0 and link like any other. Repeated rows each
     appear. A null doc_id is never a component_id unless all rows of the component have none. Empty table: no rows.
     """
-    fps = written(with_fingerprint(docs, shingle, seed), "fingerprints")
-    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
-    comps = connected_components(fingerprint_links(fps.select("fp").distinct(), budget))
-    rooted = nodes.join(comps, nodes.fp == comps.node, "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
-    rooted = written(rooted, "roots")
+    fps, rooted = rooted_fingerprints(docs, budget, shingle, seed)
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named = rooted.select("fp", "root").join(least, "root").select(F.col("fp").alias("node_fp"), "component_id")
     return fps.join(named, fps.fp == named.node_fp, "left").select("doc_id", "fp", "component_id")
@@ -260,12 +299,28 @@ def simhash_components(docs: DataFrame, budget: int = 4, shingle: int = 4, seed:
 def simhash_keep_one(docs: DataFrame, budget: int = 4, shingle: int = 4, seed: int = 42) -> DataFrame:
     """The rows of ``docs`` with one document of each component: that with the smallest doc_id.
 
-    Of repeated rows with that doc_id one stays. Rows without a doc_id can't be named as a copy and stay.
+    Where rows of several components share that doc_id, each component keeps one of its own rows; of those with that doc_id and one
+    fingerprint the row with the least text stays. Rows without a doc_id can't be named as a copy and stay.
     """
-    kept = simhash_components(docs, budget, shingle, seed).where("doc_id = component_id").select(F.col("doc_id").alias("__kept_id")).distinct()
-    joined = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("__kept_id")).drop("__kept_id")
-    first = joined.withColumn("__rn", F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))).where("__rn = 1").drop("__rn")
-    return first.unionByName(docs.where("doc_id is null"))
+    _, rooted = rooted_fingerprints(docs, budget, shingle, seed)
+    kept = rooted.where("least_id is not null").groupBy("root").agg(F.min(F.struct("least_id", "fp")).alias("x"))
+    kept = kept.select(F.col("x.least_id").alias("doc_id"), F.col("x.fp").alias("mark"))
+
+    def mark(batches):
+        for b in batches:
+            fps = [fingerprint(t, shingle, seed) for t in b.column(b.schema.get_field_index("text")).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.array(fps, np.uint64).view(np.int64))], [*b.schema.names, MARK])
+
+    marked = docs.where("doc_id is not null").mapInArrow(mark, T.StructType([*docs.schema.fields, T.StructField(MARK, T.LongType())]))
+    return kept_rows(marked, kept).unionByName(docs.where("doc_id is null"))
+
+
+def kept_rows(marked: DataFrame, kept: DataFrame) -> DataFrame:
+    """Rows of ``marked`` whose doc_id and ``MARK`` are in ``kept`` (doc_id, mark), one for each: that with the least text, null first."""
+    right = kept.select(F.col("doc_id").alias("__kept_id"), F.col("mark").alias("__kept_mark"))
+    joined = marked.join(right, (F.col("doc_id") == F.col("__kept_id")) & (F.col(MARK) == F.col("__kept_mark"))).drop("__kept_id", "__kept_mark")
+    place = F.row_number().over(Window.partitionBy("doc_id", MARK).orderBy("text"))
+    return joined.withColumn("__kept_place", place).where("__kept_place = 1").drop("__kept_place", MARK)
 
 
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

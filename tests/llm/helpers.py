@@ -72,6 +72,29 @@ def components(rows):
     return fps, [min(least[find(f)], default=None) for f in fps]
 
 
+def jaccard_kept(rows, similar=0.8, shingle=5):
+    """Least doc_id of each component of texts whose word shingles have a Jaccard similarity of ``similar``; null ids aside."""
+    low = ["".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "") for _, t in rows]
+    words = [re.findall(r"[^\x20\x09-\x0D]+", t) for t in low]
+    sets = [set(zip(*(w[k:] for k in range(shingle)), strict=False)) or {tuple(w)} for w in words]
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= similar * len(sets[a] | sets[b]):
+                parent[find(a)] = find(b)
+    least = defaultdict(list)
+    for k, (i, _) in enumerate(rows):
+        if i is not None:
+            least[find(k)].append(i)
+    return [min(x) for x in least.values()]
+
+
 def repeats(rows, length=200):
     """(bytes, mask of removed bytes) of each row."""
     data = [(t or "").encode() for _, t in rows]

@@ -8,6 +8,7 @@ import pytest
 
 import corpus_pipeline
 from ethogrid.llm import decontaminate as D
+from ethogrid.llm import jaccard as J
 from ethogrid.llm import simhash as S
 from ethogrid.llm import sstable as T
 from ethogrid.llm import suffix_dedup as X
@@ -48,6 +49,39 @@ def test_simhash_keeps_one_row_of_each_component(docs, none):
     assert S.simhash_keep_one(none).count() == 0
 
 
+@pytest.mark.parametrize("parts", [1, 2, 3, 5])
+def test_each_component_keeps_its_own_row_where_ids_repeat(spark, parts):
+    a, b = (" ".join(f"{x}{k}" for k in range(60)) for x in "ab")
+    rows = [(2, b), (5, a), (5, b), (5, a + " "), (5, a), (None, a), (9, None), (9, "")]
+    docs = H.documents(spark, rows).repartition(parts)
+    for keep in (S.simhash_keep_one, J.similar_keep_one):
+        got = keep(docs)
+        assert got.columns == docs.columns
+        assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter([(2, b), (5, a), (None, a), (9, None)]), keep
+
+
+def test_spanning_forest_is_minimal():
+    rng = np.random.default_rng(0)
+    for _ in range(200):
+        n = int(rng.integers(2, 30))
+        a, b, cost = rng.integers(0, n, 60), rng.integers(0, n, 60), rng.integers(0, 5, 60)
+        a, b, cost = a[a != b], b[a != b], cost[a != b]
+        got, sets, want = J.spanning_forest(n, a, b, cost), S._Forest(n), []
+        for k in np.argsort(cost, kind="stable"):
+            want += [cost[k]] * len(sets.union(a[k : k + 1], b[k : k + 1]))
+        assert sorted(cost[got].tolist()) == want
+
+
+def test_trie_join_proposes_all_close_pairs_of_repeated_values():
+    rng = np.random.default_rng(3)
+    v = np.sort(np.concatenate([rng.integers(0, 1 << 12, 300), np.full(200, 77)]).astype(np.uint64) << np.uint64(52))
+    got = set()
+    S.trie_join(v, 2, 3, S._Forest(len(v)), lambda a, b: got.update(zip(a.tolist(), b.tolist(), strict=True)), 12)
+    i, j = np.triu_indices(len(v), 1)
+    near = (np.bitwise_count(v[i] ^ v[j]) <= 3) & (v[i] >> np.uint64(62) == v[j] >> np.uint64(62))
+    assert got == set(zip(i[near].tolist(), j[near].tolist(), strict=True))
+
+
 def test_near_dedup_stage_links_from_jaccard_0_8(spark, none):
     rng = random.Random(5)
     rows, i = [], 0
@@ -60,26 +94,11 @@ def test_near_dedup_stage_links_from_jaccard_0_8(spark, none):
                 x[10 + c * 25] = f"x{n}{c}{k}"
             rows.append((i := i + 1, " ".join(x)))
     rows += [(i + 1, None), (i + 2, " "), (i + 3, "a b"), (i + 4, "A  b"), (i + 4, "A  b"), (None, "a b")]
-    sets = [set(zip(*((t or "").lower().split()[k:] for k in range(5)), strict=False)) or {t and t.lower().strip() and " ".join(t.lower().split()) or ""} for _, t in rows]
-    parent = list(range(len(rows)))
-
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for a in range(len(rows)):
-        for b in range(a):
-            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
-                parent[find(a)] = find(b)
-    want = {}
-    for r, (d, _) in enumerate(rows):
-        if d is not None:
-            want[find(r)] = min(want.get(find(r), d), d)
+    want = H.jaccard_kept(rows)
     docs = H.documents(spark, rows)
     got = corpus_pipeline.near_dedup(spark, docs, None)
     assert got.columns == docs.columns
-    assert sorted(r.doc_id or 0 for r in got.collect()) == sorted([0, *want.values()])
+    assert sorted(r.doc_id or 0 for r in got.collect()) == sorted([0, *want])
     assert corpus_pipeline.near_dedup(spark, none, None).count() == 0
 
 
