@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ethogrid.llm.common import table, written
 from ethogrid.llm.decontaminate import drop_contaminated
-from ethogrid.llm.jaccard import jaccard_keep_one
+from ethogrid.llm.jaccard import similar_keep_one
 from ethogrid.llm.packing import pack_documents, text_lengths
 from ethogrid.llm.quality import keep_good
 from ethogrid.llm.suffix_dedup import remove_repeats
@@ -24,7 +24,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents whose five-word shingles have a Jaccard similarity of 0.8 or more, directly or over others, that with the smallest doc_id stays."""
-    return jaccard_keep_one(docs)
+    return similar_keep_one(docs)
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
