@@ -1,22 +1,23 @@
-"""Removal of repeated long byte strings with bucket-pointer refined suffixes (operator 10)."""
+"""Removal of repeated long byte strings by bucket-pointer refinement of suffixes (operator 10)."""
 
 from __future__ import annotations
 
 import hashlib
-import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ethogrid.llm.common import release, table, written
+from ethogrid.llm.common import drop_written, release, table, written
 
 LENGTH = 200  # bytes of a repeated string
 GRAM = 32  # bytes of an anchor
-Q = 50  # bytes of the first suffix buckets; doubled until LENGTH
+Q = 8  # bytes of the first suffix buckets; doubled until LENGTH
 SEGMENT = 1 << 19  # bytes hashed at once
 CHUNK = 1 << 20  # bytes of suffixes refined at once
+BLOCK = 1 << 17  # suffixes of a pass that are sorted before their pointers are set
+HOT = 4096  # distinct regions of an anchor (1.2 MB) beyond which its windows are dealt out one by one
 
 _U = np.uint64
 _BYTE = np.random.default_rng(20240611).integers(1, 1 << 63, 256, dtype=np.uint64) | _U(1)
@@ -97,6 +98,11 @@ def _utf8(t: str | None) -> bytes:
     return t.encode("utf-8", "surrogatepass") if t else b""
 
 
+def with_hash(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, crc): ``crc``, a 64-bit checksum of the text, tells rows of one doc_id apart."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("crc"))
+
+
 def anchor_rows(docs: DataFrame) -> DataFrame:
     """(doc_id, crc, gram, region, loc) of every anchor; loc packs the first window (40 bits), pos - lo and hi - lo."""
 
@@ -105,7 +111,7 @@ def anchor_rows(docs: DataFrame) -> DataFrame:
             texts = [_utf8(t) for t in b.column(1).to_pylist()]
             doc = b.column(0).fill_null(0).to_numpy()
             missing = b.column(0).is_null().to_numpy(zero_copy_only=False)
-            crc = np.array([zlib.crc32(t) for t in texts], np.int64)
+            crc = b.column(2).to_numpy()
             for ids, offs, parts in _segments(texts):
                 ends = np.cumsum([len(x) for x in parts])
                 pos, lo, hi, g, r = anchors(np.frombuffer(b"".join(parts), np.uint8), ends)
@@ -120,167 +126,184 @@ def anchor_rows(docs: DataFrame) -> DataFrame:
                     ["doc_id", "crc", "gram", "region", "loc"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, crc long, gram long, region long, loc long")
+    return with_hash(docs).mapInArrow(run, "doc_id long, crc long, gram long, region long, loc long")
 
 
-def anchor_counts(docs: DataFrame) -> DataFrame:
-    """(gram, region, n): anchors counted, those of each batch of texts together, so that very common ones are few rows."""
+def _ranges(begins: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """begins[0], begins[0] + 1, ... (counts[0] of them), begins[1], ..."""
+    return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts - begins, counts)
 
-    def run(batches):
-        for b in batches:
-            got = []
-            for _, _, parts in _segments([_utf8(t) for t in b.column(0).to_pylist()]):
-                got.append(anchors(np.frombuffer(b"".join(parts), np.uint8), np.cumsum([len(x) for x in parts]))[3:])
-            if not got:
-                continue
-            g, r = (np.concatenate(x).view(np.int64) for x in zip(*got, strict=True))
-            order = np.lexsort((r, g))
-            g, r = g[order], r[order]
-            first = np.flatnonzero(np.append(True, (g[1:] != g[:-1]) | (r[1:] != r[:-1]))) if len(g) else np.zeros(0, np.int64)
-            n = np.diff(np.append(first, len(g)))
-            yield pa.RecordBatch.from_arrays([pa.array(g[first]), pa.array(r[first]), pa.array(n)], ["gram", "region", "n"])
-
-    return docs.select("text").mapInArrow(run, "gram long, region long, n long")
-
-
-def refine(data: np.ndarray, begins: np.ndarray, widths: np.ndarray, length: int = LENGTH, q: int = Q) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket-pointer refinement: (owner, bucket) of the windows begins[i] .. begins[i] + widths[i] of each region i.
-
-    Suffixes are first bucketed by their q-gram. Each round sorts them on the pair of their own bucket and the bucket
-    of the suffix as many bytes later as the depth reached so far, so the buckets just updated serve to double the
-    depth. Two windows end in one bucket exactly if their ``length`` bytes are equal.
+
+def refine(data: np.ndarray, begins: np.ndarray, widths: np.ndarray, copies: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """(first, last) repeated window of each region (1 << 40 and -1 if none): bucket-pointer refinement of the regions' suffixes.
+
+    Region i has the windows that start at begins[i] .. begins[i] + widths[i] and stands for ``copies[i]`` equal ones. Suffixes are bucketed
+    by their first ``Q`` bytes, in the order of the bytes; a suffix's bucket pointer is the rank at which its bucket begins. Each pass
+    sorts the suffixes of buckets that still hold several on the pointers of the suffixes as many bytes later as the depth reached, block after
+    block of buckets; pointers are set anew at once, so blocks that follow, and the next pass at twice the depth, sort on refined ones. Once
+    the depth is ``length``, equal windows are neighbours in suffix order; their bytes are compared before they count as equal.
     """
     ends = begins + widths + length
-    p, inv = _prefix(data), _powers(len(data) + 1)[1]
-
-    def positions(depth: int) -> np.ndarray:
-        count = ends - begins - depth + 1
-        return np.arange(count.sum()) - np.repeat(np.cumsum(count) - count - begins, count)
-
-    depth, at = q, positions(q)
-    bucket = np.zeros(len(data), np.int64)
-    bucket[at] = np.unique((p[at + q] - p[at]) * inv[at], return_inverse=True)[1]
-    while depth < length:
-        step = min(depth, length - depth)
-        at = positions(depth + step)
-        pair = bucket[at] * (len(data) + 1) + bucket[at + step]
-        bucket = np.zeros(len(data), np.int64)
-        bucket[at] = np.unique(pair, return_inverse=True)[1]
-        depth += step
-    return np.repeat(np.arange(len(begins)), widths + 1), bucket[at]
-
-
-def refine_large(pieces: list[bytes], leads: np.ndarray, widths: np.ndarray, copies: np.ndarray, length: int = LENGTH, q: int = Q) -> tuple[np.ndarray, np.ndarray]:
-    """(first, last) repeated window of each region of one gram, as :func:`refine` would find, in little memory.
-
-    Equal windows have their anchor at one offset, so the windows of one offset after the other are bucketed by the q-grams they are
-    made of and refined by pairs of buckets. Besides the regions this holds a few numbers a region, however many there are.
-    """
-    n = len(pieces)
-    first, last = np.full(n, 1 << 40), np.full(n, -1)
-    weigh = _powers(q)[0]
-    for offset in range(int(leads.max()) + 1):
-        window = leads - offset
-        rows = np.flatnonzero((window >= 0) & (window <= widths))
-        if len(rows) < 2 and not (len(rows) and copies[rows[0]] > 1):
-            continue
-        grams = np.empty((len(rows), length // q), _U)
-        for i in range(0, len(rows), 4096):
-            part = rows[i : i + 4096].tolist()
-            at = window[part].tolist()
-            cut = np.frombuffer(b"".join([pieces[k][a : a + length] for k, a in zip(part, at, strict=True)]), np.uint8)
-            grams[i : i + 4096] = (_BYTE[cut].reshape(len(part), -1, q) * weigh).sum(axis=2, dtype=_U)
-        bucket = np.unique(grams, return_inverse=True)[1].reshape(grams.shape)
-        while bucket.shape[1] > 1:
-            bucket = np.unique(bucket[:, ::2] * (bucket.max() + 1) + bucket[:, 1::2], return_inverse=True)[1].reshape(len(rows), -1)
-        bucket = bucket[:, 0]
-        hit = np.bincount(bucket, weights=copies[rows])[bucket] >= 2
-        first[rows[hit]] = np.minimum(first[rows[hit]], window[rows[hit]])
-        last[rows[hit]] = np.maximum(last[rows[hit]], window[rows[hit]])
-    return first, last
+    grams = np.zeros(max(len(data) - Q + 1, 0), _U)
+    for k in range(Q):
+        grams |= data[k : len(data) - Q + 1 + k].astype(_U) << _U(8 * (Q - 1 - k))
+    counts = widths + length - Q + 1
+    at = _ranges(begins, counts)
+    last = np.repeat(ends - Q, counts)  # where a suffix's region has its last q-gram
+    order = np.argsort(grams[at])
+    at, last = at[order], last[order]
+    heads = np.flatnonzero(np.append(True, grams[at[1:]] != grams[at[:-1]]))
+    sizes = np.diff(np.append(heads, len(at)))
+    pointer = np.zeros(len(data) + 1, np.int64)  # of the suffix at each byte, from 1; 0 where a region has no more q-grams
+    pointer[at] = np.repeat(heads, sizes) + 1
+    open_ = np.flatnonzero(np.repeat(sizes, sizes) > 1)  # ranks in buckets of several
+    depth = Q
+    while depth < length and len(open_):
+        rest, lo = [], 0
+        own = pointer[at[open_]]
+        while lo < len(open_):
+            hi = np.searchsorted(own, own[min(lo + BLOCK, len(open_)) - 1], side="right")
+            rank = open_[lo:hi]
+            here, end, mine = at[rank], last[rank], own[lo:hi]
+            later = np.where(here + depth <= end, pointer[np.minimum(here + depth, len(data))], 0)
+            by = np.lexsort((later, mine))
+            at[rank], last[rank] = here[by], end[by]
+            later, mine = later[by], mine[by]
+            cut = np.flatnonzero(np.append(True, (mine[1:] != mine[:-1]) | (later[1:] != later[:-1])))
+            size = np.diff(np.append(cut, len(rank)))
+            pointer[at[rank]] = np.repeat(rank[cut] + 1, size)
+            rest.append(rank[np.repeat(size, size) > 1])
+            lo = hi
+        open_ = np.concatenate(rest)
+        depth *= 2
+    n = len(data)
+    owner = np.full(n, -1)
+    starts = _ranges(begins, widths + 1)
+    owner[starts] = np.repeat(np.arange(len(begins)), widths + 1)
+    rows = at[owner[at] >= 0]  # windows in suffix order
+    same = np.arange(len(rows) - 1)
+    for k in [*range(0, length - Q, Q), length - Q]:
+        same = same[grams[rows[same] + k] == grams[rows[same + 1] + k]]
+    new = np.ones(len(rows), bool)
+    new[same + 1] = False
+    bucket = np.cumsum(new) - 1
+    own = owner[rows]
+    hit = np.bincount(bucket, weights=copies[own])[bucket] >= 2 if len(rows) else np.zeros(0, bool)
+    own, window = own[hit], (rows - begins[own])[hit]
+    first, final = np.full(len(begins), 1 << 40), np.full(len(begins), -1)
+    np.minimum.at(first, own, window)
+    np.maximum.at(final, own, window)
+    return first, final
 
 
 def _repeated(batches):
-    """Rows of one gram come together; finds for each region that occurs once the first and last repeated window."""
-    names = ["doc_id", "crc", "s", "e"]
-
-    def rows_out(rows, first, last):
-        out = [(r[0], r[1], r[3] + f, r[3] + z + LENGTH) for r, f, z in zip(rows, first.tolist(), last.tolist(), strict=True) if z >= 0 and r[2] == 1]
-        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(4)], names)
-
-    def solve(rows):
-        widths = np.array([r[4] for r in rows])
-        if size > 2 * CHUNK:
-            return rows_out(rows, *refine_large([r[5] for r in rows], np.array([r[6] for r in rows]), widths, np.array([min(r[2], 2) for r in rows])))
-        sizes = widths + LENGTH
-        begins = np.cumsum(sizes) - sizes
-        data = np.frombuffer(b"".join(r[5] for r in rows), np.uint8)
-        owner, bucket = refine(data, begins, widths)
-        copies = np.array([min(r[2], 2) for r in rows])
-        hit = np.bincount(bucket, weights=copies[owner])[bucket] >= 2
-        window = np.arange(len(owner)) - (np.cumsum(widths + 1) - widths - 1)[owner]
-        first = np.full(len(rows), 1 << 40)
-        last = np.full(len(rows), -1)
-        np.minimum.at(first, owner[hit], window[hit])
-        np.maximum.at(last, owner[hit], window[hit])
-        return rows_out(rows, first, last)
-
-    rows, size, last = [], 0, None
+    """Rows of one gram come together; gives each region's first and last repeated window, counted from the region's first."""
+    rows, size, at = [], 0, None
+
+    def solve():
+        widths = np.array([r[3] for r in rows])
+        begins = np.cumsum(widths + LENGTH) - widths - LENGTH
+        first, last = refine(np.frombuffer(b"".join([r[4] for r in rows]), np.uint8), begins, widths, np.array([r[2] for r in rows]))
+        hit = np.flatnonzero(last >= 0)
+        return pa.RecordBatch.from_arrays(
+            [*(pa.array([rows[k][i] for k in hit.tolist()], pa.int64()) for i in range(2)), pa.array(first[hit]), pa.array(last[hit])], ["gram", "region", "first", "last"]
+        )
+
     for b in batches:
-        cols = [b.column(i).to_pylist() for i in range(8)]
-        for gram, *r in zip(*cols, strict=True):
-            if gram != last and size >= CHUNK:
-                yield solve(rows)
+        for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if r[0] != at and size >= CHUNK:
+                yield solve()
                 rows, size = [], 0
             rows.append(r)
-            size += len(r[5])
-            last = gram
+            size += len(r[4])
+            at = r[0]
     if rows:
-        yield solve(rows)
+        yield solve()
 
 
-def repeated_intervals(docs: DataFrame) -> DataFrame:
-    """(doc_id, crc, s, e): byte intervals of each text that repeated LENGTH-byte strings cover; they may overlap.
-
-    Anchors chosen by content stand for the 170 or so windows around them, so equal windows meet at equal anchors and the
-    first shuffles carry about one row for every 85 bytes. An anchor that occurs once drops out, and a region that occurs twice
-    repeats whole. Only distinct regions whose anchor recurs with other bytes around it are fetched and refined as suffixes.
-    """
-    spark = docs.sparkSession
-    by_gram = Window.partitionBy("gram")
-    classes = anchor_counts(docs).repartition("gram").groupBy("gram", "region").agg(F.sum("n").alias("n"))
-    classes = classes.withColumn("total", F.sum("n").over(by_gram)).withColumn("kinds", F.count("*").over(by_gram)).where("total > 1")
-    classes = written(classes.select(F.col("gram").alias("g"), F.col("region").alias("r"), "n", (F.col("kinds") > 1).alias("mixed")), "classes")
-    release(spark)
-    found = anchor_rows(docs)
-    found = written(found.join(classes, (found.gram == classes.g) & (found.region == classes.r)).drop("g", "r"), "anchors")
-    release(spark)
-    first = F.shiftright("loc", 16)
-    whole = found.where("n > 1").select("doc_id", "crc", first.alias("s"), (first + F.col("loc").bitwiseAND(255) + LENGTH).alias("e"))
-    mixed = found.where("mixed")
-    one = mixed.where("n = 1").select("doc_id", "crc", "gram", F.lit(1).cast("long").alias("n"), "loc")
-    more = mixed.where("n > 1").groupBy("gram", "region").agg(F.min(F.struct("doc_id", "crc", "loc")).alias("x"))
-    more = more.select("x.doc_id", "x.crc", "gram", F.lit(2).cast("long").alias("n"), "x.loc")
-    wanted = one.unionByName(more).groupBy(F.col("doc_id").alias("w_id"), F.col("crc").alias("w_crc")).agg(F.collect_list(F.struct("gram", "n", "loc")).alias("wanted"))
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.crc32(F.col("text").cast("binary")).alias("crc"))
+def region_pieces(docs: DataFrame, regions: DataFrame) -> DataFrame:
+    """(gram, region, copies, width, bytes) of ``regions`` (gram, region, copies, doc_id, crc, loc), cut from the texts of ``docs``."""
+    named = F.struct("gram", "region", "copies", "loc")
+    wanted = regions.groupBy(F.col("doc_id").alias("w_id"), F.col("crc").alias("w_crc")).agg(F.collect_list(named).alias("wanted"))
+    text = with_hash(docs)
 
     def cut(batches):
+        types = [pa.int64()] * 4 + [pa.binary()]
         for b in batches:
-            out = []
-            for doc, t, crc, wanted in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+            out, seen = [], set()
+            for t, wanted in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 t = _utf8(t)
                 for x in wanted:
+                    if (key := (x["gram"], x["region"])) in seen:  # rows repeated with one doc_id and text
+                        continue
+                    seen.add(key)
                     s, width = x["loc"] >> 16, x["loc"] & 255
-                    out.append((x["gram"], doc, crc, x["n"], s, width, t[s : s + width + LENGTH], x["loc"] >> 8 & 255))
-            types = [pa.int64()] * 6 + [pa.binary(), pa.int64()]
+                    out.append((x["gram"], x["region"], x["copies"], width, t[s : s + width + LENGTH]))
             for i in range(0, len(out), 20_000):
                 part = out[i : i + 20_000]
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in part], types[k]) for k in range(8)], ["gram", "doc_id", "crc", "n", "s", "width", "bytes", "lead"])
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in part], types[k]) for k in range(5)], ["gram", "region", "copies", "width", "bytes"])
+
+    found = text.join(wanted, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("crc") == F.col("w_crc")))
+    return found.select("text", "wanted").mapInArrow(cut, "gram long, region long, copies long, width long, bytes binary")
 
-    pieces = text.join(wanted, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("crc") == F.col("w_crc")))
-    pieces = pieces.select("doc_id", "text", "crc", "wanted").mapInArrow(cut, "gram long, doc_id long, crc long, n long, s long, width long, bytes binary, lead long")
-    single = pieces.repartition("gram").sortWithinPartitions("gram").mapInArrow(_repeated, "doc_id long, crc long, s long, e long")
-    out = written(whole.union(single), "intervals")
+
+def repeated_windows_of_hot(pieces: DataFrame) -> DataFrame:
+    """What :func:`_repeated` gives, for anchors with very many regions: the last refinement, of buckets of half a window, is Spark's shuffle.
+
+    Every window is a row (gram, bucket of its first half, bucket of its second half), buckets by 64-bit hash; equal rows are counted, combined
+    before they are shuffled. So no task holds the regions of one anchor.
+    """
+    half = LENGTH // 2
+
+    def run(batches):
+        for b in batches:
+            for i in range(0, b.num_rows, 1000):
+                part = b.slice(i, 1000)
+                widths = part.column(3).to_numpy()
+                data = np.frombuffer(b"".join(part.column(4).to_pylist()), np.uint8)
+                p, inv = _prefix(data), _powers(len(data) + 1)[1]
+                at = _ranges(np.cumsum(widths + LENGTH) - widths - LENGTH, widths + 1)
+                of = np.repeat(np.arange(len(widths)), widths + 1)
+                window = _ranges(np.zeros(len(widths), np.int64), widths + 1)
+                b0, b1 = (_mix((p[x + half] - p[x]) * inv[x]).view(np.int64) for x in (at, at + half))
+                cols = [part.column(k).to_numpy()[of] for k in range(3)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*cols, window, b0, b1)], ["gram", "region", "copies", "window", "b0", "b1"])
+
+    windows = written(pieces.mapInArrow(run, "gram long, region long, copies long, window long, b0 long, b1 long"), "windows")
+    key = ["gram", "b0", "b1"]
+    repeated = windows.groupBy(*key).agg(F.sum("copies").alias("total")).where("total > 1").select(*key)
+    return windows.join(repeated, key).groupBy("gram", "region").agg(F.min("window").alias("first"), F.max("window").alias("last"))
+
+
+def repeated_intervals(docs: DataFrame) -> DataFrame:
+    """(doc_id, crc, s, e): byte intervals of each text that repeated LENGTH-byte strings cover; they may overlap.
+
+    Anchors chosen by content stand for the 170 or so windows around them, so equal windows meet at equal anchors and only
+    anchors, one for every 85 bytes or so, are dealt out. An anchor that occurs once drops out. Of every other the distinct regions, one for all equal ones,
+    are fetched and refined as suffixes; windows found repeated are looked up for every place that has the region.
+    Regions are told apart by two 64-bit hashes (of anchor and region).
+    """
+    spark = docs.sparkSession
+    placed = written(anchor_rows(docs), "anchors")
+    spot = F.min(F.struct("doc_id", "crc", "loc")).alias("x")
+    classes = written(placed.groupBy("gram", "region").agg(F.least(F.count("*"), F.lit(2)).alias("copies"), spot).select("gram", "region", "copies", "x.*"), "classes")
+    grams = classes.groupBy("gram").agg(F.sum("copies").alias("total"), F.count("*").alias("kinds")).where("total > 1")
+    grams = grams.select(F.col("gram").alias("g"), (F.col("kinds") > HOT).alias("hot"))
+    recurring = written(classes.join(grams, F.col("gram") == F.col("g")).drop("g"), "recurring")
+    drop_written(classes)
+    release(spark)
+    found = region_pieces(docs, recurring.where("not hot")).repartition("gram").sortWithinPartitions("gram")
+    found = written(found.mapInArrow(_repeated, "gram long, region long, first long, last long"), "repeated")
+    release(spark)
+    if not recurring.where("hot").isEmpty():
+        hot = written(repeated_windows_of_hot(region_pieces(docs, recurring.where("hot"))), "repeated")
+        found = found.unionByName(hot)
+    found = found.select(F.col("gram").alias("g"), F.col("region").alias("r"), "first", "last")
+    begin = F.shiftright("loc", 16)
+    out = placed.join(found, (F.col("gram") == F.col("g")) & (F.col("region") == F.col("r")))
+    out = written(out.select("doc_id", "crc", (begin + F.col("first")).alias("s"), (begin + F.col("last") + LENGTH).alias("e")), "intervals")
+    drop_written(placed)
+    drop_written(recurring)
     release(spark)
     return out
 
@@ -292,7 +315,7 @@ def with_spans(docs: DataFrame) -> DataFrame:
         .groupBy(F.col("doc_id").alias("__id"), F.col("crc").alias("__crc"))
         .agg(F.collect_set(F.struct("s", "e")).alias("__spans"))
     )
-    same = docs.doc_id.eqNullSafe(F.col("__id")) & (F.crc32(docs.text.cast("binary")) == F.col("__crc"))
+    same = docs.doc_id.eqNullSafe(F.col("__id")) & (F.xxhash64(docs.text) == F.col("__crc"))
     return docs.join(spans, same, "left").drop("__id", "__crc")
 
 

@@ -245,18 +245,43 @@ def test_sstable_lookup_and_damage(tmp_path):
         list(T.Reader(f).scan())
 
 
-def test_large_groups_are_refined_as_small_ones():
-    rng = random.Random(8)
+def some_regions(seed=8):
+    rng = random.Random(seed)
     passage = "".join(rng.choices("abcdef", k=260)).encode()
     texts = ["".join(rng.choices("abcdef", k=rng.randint(0, 300))).encode() + passage[rng.randint(0, 30) :] + "".join(rng.choices("ab", k=rng.randint(0, 200))).encode() for _ in range(60)]
-    texts = [t for t in texts if len(t) >= 200]
+    texts = [t for t in texts if len(t) >= 200] + [b"xy" * 150, b"xy" * 130 + b"z"]
     data = np.frombuffer(b"".join(texts), np.uint8)
-    pos, lo, hi, g, r = X.anchors(data, np.cumsum([len(t) for t in texts]))
-    pieces = [data[a : b + X.LENGTH].tobytes() for a, b in zip(lo, hi, strict=True)]
-    widths, copies = hi - lo, np.ones(len(lo), np.int64)
-    owner, bucket = X.refine(np.frombuffer(b"".join(pieces), np.uint8), np.cumsum(widths + X.LENGTH) - widths - X.LENGTH, widths)
-    hit = np.bincount(bucket)[bucket] >= 2
-    window = np.arange(len(owner)) - (np.cumsum(widths + 1) - widths - 1)[owner]
-    want = [(min(w), max(w)) if (w := window[(owner == k) & hit].tolist()) else (1 << 40, -1) for k in range(len(lo))]
-    first, last = X.refine_large(pieces, pos - lo, widths, copies)
-    assert list(zip(first.tolist(), last.tolist(), strict=True)) == want and (last >= 0).any()
+    _, lo, hi, g, _ = X.anchors(data, np.cumsum([len(t) for t in texts]))
+    at = np.argsort(g, kind="stable")
+    return [data[a : b + X.LENGTH].tobytes() for a, b in zip(lo[at], hi[at], strict=True)], (hi - lo)[at]
+
+
+@pytest.mark.parametrize("block", [1, 500, 1 << 17])
+def test_refined_suffixes_equal_counted_windows(monkeypatch, block):
+    monkeypatch.setattr(X, "BLOCK", block)
+    pieces, widths = some_regions()
+    copies = np.where(np.arange(len(pieces)) % 7 == 0, 2, 1)
+    seen = Counter()
+    for p, w, c in zip(pieces, widths, copies.tolist(), strict=True):
+        for k in range(w + 1):
+            seen[p[k : k + X.LENGTH]] += c
+    want = []
+    for p, w in zip(pieces, widths, strict=True):
+        hit = [k for k in range(w + 1) if seen[p[k : k + X.LENGTH]] > 1]
+        want.append((min(hit), max(hit)) if hit else (1 << 40, -1))
+    first, last = X.refine(np.frombuffer(b"".join(pieces), np.uint8), np.cumsum(widths + X.LENGTH) - widths - X.LENGTH, widths, copies)
+    assert list(zip(first.tolist(), last.tolist(), strict=True)) == want and (last < 0).any() and (last >= 0).any()
+
+
+def test_nothing_goes_without_refinement(monkeypatch, docs):
+    monkeypatch.setattr(X, "_repeated", lambda batches: iter(()))
+    assert all(r.n_removed == 0 for r in X.suffix_dedup(docs).collect())
+
+
+def test_hot_anchors_give_what_others_give(spark, monkeypatch):
+    rng = random.Random(8)
+    passage = H.sentence(rng, 70)
+    rows = [(i, f"{H.sentence(rng, rng.randint(0, 40))} {passage} {H.sentence(rng, rng.randint(0, 40))}") for i in range(60)] + ROWS
+    monkeypatch.setattr(X, "HOT", 5)
+    got = Counter((r.doc_id, r.n_removed, r.kept_sha256) for r in X.suffix_dedup(H.documents(spark, rows)).collect())
+    assert got == Counter((i, sum(m), hashlib.sha256(H.kept(d, m)).hexdigest()) for (i, _), (d, m) in zip(rows, H.repeats(rows), strict=True))
