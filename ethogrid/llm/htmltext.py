@@ -12,20 +12,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ethogrid.llm.common import table
+from ethogrid.llm.common import table, written
 
 GROUP = 256  # distinct pages of a host whose occurrence vectors are compared at once, on average at most
+GROUP_BYTES = 8 << 20  # and their html
+BROADCAST = 100_000  # hosts with several parts that are broadcast at most
 SUPPORT = 0.5  # share of the group's pages that hold the tokens of a valid class
 LEAST_SIZE = 2  # tokens of a valid class
 MAIN_PAGES = 3  # pages that a block of an article stands on before it counts as template
 
-RAW = frozenset("script style noscript template textarea iframe svg math object canvas select title xmp".split())
+RAW = frozenset("script style noscript template textarea iframe svg object canvas select title".split())
+ENDLESS = frozenset("script style textarea title".split())  # reach to the page's end if nothing closes them; "/>" doesn't
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that say where text stands; others (p, b, h1, li ...) only shape it.
 CONTAINERS = frozenset(
     "html head body nav header footer aside article main section div ul ol dl form fieldset table figure details dialog menu button".split()
 )
-BLOCKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd tr td th thead tbody tfoot caption blockquote pre address hr figcaption summary center legend".split())
+BLOCKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd tr td th thead tbody tfoot caption blockquote pre address hr figcaption summary center legend xmp".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 DROPPED = frozenset("head nav header footer aside form dialog menu button".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert".split())
@@ -36,7 +39,8 @@ _WORDS = (
 )
 _MARKS = re.compile(rf"(?:^|[\s_-]){_WORDS}(?:$|[\s_-])")  # outside of articles parts of names count,
 _NAMES = re.compile(rf"(?:^|\s)(?!header|masthead){_WORDS}(?:$|\s)")  # inside whole names only, and an article's own heading stays
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_NAME = re.compile(r"/?([a-zA-Z][^\s/<>]*)")
+_STOP = re.compile(r"[<>\"']")
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 
@@ -52,57 +56,98 @@ class Token:
     text: str = ""
     path: tuple = field(default=(), repr=False)
     heading: bool = False  # inside h1 to h6
-    named: tuple = ()  # keys of the elements of an article around it whose names say that they hold no main text
 
 
-NOWHERE = ("", "", False, False, ())
+NOWHERE = ("", "", False, False)
+
+
+def markup(page: str):
+    """(begin, end, tag, closing, attributes) of every tag in order, in time linear in the page; other markup has an empty tag.
+
+    A tag ends at the first ``>`` outside of quotes; if a ``<`` or the end comes before, its own ``<`` is text. The contents of raw elements
+    belong to their opening tag; one that nothing closes is empty, or reaches to the end if it is one of ``ENDLESS``.
+    """
+    at, missing = 0, set()
+
+    def find(what: str, start: int) -> int:
+        k = -1 if what in missing else page.find(what, start)
+        if k < 0:
+            missing.add(what)
+        return k
+
+    while (a := page.find("<", at)) >= 0:
+        at = a + 1
+        if page.startswith("<!--", a):
+            end = find("-->", a + 4)
+            at = len(page) if end < 0 else end + 3
+            yield a, at, "", False, ""
+            continue
+        if page.startswith(("<!", "<?"), a):
+            cdata = page.startswith("<![CDATA[", a)
+            end = find("]]>", a) + 3 if cdata and find("]]>", a) >= 0 else find(">", a) + 1
+            if end:
+                yield a, end, "", False, ""
+                at = end
+            continue
+        name = _NAME.match(page, at)
+        if not name:
+            continue
+        k = name.end()
+        while m := _STOP.search(page, k):
+            if m[0] in "<>":
+                break
+            k = find(m[0], m.end()) + 1
+            if not k:
+                m = None
+                break
+        if not m or m[0] == "<":
+            continue
+        tag, closing, attributes, at = name[1].lower(), page[a + 1] == "/", page[name.end() : m.start()], m.end()
+        if not closing and (tag in RAW or tag == "xmp") and not (attributes.endswith("/") and tag not in ENDLESS):
+            end = None if tag in missing else re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+            if end and tag == "xmp":
+                inner, at = page[at : end.start()], end.end()
+                yield a, at, tag, False, inner
+                continue
+            if end:
+                at = end.end()
+            else:
+                missing.add(tag)
+                at = len(page) if tag in ENDLESS else at
+        yield a, at, tag, closing, attributes
 
 
 def tokens(page: str | None) -> list[Token]:
     """Tags and text nodes of a page in order; comments and the contents of raw elements are left out."""
     out: list[Token] = []
-    stack: list[tuple[str, str, bool, bool, tuple]] = []  # (tag, name with class and id, dropped, main, named)
+    stack: list[tuple[str, str, bool, bool]] = []  # (tag, name with class, id and role, dropped, main)
     at, page, heading = 0, page or "", ""
     path: tuple = ()
 
-    def text(a: int, b: int) -> None:
-        if a < b:
-            t = _html.unescape(page[a:b])
-            _, _, dropped, main, named = stack[-1] if stack else NOWHERE
-            out.append(Token("", False, (path, "", " ".join(t.split())), dropped, main, t, path, bool(heading), named))
-
-    while True:
-        m = _TAG.search(page, at)
-        if not m:
-            text(at, len(page))
-            return by_block(out)
-        text(at, m.start())
-        at = m.end()
-        tag = (m[2] or "").lower()
-        if not tag:
-            continue
-        closing = bool(m[1])
-        if tag in RAW and not closing:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+    def text(t: str) -> None:
+        if t:
+            _, _, dropped, main = stack[-1] if stack else NOWHERE
+            out.append(Token("", False, (path, "", " ".join(t.split())), dropped, main, t, path, bool(heading)))
+
+    for begin, end, tag, closing, attributes in markup(page):
+        text(_html.unescape(page[at:begin]))
+        at = end
+        if not tag or (tag in RAW and not closing):
             continue
+        if tag == "xmp" and not closing:
+            out.append(Token(tag, False, (path, "<", tag), *(stack[-1] if stack else NOWHERE)[2:], "", path))
+            text(attributes)
+            closing = True
         if tag in HEADINGS:
             heading = "" if closing else tag
         elif tag in BLOCKS:
             heading = ""
-        name, dropped, main, named = tag, False, False, ()
+        name, dropped, main = tag, False, False
         if not closing and tag in CONTAINERS:
-            attrs = {k.lower(): (a or b or c).lower() for k, a, b, c in _ATTR.findall(m[3] or "")}
-            marks = f"{attrs.get('class', '')} {attrs.get('id', '')}"
-            name = re.sub(r"\d+", "N", f"{tag}|{marks.strip()}")
+            attrs = {k.lower(): (a or b or c).lower() for k, a, b, c in _ATTR.findall(attributes)}
+            name = re.sub(r"\d+", "N", f"{tag}|{attrs.get('class', '')} {attrs.get('id', '')}|{attrs.get('role', '')}")
             up = stack[-1] if stack else NOWHERE
-            main = up[3] or tag in ("article", "main") or attrs.get("role") == "main"
-            dropped = up[2] or tag in DROPPED or attrs.get("role") in DROPPED_ROLES or (not main and tag not in ("html", "body") and bool(_MARKS.search(marks)))
-            named = up[4]
-            if up[3] and tag not in ("article", "main") and _NAMES.search(marks):
-                named = (*named, (path, "<", name))
-            if tag == "header" and up[3] and not up[2]:
-                dropped = False  # an article's own heading
+            dropped, main, _ = inside(up[2], up[3], name)
         if tag in CONTAINERS and closing:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
@@ -113,8 +158,20 @@ def tokens(page: str | None) -> list[Token]:
         top = stack[-1] if stack else NOWHERE
         out.append(Token(tag, closing, (path, "/" if closing else "<", name), top[2] or dropped, top[3] or main, "", path))
         if tag in CONTAINERS and not closing:
-            stack.append((tag, name, dropped, main, named))
+            stack.append((tag, name, dropped, main))
             path = tuple(x[1] for x in stack)
+    text(_html.unescape(page[at:]))
+    return by_block(out)
+
+
+def inside(dropped: bool, main: bool, name: str) -> tuple[bool, bool, bool]:
+    """(dropped, main, named) of a container called ``name``, given those around it; ``named``: an article's block whose name says that it holds something else."""
+    tag, marks, role = name.split("|", 1)[0], name.split("|", 1)[1].rsplit("|", 1)[0].strip(), name.rsplit("|", 1)[1]
+    named = main and tag not in ("article", "main") and bool(_NAMES.search(marks))
+    gone = tag in DROPPED or role in DROPPED_ROLES or (not main and tag not in ("html", "body", "article", "main") and bool(_MARKS.search(marks)))
+    if tag == "header" and main and not dropped:
+        gone = False  # an article's own heading
+    return dropped or gone, main or tag in ("article", "main") or role == "main", named
 
 
 def by_block(page: list[Token]) -> list[Token]:
@@ -135,13 +192,26 @@ def by_block(page: list[Token]) -> list[Token]:
 class Template:
     """Keys of the tokens in valid equivalence classes, and how the classes nest: class -> class whose slot holds it.
 
-    ``shared`` has the keys that more than one page shows to be template: a page alone shows nothing.
+    ``shared`` has the keys that more than one page shows to be template: a page alone shows nothing. ``marks`` has the opening tags of
+    containers that say what a slot holds: those that two pages have, or the page that is alone.
     """
 
     keys: set
     classes: list
     parent: dict
     shared: set = field(default_factory=set)
+    marks: set = field(default_factory=set)
+
+    def slot(self, path: tuple) -> tuple[bool, bool, bool]:
+        """(dropped, main, named) of the slot in containers ``path``, as far as the template knows them."""
+        dropped = main = named = False
+        for i, name in enumerate(path):
+            key = (path[:i], "<", name)
+            tag = name.split("|", 1)[0]
+            if key in self.marks or (self.keys and tag in DROPPED):
+                dropped, main, here = inside(dropped, main, name)
+                named = named or (here and key in self.shared)
+        return dropped, main, named
 
 
 def deduce(pages: list[list[Token]], support: float = SUPPORT, least: int = LEAST_SIZE) -> Template:
@@ -207,19 +277,22 @@ def deduce(pages: list[list[Token]], support: float = SUPPORT, least: int = LEAS
             kept.append(keys)
             spans.append((page, mine))
     flat = {k for keys in kept for k in keys}
-    return Template(flat, kept, parent, flat if n > 1 else set())
+    opened = Counter(k for page in pages for k in {t.key for t in page if t.key[1] == "<" and t.tag in CONTAINERS})
+    return Template(flat, kept, parent, flat if n > 1 else set(), {k for k, c in opened.items() if c > 1 or n == 1 or k in flat})
 
 
 def main_text(page: list[Token], template: Template) -> str:
-    """Text of the slots that the template leaves, without those in dropped elements; one line a block.
+    """Text of the slots that the template leaves, but for those that its containers label as something else; one line a block.
 
-    Where the page has an article or main element with slots of text, only those count. Elements inside whose names say that they hold
-    something else are dropped if they belong to the template, and their headings stay.
+    Where the page has slots of text in an article or main element of the template, only those count. What the template does not know
+    labels nothing: without a template all text stays. Blocks inside of an article whose names say that they hold something else are dropped if they
+    belong to the template, and their headings stay.
     """
-    data = [t for t in page if not t.tag and t.text.strip() and not t.dropped and t.key not in template.keys]
-    data = [t for t in data if t.heading or template.shared.isdisjoint(t.named)]
-    inside = any(t.main for t in data)
-    chosen = {id(t) for t in data if t.main or not inside}
+    labels = {p: template.slot(p) for p in {t.path for t in page if not t.tag}}
+    data = [t for t in page if not t.tag and t.text.strip() and not labels[t.path][0] and t.key not in template.keys]
+    data = [t for t in data if t.heading or not labels[t.path][2]]
+    any_main = any(labels[t.path][1] for t in data)
+    chosen = {id(t) for t in data if labels[t.path][1] or not any_main}
     blocks, now = [], []
     for t in page:
         if t.tag in BLOCKS:
@@ -253,12 +326,15 @@ def host_of(url):
 def dealt_pages(pages: DataFrame, group: int = GROUP) -> DataFrame:
     """``pages`` with ``host``, ``c`` (hash of the html) and ``part``: parts of a host hold ``group`` distinct pages at most, on average.
 
-    A host has one part for each ``group`` distinct pages begun, and a page's part follows from its html. So copies share one, and parts
-    depend on the pages of the host only. Hosts with more than one part are broadcast, one row for ``group`` pages or more.
+    A host has one part for each ``group`` distinct pages or ``GROUP_BYTES`` begun, and a page's part follows from its html. So copies share one,
+    and parts depend on the pages of the host only. Hosts with more than one part are counted, and broadcast if they are ``BROADCAST`` at most.
     """
     rows = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), F.coalesce("html", F.lit("")).alias("html")).withColumn("c", F.xxhash64("html"))
-    sizes = rows.select("host", "c").distinct().groupBy("host").agg(F.ceil(F.count("*") / group).alias("parts")).where("parts > 1")
-    big = F.broadcast(sizes.withColumnRenamed("host", "__host"))
+    sizes = rows.select("host", "c", F.octet_length("html").alias("size")).distinct().groupBy("host")
+    sizes = sizes.agg(F.greatest(F.ceil(F.count("*") / group), F.ceil(F.sum("size") / GROUP_BYTES)).alias("parts")).where("parts > 1")
+    big = written(sizes.withColumnRenamed("host", "__host"), "hosts")
+    if big.count() <= BROADCAST:
+        big = F.broadcast(big)
     return rows.join(big, F.col("host") == F.col("__host"), "left").withColumn("part", F.pmod(F.xxhash64("c"), F.coalesce("parts", F.lit(1))).cast("int")).drop("__host", "parts")
 
 

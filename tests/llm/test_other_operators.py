@@ -3,6 +3,7 @@ import html
 import io
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -170,6 +171,66 @@ def test_named_blocks_of_an_article():
     assert H.extract_group(rare) == [f"A{i}" + "\nOne only" * (i == 2) for i in range(6)]
 
 
+def test_emptied_template_gives_other_texts(spark):
+    by_host = defaultdict(list)
+    for r in spark.read.parquet(f"{TABLES}/pages.parquet").collect():
+        by_host[re.sub(r"^\w+://([^/:]*).*", r"\1", r.url)].append(r.html)
+    for pages in by_host.values():
+        for p, text in zip(pages, H.extract_group(pages), strict=True):
+            bare = H.main_text(H.tokens(p), H.Template(set(), [], {}))
+            assert bare != text and len(bare) > len(text)
+
+
+def test_pages_without_telling_names():
+    pages = [f"<html><body><div class='q1'><p>Site name</p><ul><li>Home</ul></div><div class='q2'><p>Story {i}, part <b>{i}</b></p><p>More {i}</p></div><p>All rights</p></body></html>" for i in range(5)]
+    assert H.extract_group(pages) == [f"Story {i}, part {i}\nMore {i}" for i in range(5)]
+
+
+def slow_template(pages):
+    """Tokens of the classes that ``deduce`` finds valid, by definition: every set of tokens with one vector, tried on every page."""
+    vector = defaultdict(lambda: [0] * len(pages))
+    for i, page in enumerate(pages):
+        for t in page:
+            vector[t.key][i] += 1
+    keys = set()
+    for v in {tuple(v) for v in vector.values()}:
+        held = sum(c > 0 for c in v)
+        quoted = {t.key for page in pages for t in page if t.main and not t.tag and t.text.strip()}
+        mine = [k for k, w in vector.items() if tuple(w) == v and held >= max(3 if k in quoted else 2, len(pages) / 2)]
+        if len(mine) < 2:
+            continue
+        seqs = [[t.key for t in page if t.key in set(mine)] for page in pages]
+        rounds = {tuple(s[j : j + len(mine)]) for s in seqs for j in range(0, len(s), len(mine))}
+        if len(rounds) == 1:
+            keys |= set(mine)
+        else:
+            keys |= {k for k in mine if (k[0], {"<": "/", "/": "<"}.get(k[1]), k[2]) in mine}
+    return keys
+
+
+def test_template_equals_the_slow_deduction(spark):
+    by_host = defaultdict(list)
+    for r in spark.read.parquet(f"{TABLES}/pages.parquet").collect():
+        by_host[re.sub(r"^\w+://([^/:]*).*", r"\1", r.url)].append(H.tokens(r.html))
+    groups = [g for g in by_host.values() if len(g) > 1][:20]
+    groups.append([H.tokens(page(i, f"<div><p>Story {i}</p></div>")) for i in range(6)])
+    for g in groups:
+        assert H.deduce(g).keys == slow_template(g)
+
+
+def test_odd_markup_loses_no_text():
+    one = lambda h: H.extract_group([f"<article>{h}</article>"])[0]
+    assert one("<p>a<svg/> b <iframe src=x /> c <object/>d</p>") == "a b c d"
+    assert one("<p>a <math><mi>x</mi></math> b</p><xmp>1 <b> 2</xmp>") == "a x b\n1 <b> 2"
+    assert one("<p>a <svg><text>no</text></svg> b <iframe> c</p><p>d</p>") == "a b c\nd"
+    assert one("<p>1 < 2 <b title='a > b'>c</b> <i x=\"un>closed</p>") .startswith("1 < 2 c")
+    assert one("<p>x<script>if (a < b) '</p>'</script>y<style>p{}</p>") == "xy"
+    for junk in ("<a x=\"", "<a ", "<", "<!x ", "<![CDATA[", "</", "<a x='y\"", "<svg>"):
+        began = time.perf_counter()
+        H.tokens(junk * 100_000)
+        assert time.perf_counter() - began < 5, junk
+
+
 # --- archives --------------------------------------------------------------------------------------
 
 
