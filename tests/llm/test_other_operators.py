@@ -319,33 +319,95 @@ def test_ball_tree_opens_few_nodes_for_clear_queries():
 # --- packing ----------------------------------------------------------------------------------------
 
 
-def slow_pack(lengths, capacities, overhead):
-    bins, out = [], []
+def slow_fill(room, coming):
+    held = 0
+    for n in sorted(coming, reverse=True):
+        if n <= room - held:
+            held += n
+    return held
+
+
+def slow_pack(lengths, capacities, overhead, attention, single=None):
+    """(bins as (size, pieces), cost) by the rule of ``pack``, or with one size for opening."""
+    down = lambda n: min(c for c in capacities if c >= n)
+    bins = []  # [room, waiting since, pieces]
     for i, n in enumerate(lengths):
-        fits = [(room - n, k) for k, (room, _) in enumerate(bins) if room >= n]
+        fits = [b for b in bins if b[0] >= n]
         if fits:
-            k = min(fits, key=lambda x: (x[0], bins[x[1]][1]))[1]
+            b = min(fits, key=lambda b: b[:2])
         else:
-            left = sum(lengths[i + 1 :])
-            c = min((c for c in sorted(capacities) if c >= n), key=lambda c: ((c + overhead) / (n + min(c - n, left)), c))
-            k = len(bins)
-            bins.append((c, 0))
-        bins[k] = (bins[k][0] - n, i)  # the bin that waited longest at a room goes first
-        out.append(k)
+            held = {c: n + slow_fill(c - n, lengths[i + 1 :]) for c in capacities if c >= n}
+            c = max(single, down(n)) if single else min(held, key=lambda c: (K.cost_of(down(held[c]), overhead, attention) / held[c], c))
+            bins.append(b := [c, 0, []])
+        b[:2] = b[0] - n, i  # the bin that waited longest at a room goes first
+        b[2].append(n)
+    return [sorted(b[2]) for b in bins], sum(K.cost_of(down(sum(b[2])), overhead, attention) for b in bins)
+
+
+def best_pack(lengths, capacities, overhead, attention):
+    """Least cost of any packing."""
+    if not lengths:
+        return 0
+    first, rest = lengths[0], lengths[1:]
+    out = float("inf")
+    for mask in range(1 << len(rest)):
+        total = first + sum(n for k, n in enumerate(rest) if mask >> k & 1)
+        if total <= max(capacities):
+            own = K.cost_of(min(c for c in capacities if c >= total), overhead, attention)
+            out = min(out, own + best_pack([n for k, n in enumerate(rest) if not mask >> k & 1], capacities, overhead, attention))
     return out
 
 
 def test_best_fit_equals_slow_version():
     rng = random.Random(2)
-    for _ in range(30):
-        lengths = sorted((rng.randint(1, 60) for _ in range(rng.randint(0, 80))), reverse=True)
-        bins, offsets, sizes = K.pack(lengths, (16, 32, 64), 3)
-        assert bins == slow_pack(lengths, (16, 32, 64), 3)
-        fill = defaultdict(int)
+    for _ in range(40):
+        lengths = sorted((rng.randint(1, rng.choice([20, 64])) for _ in range(rng.randint(0, 60))), reverse=True)
+        bins, offsets, sizes = K.pack(lengths, (16, 32, 64), 3, 48)
+        inside = defaultdict(list)
         for b, o, n in zip(bins, offsets, lengths, strict=True):
-            assert o == fill[b]
-            fill[b] += n
-        assert all(sizes[b] == min(c for c in (16, 32, 64) if c >= f) for b, f in fill.items())
+            assert o == sum(inside[b])
+            inside[b].append(n)
+        assert all(sizes[b] == min(c for c in (16, 32, 64) if c >= sum(x)) for b, x in inside.items())
+        plans = [slow_pack(lengths, (16, 32, 64), 3, 48, single) for single in (None, 64, 32, 16)]
+        want = min(plans, key=lambda x: x[1])[0]
+        assert [sorted(inside[k]) for k in range(len(inside))] == want
+
+
+def test_sizes_are_chosen_jointly():
+    rng = random.Random(3)
+    cost = lambda sizes: sum(K.cost_of(c) for c in sizes)
+    lengths = sorted((min(16384, int(rng.lognormvariate(6.5, 1.3)) + 1) for _ in range(4000)), reverse=True)
+    joint = cost(K.pack(lengths)[2])
+    opened = K._pack(lengths, lambda n, _: 16384)[2]
+    single = cost([next(c for c in K.CAPACITIES if c >= u) for u in opened])
+    assert len(set(K.pack(lengths)[2])) > 2 and joint < 0.9 * single
+    ratios = []
+    for _ in range(30):
+        few = sorted((rng.randint(1, 60) for _ in range(6)), reverse=True)
+        best = best_pack(few, (16, 32, 64), 3, 48)
+        ratios.append(cost_ratio := sum(K.cost_of(c, 3, 48) for c in K.pack(few, (16, 32, 64), 3, 48)[2]) / best)
+        assert cost_ratio >= 1 - 1e-9
+    assert np.mean(ratios) < 1.1
+
+
+def test_packed_sequences_hold_every_token_once(spark):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(K.default_tokenizer())
+    rows = helpers.messy_rows()
+    got = K.packed_sequences(helpers.documents(spark, rows), (256, 1024, 4096), shard_rows=30).collect()
+    pieces = defaultdict(Counter)
+    for r in got:
+        assert r.capacity == min(c for c in (256, 1024, 4096) if c >= r.n_tokens) and r.n_tokens == len(r.ids) == r.ends[-1]
+        for i, a, b in zip(r.doc_ids, [0, *r.ends], r.ends, strict=False):
+            pieces[i][tuple(r.ids[a:b])] += 1
+    want = defaultdict(Counter)
+    for i, t in rows:
+        ids = [*tok.encode(t or "", add_special_tokens=False).ids, 1]
+        for k in range(0, len(ids), 4096):
+            want[i][tuple(ids[k : k + 4096])] += 1
+    assert pieces == want
+    assert K.packed_sequences(helpers.documents(spark, [])).collect() == []
 
 
 def check_packing(rows, lengths, capacities=K.CAPACITIES):
@@ -374,7 +436,7 @@ def check_packing(rows, lengths, capacities=K.CAPACITIES):
 def test_packing_keeps_every_byte(spark):
     rng = random.Random(4)
     rows = [(i, rng.choice([0, 1, 500, 3000, 16384, 16385, 100_000])) for i in range(300)] + [(900, None), (None, 77)]
-    df = spark.createDataFrame(rows, "doc_id long, length long").selectExpr("*", "1 as piece", "2 as shard", "3 as bin_id")
+    df = spark.createDataFrame(rows, "doc_id long, length long").selectExpr("*", "1 as piece", "2 as shard", "3 as bin_id", "4 as copy", "5 as rows")
     got = K.pack_documents(df, shard_rows=100).collect()
     check_packing(got, {i: n or 0 for i, n in rows})
     assert Counter(r.bin_id >> 32 for r in got if r.bin_id is not None).keys() == set(range(max(r.bin_id >> 32 for r in got if r.bin_id is not None) + 1))
@@ -409,7 +471,7 @@ def test_pipeline_equals_brute_force_stage_by_stage(spark):
     four = stage["benchmark_decontamination"](spark, docs, TABLES)
     assert four.columns == cols and {r.doc_id for r in docs.select("doc_id").collect()} - {r.doc_id for r in four.select("doc_id").collect()} == {7000}
 
-    check_packing([r for r in stage["best_fit_packing"](spark, docs.where("doc_id is not null").dropDuplicates(["doc_id"]), TABLES).collect()], {i: len((t or "").encode()) for i, t in dict((i, t) for i, t in rows if i is not None).items()})
+    check_packing([r for r in stage["best_fit_packing"](spark, docs.where("doc_id is not null").dropDuplicates(["doc_id"]), TABLES).collect()], {r.doc_id: r.length for r in K.text_lengths(docs.where("doc_id is not null").dropDuplicates(["doc_id"])).collect()})
 
 
 def test_pipeline_runs_whole_and_on_an_empty_table(spark, tmp_path):
