@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import hashlib
+import zlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ethogrid.llm.common import table
+from ethogrid.llm.common import drop_written, table, written
 
 WINDOW = 10
-PART_BYTES = 32 << 20  # benchmark text that one pass broadcasts at most
+PART_BYTES = 16 << 20  # benchmark text whose search tables (some 10 x its size) are in memory at once
 
 #: A-Z to a-z; ASCII other than letters and digits to a space; all other bytes stay.
 _TABLE = bytes(
@@ -24,66 +27,110 @@ def words(text: str | None) -> list[bytes]:
 
 
 class WuManber:
-    """Patterns of one length, in words. Blocks are two adjacent words (one where patterns have one word)."""
+    """Search for windows of ``size`` words in flat arrays. Blocks are two adjacent words (one where windows have one word), by hash.
 
-    def __init__(self, patterns: dict[tuple[bytes, ...], list], size: int):
-        self.size = size
+    ``shift``: for each block hash, how far the search may move on; one byte. ``begins``: where the bucket of windows that end in a
+    block hash begins in the arrays ``first`` (hash of a window's first word), ``at`` and ``to`` (its bytes in ``lines``) and ``owned``
+    (where its owners begin in ``owners``, numbers of items). Windows of equal bytes are one.
+    """
+
+    def __init__(self, size: int, lines: bytes, rows: np.ndarray, shifts: np.ndarray):
+        """``rows``: (last block, first word, begin, end, item, hash of the window) of every window; ``shifts``: (block, words after it)."""
+        self.size, self.lines = size, lines
         self.block = min(2, size)
         self.most = size - self.block + 1
-        self.shift: dict[bytes, int] = {}
-        self.buckets: dict[bytes, dict[bytes, list]] = {}
-        for pattern, owners in patterns.items():
-            for end in range(self.block, size + 1):
-                key = b" ".join(pattern[end - self.block : end])
-                self.shift[key] = min(self.shift.get(key, self.most), size - end)
-            last = b" ".join(pattern[size - self.block :])
-            self.buckets.setdefault(last, {}).setdefault(pattern[0], []).append((list(pattern), owners))
+        bits = max(10, int(2 * len(rows) + 1).bit_length())
+        self.mask = (1 << bits) - 1
+        shift = np.full(self.mask + 1, self.most, np.uint8)
+        np.minimum.at(shift, shifts[:, 0] & self.mask, shifts[:, 1].astype(np.uint8))
+        self.shift = shift.tobytes()
+        last, first, at, to, item, whole = rows.T
+        order = np.lexsort((item, whole, last & self.mask))
+        last, first, at, to, item, whole = (x[order] for x in (last & self.mask, first, at, to, item, whole))
+        like = np.flatnonzero((last[1:] == last[:-1]) & (whole[1:] == whole[:-1])) if len(last) else np.zeros(0, np.int64)
+        same = np.zeros(len(last), bool)
+        same[[k + 1 for k in like.tolist() if lines[at[k] : to[k]] == lines[at[k + 1] : to[k + 1]]]] = True
+        heads = np.flatnonzero(~same)
+        self.begins = np.searchsorted(last[heads], np.arange(self.mask + 2)).astype(np.uint32)
+        self.first, self.at, self.to = first[heads].astype(np.uint32), at[heads].astype(np.uint32), to[heads].astype(np.uint32)
+        self.owned, self.owners = np.append(heads, len(item)).astype(np.uint32), item.astype(np.int32)
 
     def search(self, text: list[bytes]):
-        """(index of the first word, owners) of every occurrence."""
-        size, most, shift, buckets, pair = self.size, self.most, self.shift, self.buckets, self.block == 2
+        """(index of the first word, number of the window) of every occurrence."""
+        size, shift, mask, begins, pair, crc = self.size, self.shift, self.mask, self.begins, self.block == 2, zlib.crc32
         i, n = size - 1, len(text)
         while i < n:
-            key = text[i - 1] + b" " + text[i] if pair else text[i]
-            step = shift.get(key, most)
+            h = crc(text[i - 1] + b" " + text[i] if pair else text[i]) & mask
+            step = shift[h]
             if step:
                 i += step
                 continue
-            first = i - size + 1
-            for pattern, owners in buckets[key].get(text[first], ()):
-                if text[first : i + 1] == pattern:
-                    yield first, owners
+            start = i - size + 1
+            a, b = int(begins[h]), int(begins[h + 1])
+            if a < b:
+                first = crc(text[start])
+                line = None
+                for k in range(a, b):
+                    if self.first[k] == first:
+                        line = b" ".join(text[start : i + 1]) if line is None else line
+                        if self.lines[self.at[k] : self.to[k]] == line:
+                            yield start, k
             i += 1
 
-
-def matchers(items: list[tuple]) -> list[WuManber]:
-    """One matcher for each window length in ``items`` (item_id, text)."""
-    by_size: dict[int, dict] = {}
-    for item, text in items:
-        w = words(text)
-        size = min(WINDOW, len(w))
-        for i in range(len(w) - size + 1 if size else 0):
-            by_size.setdefault(size, {}).setdefault(tuple(w[i : i + size]), set()).add(item)
-    return [WuManber({p: sorted(o, key=str) for p, o in found.items()}, size) for size, found in sorted(by_size.items())]
+    def items_of(self, window: int) -> list[int]:
+        return self.owners[self.owned[window] : self.owned[window + 1]].tolist()
 
 
-def search_all(found: list[WuManber], text: list[bytes]) -> tuple[list[tuple[int, int]], set]:
-    """(word spans of all occurrences, their items)."""
-    spans, items = [], set()
-    for m in found:
-        for first, owners in m.search(text):
-            spans.append((first, first + m.size))
-            items.update(owners)
-    return spans, items
+class Search:
+    """A :class:`WuManber` for each window length in ``items`` (item_id, text), and the item ids as text."""
 
+    def __init__(self, items):
+        import xxhash
 
-def covered(spans: list[tuple[int, int]]) -> int:
-    total, end = 0, -1
+        number, rows, shifts, lines, length = {}, {}, {}, bytearray(), 0
+        for item, text in items:
+            w = words(text)
+            size = min(WINDOW, len(w))
+            if not size:
+                continue
+            mine = number.setdefault(item, len(number))
+            line = b" ".join(w)
+            starts = np.cumsum([0, *(len(x) + 1 for x in w)])
+            block = min(2, size)
+            keys = np.array([zlib.crc32(line[a : b - 1]) for a, b in zip(starts.tolist(), starts[block:].tolist(), strict=False)], np.int64)
+            n = len(w) - size + 1
+            first = np.array([zlib.crc32(x) for x in w[:n]], np.int64)
+            begin, end = starts[:n], starts[size:] - 1
+            whole = np.array([xxhash.xxh64_intdigest(line[a:b]) for a, b in zip(begin.tolist(), end.tolist(), strict=True)], np.uint64).view(np.int64)
+            rows.setdefault(size, []).append(np.stack([keys[size - block :], first, begin + length, end + length, np.full(n, mine), whole], axis=1))
+            # the least number of words after a block in any window that holds it: 0 from the first window's end on
+            after = np.maximum(size - block - np.arange(len(keys)), 0)
+            shifts.setdefault(size, []).append(np.stack([keys, after], axis=1))
+            lines += line + b" "
+            length = len(lines)
+        self.items = [None if x is None else str(x) for x in number]
+        lines = bytes(lines)
+        self.by_size = [WuManber(k, lines, np.concatenate(rows[k]), np.concatenate(shifts[k])) for k in sorted(rows)]
+
+    def find(self, text: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
+        """(word spans that all occurrences cover, in order and apart, ids of their items)."""
+        spans, items = [], set()
+        for m in self.by_size:
+            for start, window in m.search(text):
+                spans.append((start, start + m.size))
+                items.update(m.items_of(window))
+        return united(spans), {self.items[k] for k in items} - {None}
+
+
+def united(spans) -> list[tuple[int, int]]:
+    """Spans (a, b) in order, those that overlap or touch as one."""
+    out = []
     for a, b in sorted(spans):
-        if b > end:
-            total += b - max(a, end)
-            end = b
-    return total
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
 
 
 def benchmark_parts(benchmark: DataFrame, part_bytes: int = PART_BYTES) -> int:
@@ -91,45 +138,67 @@ def benchmark_parts(benchmark: DataFrame, part_bytes: int = PART_BYTES) -> int:
     return max(1, -(-size // part_bytes))
 
 
+MARKS = "__op5_n_words long, __op5_spans array<struct<a:int,b:int>>, __op5_items array<string>"
+
+
+def _searched(docs: DataFrame, search: Search, hits_only: bool = False) -> DataFrame:
+    """All rows and columns of ``docs`` with the columns ``MARKS``; with ``hits_only`` only rows in which a window occurs."""
+    tables = docs.sparkSession.sparkContext.broadcast(search)
+    at, names = docs.columns.index("text"), [*docs.columns, "__op5_n_words", "__op5_spans", "__op5_items"]
+    kinds = [pa.int64(), pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])), pa.list_(pa.string())]
+
+    def run(batches):
+        for b in batches:
+            got = []
+            for t in b.column(at).to_pylist():
+                w = words(t)
+                spans, items = tables.value.find(w)
+                got.append((len(w), [{"a": p, "b": q} for p, q in spans], sorted(items)))
+            out = pa.RecordBatch.from_arrays([*b.columns, *(pa.array([x[k] for x in got], kind) for k, kind in enumerate(kinds))], names)
+            yield out.filter(pa.array([bool(x[1]) for x in got], pa.bool_())) if hits_only else out
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *T._parse_datatype_string(MARKS).fields]))
+
+
 def mark_contamination(docs: DataFrame, benchmark: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
-    """All rows and columns of ``docs`` with ``__n_words``, ``__spans`` (word spans a, b) and ``__items`` (item ids as text).
+    """All rows and columns of ``docs`` with ``__op5_n_words``, ``__op5_spans`` (word spans a, b, apart) and ``__op5_items`` (item ids as text).
 
-    The benchmark is broadcast as search tables in parts of about ``part_bytes`` of text, each of which every
-    document is searched for, so its size is bounded whatever the benchmark's. No shuffle takes place.
+    The benchmark is dealt by a hash into parts of about ``part_bytes`` of text (one item is never cut), and the search tables of one part are
+    built and broadcast at a time, so memory is bounded whatever the benchmark's size. A benchmark of one part is searched for in one
+    pass without a shuffle. Of more, each part is a pass of its own over the texts that writes the hits of the documents it finds, by doc_id and a hash
+    of the text, and these are joined to the documents at the end.
     """
-    from pyspark.sql import types as T
-
-    spark = docs.sparkSession
     parts = benchmark_parts(benchmark, part_bytes)
-    out = docs
+    if parts == 1:
+        return _searched(docs, Search(tuple(r) for r in benchmark.select("item_id", "text").toLocalIterator()))
+    key = [F.col("doc_id").alias("__op5_id"), F.xxhash64("text").alias("__op5_hash")]
+    hits = []
     for k in range(parts):
-        part = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k) if parts > 1 else benchmark
-        tables = spark.sparkContext.broadcast(matchers([tuple(r) for r in part.select("item_id", "text").toLocalIterator()]))
-        at = out.columns.index("text")
-        old = out.columns if k else [*out.columns, "__n_words", "__spans", "__items"]
-        fields = list(out.schema.fields) + (
-            [] if k else T._parse_datatype_string("__n_words long, __spans array<struct<a:int,b:int>>, __items array<string>").fields
-        )
-
-        def run(batches, tables=tables, at=at, k=k, old=old):
-            kinds = [pa.int64(), pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])), pa.list_(pa.string())]
-            for b in batches:
-                cols = list(b.columns)
-                before = [c.to_pylist() for c in cols[-2:]] if k else None
-                counts, spans, items = [], [], []
-                for i, t in enumerate(b.column(at).to_pylist()):
-                    w = words(t)
-                    s, x = search_all(tables.value, w)
-                    s = [{"a": p, "b": q} for p, q in s]
-                    x = {str(y) for y in x if y is not None}
-                    counts.append(len(w))
-                    spans.append(before[0][i] + s if k else s)
-                    items.append(sorted(x.union(before[1][i])) if k else sorted(x))
-                new = [pa.array(v, kind) for v, kind in zip((counts, spans, items), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays((cols[:-3] if k else cols) + new, old)
-
-        out = out.mapInArrow(run, T.StructType(fields))
-    return out
+        part = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k)
+        search = Search(tuple(r) for r in part.select("item_id", "text").toLocalIterator())
+        found = _searched(docs.select(*key, "text"), search, hits_only=True).dropDuplicates(["__op5_id", "__op5_hash"])
+        hits.append(written(found.select("__op5_id", "__op5_hash", "__op5_spans", "__op5_items"), "hits"))
+    every = hits[0]
+    for more in hits[1:]:
+        every = every.unionByName(more)
+    merge = F.flatten(F.collect_list("__op5_spans")).alias("__op5_spans"), F.array_distinct(F.flatten(F.collect_list("__op5_items"))).alias("__op5_items")
+    every = written(every.groupBy("__op5_id", "__op5_hash").agg(*merge), "hits")
+    for x in hits:
+        drop_written(x)
+    same = docs.doc_id.eqNullSafe(F.col("__op5_id")) & (F.xxhash64(docs.text) == F.col("__op5_hash"))
+    joined = docs.join(every, same, "left").drop("__op5_id", "__op5_hash")
+    names = [*docs.columns, "__op5_n_words", "__op5_spans", "__op5_items"]
+    at = docs.columns.index("text")
+
+    def close(batches):
+        for b in batches:
+            spans = [[{"a": p, "b": q} for p, q in united((x["a"], x["b"]) for x in s or ())] for s in b.column(b.num_columns - 2).to_pylist()]
+            items = [sorted(x or ()) for x in b.column(b.num_columns - 1).to_pylist()]
+            counts = [len(words(t)) for t in b.column(at).to_pylist()]
+            kinds = pa.int64(), pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])), pa.list_(pa.string())
+            yield pa.RecordBatch.from_arrays([*b.columns[:-2], *(pa.array(v, kind) for v, kind in zip((counts, spans, items), kinds, strict=True))], names)
+
+    return joined.mapInArrow(close, T.StructType([*docs.schema.fields, *T._parse_datatype_string(MARKS).fields]))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
@@ -144,9 +213,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, part_bytes: int = PART_
 
     def close(batches):
         for b in batches:
-            spans = b.column(2).to_pylist()
+            hit = [sum(s["b"] - s["a"] for s in x) for x in b.column(2).to_pylist()]
             items = b.column(3).to_pylist()
-            hit = [covered([(s["a"], s["b"]) for s in x]) for x in spans]
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column(0),
@@ -160,12 +228,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, part_bytes: int = PART_
             )
 
     schema = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
-    return marked.select("doc_id", "__n_words", "__spans", "__items").mapInArrow(close, schema)
+    return marked.select("doc_id", "__op5_n_words", "__op5_spans", "__op5_items").mapInArrow(close, schema)
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark window."""
-    return mark_contamination(docs, benchmark).where(F.size("__spans") == 0).select(docs.columns)
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
+    """The rows of ``docs`` that hold no benchmark window, with their columns.
+
+    Null and empty texts hold none and stay; rows that repeat stay or go together. An empty benchmark drops nothing.
+    """
+    return mark_contamination(docs, benchmark, part_bytes).where(F.size("__op5_spans") == 0).select(docs.columns)
 
 
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -192,14 +192,24 @@ def test_decontamination_drops_hit_documents(spark, docs):
     want = Counter((i, t) for (i, t), x in zip(ROWS, H.contamination(ROWS, ITEMS), strict=True) if not x[1])
     assert bag(got.select("doc_id", "text").collect()) == want
     assert D.drop_contaminated(docs, bench.limit(0)).count() == len(ROWS)
+    assert bag(D.drop_contaminated(docs, bench, 300).select("doc_id", "text").collect()) == want
 
 
 def test_wu_manber_skips_and_finds():
     words = [w.encode() for w in "a b c d e x c d e".split()]
-    pats = {tuple(p.encode() for p in x.split()): [i] for i, x in enumerate(["b c d", "c d e", "x c d", "q q q"])}
-    m = D.WuManber(pats, 3)
-    assert [(k, o) for k, o in m.search(words)] == [(1, [0]), (2, [1]), (5, [2]), (6, [1])]
-    assert m.shift[b"b c"] == 1 and m.shift[b"c d"] == 0
+    m = D.Search([(1, "q q q"), (2, "B c, d"), (3, "c d e"), (4, "x c d"), (5, "c d e")]).by_size[0]
+    got = sorted((k, sorted(m.items_of(w))) for k, w in m.search(words))
+    assert (m.size, got) == (3, [(1, [1]), (2, [2, 4]), (5, [3]), (6, [2, 4])])
+    assert [m.shift[D.zlib.crc32(x) & m.mask] for x in (b"b c", b"c d", b"q w")] == [1, 0, 2]
+
+
+def test_search_tables_stay_small():
+    import pickle
+
+    rng = random.Random(6)
+    items = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(1000))) for i in range(150)]
+    size = sum(len(t) for _, t in items)
+    assert len(pickle.dumps(D.Search(items))) < 12 * size
 
 
 def test_sstable_round_trip(spark, docs, none, tmp_path):
