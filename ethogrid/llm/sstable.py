@@ -19,6 +19,7 @@ from __future__ import annotations
 import bisect
 import struct
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,7 @@ from ethogrid.llm.common import filesystem, new_path, table, written
 
 MAGIC = b"SSTIDS01"
 BLOCK = 1 << 16
+SHARD_BYTES, SHARDS = 16 << 20, 50_000
 RESTART = 16
 BLOOM_BITS, BLOOM_HASHES = 10, 7
 _FOOTER = struct.Struct("<QIQIQQ8s")
@@ -76,7 +78,7 @@ class Writer:
     def __init__(self, stream):
         self.stream, self.offset = stream, 0
         self.index: list[tuple[bytes, int, int]] = []
-        self.hashes: list[tuple[int, int]] = []
+        self.hashes = array("I")  # two a key
         self.entries = self.ids = 0
         self._open()
 
@@ -95,7 +97,7 @@ class Writer:
         self.last = key
         self.entries += 1
         self.ids += ids
-        self.hashes.append((zlib.crc32(key), zlib.crc32(key, 0x5BD1E995) | 1))
+        self.hashes.extend((zlib.crc32(key), zlib.crc32(key, 0x5BD1E995) | 1))
         if len(self.block) >= BLOCK:
             self._close()
 
@@ -115,10 +117,10 @@ class Writer:
     def finish(self) -> None:
         self._close()
         index = self._put(b"".join(varint(len(k)) + k + struct.pack("<QI", o, n) for k, o, n in self.index))
-        bits = max(64, BLOOM_BITS * len(self.hashes))
+        bits = max(64, BLOOM_BITS * self.entries)
         field = np.zeros(-(-bits // 8) * 8, np.uint8)
         if self.hashes:
-            h = np.array(self.hashes, np.uint64)
+            h = np.frombuffer(self.hashes, np.uint32).astype(np.uint64).reshape(-1, 2)
             for i in range(BLOOM_HASHES):
                 field[((h[:, 0] + np.uint64(i) * h[:, 1]) % np.uint64(bits)).astype(np.int64)] = 1
         bloom = self._put(struct.pack("<II", bits, BLOOM_HASHES) + np.packbits(field, bitorder="little").tobytes())
@@ -231,6 +233,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
+        self.kind = "<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4"
         self.known: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
         self.odd = re.compile("[\x1c-\x1f]")
@@ -240,9 +243,9 @@ class Encoder:
         for i in range(0, len(chunks), 2000):
             part = chunks[i : i + 2000]
             e = self.tok.encode(part, is_pretokenized=True, add_special_tokens=False)
-            ids, owner = np.array(e.ids, np.uint16), np.array(e.word_ids, np.int64)
+            ids, owner = np.array(e.ids, self.kind), np.array(e.word_ids, np.int64)
             cuts = np.searchsorted(owner, np.arange(len(part) + 1))
-            data, cuts = ids.astype("<u2").tobytes(), (cuts * 2).tolist()
+            data, cuts = ids.tobytes(), (cuts * ids.itemsize).tolist()
             for c, a, b in zip(part, cuts, cuts[1:], strict=False):
                 into[c] = data[a:b]
 
@@ -279,7 +282,7 @@ class Encoder:
             if t and not chunks and self.odd.search(t):
                 out.append(np.array(self.tok.encode(t, add_special_tokens=False).ids, np.uint32))
             else:
-                out.append(np.frombuffer(b"".join(map(get, chunks)), "<u2"))
+                out.append(np.frombuffer(b"".join(map(get, chunks)), self.kind))
         return out
 
 
@@ -289,7 +292,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END
     Texts are dealt out by range of doc_id, so shard after shard is in order, and encoded after that: what finds the ranges looks
     at ids alone, and each text is encoded once. A shard is written under an attempt's own
     name and then renamed, so a task that is run again leaves one whole file. The manifest (shard, path, entries, ids), a row a shard,
-    is a written table. Rows that repeat an id stay, ordered by text; rows with a null id come first.
+    is a written table. A shard is of about ``SHARD_BYTES`` of text, but there are as many as the session has cores at least and ``SHARDS`` at most. Rows that repeat an id stay, ordered by text; rows with a null id come first.
     """
     spark = docs.sparkSession
 
@@ -324,7 +327,10 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END
         fs.move(temporary, name)
         yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (part, f"shard-{part:06d}.sst", entries.entries, entries.ids)], ["shard", "path", "entries", "ids"])
 
-    n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = shards
+    if not n:
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        n = min(max(-(-size // SHARD_BYTES), spark.sparkContext.defaultParallelism), SHARDS)
     order = F.col("doc_id").asc_nulls_first()
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(n, order).sortWithinPartitions(order, "text")
     return written(ordered.mapInArrow(write, "shard long, path string, entries long, ids long"), "manifest")
@@ -342,12 +348,22 @@ def _encoder(path: str) -> Encoder:
 def read_shards(manifest: DataFrame, folder: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every entry of the shards, each read back whole, in shard order.
 
-    ``start`` counts the ids of all documents before; the ids of earlier shards come from the manifest, one row a shard.
+    ``start`` counts the ids of all documents before: those of earlier shards come from the shards' footers, one row a shard.
     """
     spark = manifest.sparkSession
-    rows = sorted(manifest.select("shard", "path", "ids").collect())
+
+    def footers(batches):
+        fs, root = filesystem(folder)
+        for b in batches:
+            ids = []
+            for path in b.column(1).to_pylist():
+                with fs.open_input_file(f"{root}/{path}") as stream:
+                    ids.append(Reader(stream).ids)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids, pa.int64())], ["shard", "path", "ids"])
+
+    listed = manifest.select("shard", "path").repartition(spark.sparkContext.defaultParallelism)
     before, starts = 0, []
-    for shard, path, ids in rows:
+    for _, path, ids in sorted(map(tuple, listed.mapInArrow(footers, "shard long, path string, ids long").collect())):
         starts.append((path, before))
         before += ids
 

@@ -98,11 +98,13 @@ class Salvage:
 
     When a record fails a check (gzip stream or its checksum, header, length, block digest), the reader looks for the next
     place after its start where a gzip member or version line begins a record that passes, goes on there, and appends the
-    bytes skipped to ``gaps``: (first byte, end, reason). Memory: the largest record, or the gap being searched.
+    bytes skipped to ``gaps``: (first byte, end, reason). Inside a member of several records it does the same on the decompressed content,
+    also that of a member that breaks off, so its good records but the last before the break are kept; such a gap has the member's place in the file and says where in the content it lies.
+    Memory: the largest record or member, ``most`` bytes at most, or the gap being searched.
     """
 
-    def __init__(self, stream, step: int = 1 << 20):
-        self.stream, self.step = stream, step
+    def __init__(self, stream, step: int = 1 << 20, most: int = 1 << 30):
+        self.stream, self.step, self.most = stream, step, most
         self.buffer, self.base = bytearray(), 0
         self.gaps: list[tuple[int, int, str]] = []
 
@@ -111,39 +113,55 @@ class Salvage:
         self.buffer += data
         return bool(data)
 
-    def _member(self, at: int) -> tuple[bytes, int]:
-        """(content, end) of the gzip member at ``at`` of the buffer."""
-        z, out, pos = zlib.decompressobj(31), [], at
+    def _member(self, at: int) -> tuple[bytes, int, str]:
+        """(content, end, fault) of the gzip member at ``at`` of the buffer; with a fault the content is what came before it."""
+        z, out, pos, size = zlib.decompressobj(31), [], at, 0
         while True:
             if pos >= len(self.buffer) and not self._more():
-                raise ValueError("gzip member is cut short")
+                return b"".join(out), pos, "gzip member is cut short"
             part = bytes(self.buffer[pos : pos + (1 << 14)])
             try:
                 out.append(z.decompress(part))
             except zlib.error as e:
-                raise ValueError(f"gzip: {e}") from None
+                return b"".join(out), pos, f"gzip: {e}"
             pos += len(part)
+            size += len(out[-1])
             if z.eof:
-                return b"".join(out), pos - len(z.unused_data)
+                return b"".join(out), pos - len(z.unused_data), ""
+            if size > self.most:
+                return b"".join(out), pos, "member is too large"
 
     def _record(self, at: int):
-        """(list of records, end) at ``at`` of the buffer, each a (fields, block)."""
+        """(list of records, end, fault, gaps) at ``at`` of the buffer, each record a (fields, block), each gap (reason,)."""
         while len(self.buffer) - at < 16 and self._more():
             pass
         if self.buffer.startswith(_GZIP, at):
-            data, end = self._member(at)
-            got, k = [], 0
+            data, end, fault = self._member(at)
+            got, gaps, k = [], [], 0
             while k < len(data):
-                fields, block, k = parse(data, k)
-                got.append((fields, block))
+                try:
+                    fields, block, k = parse(data, k)
+                    got.append((fields, block))
+                except ValueError as e:
+                    m = _VERSION.search(data, k + 1)
+                    nxt = m.start() if m else len(data)
+                    if not (fault and not m):  # the end of what a broken member gave is part of its own gap
+                        gaps.append(f"bytes {k} to {nxt} of the member: {e}")
+                    k = nxt
+                    if not got and not m and not fault:
+                        raise
+            if fault:
+                got = got[:-1]  # no checksum covers what comes right before the break
             if not got:
-                raise ValueError("empty gzip member")
-            return got, end
+                raise ValueError(fault or "no good record in the gzip member")
+            return got, end, fault, gaps
         while True:
             try:
                 fields, block, end = parse(self.buffer, at)
-                return [(fields, block)], end
+                return [(fields, block)], end, "", []
             except NeedMore:
+                if len(self.buffer) - at > self.most:
+                    raise ValueError("record is too large") from None
                 if not self._more():
                     raise
 
@@ -158,7 +176,7 @@ class Salvage:
             if at >= len(self.buffer) and not self._more():
                 break
             try:
-                got, end = self._record(at)
+                got, end, fault, inner = self._record(at)
             except ValueError as e:
                 if bad is None:
                     bad, reason = self.base + at, str(e)
@@ -172,6 +190,13 @@ class Salvage:
                 bad = None
             for fields, block in got:
                 yield start, fields, block
+            self.gaps += [(start, self.base + end, why) for why in inner]
+            if fault:  # what follows the good records of a broken member is looked through like any gap
+                bad, reason = start, f"{fault}, {len(got)} records read before"
+                at = self._candidate(at + 1)
+                if at is None:
+                    break
+                continue
             at = end
         if bad is not None:
             self.gaps.append((bad, self.base + len(self.buffer), reason))
@@ -300,10 +325,13 @@ def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``pages`` written to archives and read back."""
+    """``pages`` written to archives and read back. Raises RuntimeError if the archives give fewer or more records than were written, or a gap."""
     folder = new_path(spark, "warc")
     manifest = write_archives(table(spark, sf_dir, "pages"), folder)
-    found = read_archives(manifest, folder).where("reason is null")
+    found = written(read_archives(manifest, folder), "records")
+    records, gaps = found.agg(F.count_if("reason is null"), F.count_if("reason is not null")).first()
+    if gaps or records != (manifest.agg(F.sum("records")).first()[0] or 0):
+        raise RuntimeError(f"archives are damaged: {records} records read, {gaps} gaps")
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

@@ -279,6 +279,26 @@ def test_salvage_reads_on_after_damage(packed):
     assert [(a, b) for a, b, _ in r.gaps] == [(0, 4), (ends[10], ends[11]), (ends[20], ends[21]), (ends[39], ends[40])]
 
 
+def test_salvage_keeps_good_records_of_a_bad_member():
+    bodies = [bytes([97 + i]) * (50 + i) for i in range(9)]
+    parts = [bytearray(R.record("response", i, f"http://x/{i}", p, R.digest(p))) for i, p in enumerate(bodies)]
+    whole = R.member(b"".join(parts[3:6]))
+    parts[1][-20] ^= 0xFF  # the block no longer has its digest
+    parts[7] = re.sub(rb"Content-Length: \d+\r\nX-Page", b"Content-Length: 999999999999\r\nX-Page", parts[7])
+    data = R.member(b"".join(parts[:3])) + whole[: len(whole) - 30] + R.member(b"".join(parts[6:]))
+    r = R.Salvage(io.BytesIO(data), 500, 10_000)
+    got = [R.page_of(f, b)[0] for _, f, b in r]
+    assert [x for x in got if x not in (3, 4, 5)] == [0, 2, 6, 8] and len(r.gaps) == 3
+    assert [why.split(":")[0].startswith("bytes") for *_, why in r.gaps] == [True, False, True]
+
+
+def test_damaged_archives_are_no_short_result(spark, monkeypatch):
+    real = R.member
+    monkeypatch.setattr(R, "member", lambda data: real(data) if b"X-Page-ID: 7\r\n" not in data else real(data)[:-9])
+    with pytest.raises(RuntimeError, match="damaged"):
+        R.op9_warc(spark, TABLES)
+
+
 # --- vectors ----------------------------------------------------------------------------------------
 
 
