@@ -324,10 +324,8 @@ def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
     return listed.mapInArrow(read, schema)
 
 
-def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``pages`` written to archives and read back. Raises RuntimeError if the archives give fewer or more records than were written, or a gap."""
-    folder = new_path(spark, "warc")
-    manifest = write_archives(table(spark, sf_dir, "pages"), folder)
+def read_whole(manifest: DataFrame, folder: str) -> DataFrame:
+    """The records that :func:`read_archives` gives; RuntimeError if they are fewer or more than were written, or there is a gap."""
     found = written(read_archives(manifest, folder), "records")
     records, gaps = found.agg(F.count_if("reason is null"), F.count_if("reason is not null")).first()
     if gaps or records != (manifest.agg(F.sum("records")).first()[0] or 0):
@@ -335,6 +333,12 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``pages`` written to archives and read back whole."""
+    folder = new_path(spark, "warc")
+    return read_whole(write_archives(table(spark, sf_dir, "pages"), folder), folder)
+
+
 ORACLE = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS x FROM pages),
 f AS (SELECT page_id, strlen(h) AS n, x, min(page_id) OVER (PARTITION BY x, strlen(h)) AS first_id FROM p)

@@ -292,11 +292,14 @@ def test_salvage_keeps_good_records_of_a_bad_member():
     assert [why.split(":")[0].startswith("bytes") for *_, why in r.gaps] == [True, False, True]
 
 
-def test_damaged_archives_are_no_short_result(spark, monkeypatch):
-    real = R.member
-    monkeypatch.setattr(R, "member", lambda data: real(data) if b"X-Page-ID: 7\r\n" not in data else real(data)[:-9])
+def test_damaged_archives_are_no_short_result(spark, tmp_path):
+    folder = f"file://{tmp_path}/w"
+    manifest = R.write_archives(spark.createDataFrame([(i, "u", f"page {i}") for i in range(50)], "page_id long, url string, html string").repartition(1), folder)
+    assert R.read_whole(manifest, folder).count() == 50
+    path = next((tmp_path / "w").glob("*.gz"))
+    path.write_bytes(path.read_bytes()[:-9])
     with pytest.raises(RuntimeError, match="damaged"):
-        R.op9_warc(spark, TABLES)
+        R.read_whole(manifest, folder)
 
 
 # --- vectors ----------------------------------------------------------------------------------------
