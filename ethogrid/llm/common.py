@@ -58,6 +58,13 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def sliced(batches, rows: int = 256):
+    """The Arrow batches in slices of some rows, so that a worker holds few of the Python objects that it makes of them at once."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 def filesystem(uri: str):
     """(pyarrow filesystem, path) of a folder URI: file, hdfs, s3, gs. A bare path is local."""
     from pyarrow import fs

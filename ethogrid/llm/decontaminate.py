@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ethogrid.llm.common import drop_written, table, written
+from ethogrid.llm.common import drop_written, sliced, table, written
 
 WINDOW = 10
 PART_BYTES = 16 << 20  # benchmark text whose search tables (some 10 x its size) are in memory at once
@@ -148,7 +148,7 @@ def _searched(docs: DataFrame, search: Search, hits_only: bool = False) -> DataF
     kinds = [pa.int64(), pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])), pa.list_(pa.string())]
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             got = []
             for t in b.column(at).to_pylist():
                 w = words(t)

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ethogrid.llm.common import drop_written, written
+from ethogrid.llm.common import drop_written, sliced, written
 from ethogrid.llm.components import connected_components
 from ethogrid.llm.simhash import BITS, MARK, STEP, _Forest, block_masks, kept_rows, majority, permuted, trie_join
 
@@ -192,8 +192,8 @@ def similar_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     pairs = written(near_pairs(nodes), "pairs")
 
     def confirm(batches):
-        held = lru_cache(256)(shingles)
-        for b in batches:
+        held = lru_cache(64)(shingles)
+        for b in sliced(batches, 64):
             u, v, a, c = (x.to_pylist() for x in b.columns)
             ok = [k for k, (x, y) in enumerate(zip(a, c, strict=True)) if jaccard(held(x), held(y)) >= SIMILAR]
             yield pa.RecordBatch.from_arrays([pa.array([s[k] for k in ok], pa.binary()) for s in (u, v)], ["u", "v"])
@@ -219,7 +219,7 @@ def similar_components(docs: DataFrame) -> DataFrame:
     lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), line.alias("line"), node_of(line).alias("node"))
 
     def sketch(batches):
-        for b in batches:
+        for b in sliced(batches):
             rows = [n + wide_fingerprint(shingles(t.encode("utf-8", "surrogatepass"))) for n, t in zip(b.column(2).to_pylist(), b.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.binary())], ["doc_id", "row"])
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ethogrid.llm.common import table
+from ethogrid.llm.common import sliced, table
 from ethogrid.llm.sstable import END_ID, _encoder, default_tokenizer
 
 CAPACITIES = (2048, 4096, 8192, 16384)  # permitted sequence lengths, in tokens
@@ -152,18 +152,26 @@ def token_ids(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_I
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         enc = _encoder(path)
-        for b in batches:
-            texts = b.column(1).to_pylist()
-            for i in range(0, len(texts), 256):
-                ids = [np.append(x, x.dtype.type(end_id)).astype("<u4").tobytes() for x in enc.ids(texts[i : i + 256])]
-                yield pa.RecordBatch.from_arrays([*(c.slice(i, 256) for c in b.columns), pa.array(ids, pa.binary())], ["doc_id", "text", "ids"])
+        for b in sliced(batches):
+            ids = [np.append(x, x.dtype.type(end_id)).astype("<u4").tobytes() for x in enc.ids(b.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids, pa.binary())], ["doc_id", "text", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, text string, ids binary")
 
 
 def text_lengths(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """(doc_id, length) of every row: tokens of the whole text, with the end id."""
-    return token_ids(docs, tokenizer).select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("length"))
+    path = tokenizer or default_tokenizer()
+
+    def run(batches):
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        enc = _encoder(path)
+        for b in sliced(batches):
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([n + 1 for n in enc.counts(b.column(1).to_pylist())], pa.int64())], ["doc_id", "length"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, length long")
 
 
 def packed_sequences(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, shard_rows: int = SHARD_ROWS, tokenizer: str | None = None) -> DataFrame:

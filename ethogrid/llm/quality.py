@@ -33,7 +33,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> Da
 
 def keep_good(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> DataFrame:
     """The rows of ``docs`` that the classifier does not reject, with their columns."""
-    return with_score(docs, fit_quality(docs, labels, rows), "__score").where(F.col("__score") >= THRESHOLD).drop("__score")
+    return with_score(docs, fit_quality(docs, labels, rows), "__quality_score").where(F.col("__quality_score") >= THRESHOLD).drop("__quality_score")
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

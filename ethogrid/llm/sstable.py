@@ -269,13 +269,27 @@ class Encoder:
             self.known[c] = self.parts[word] + self.parts[tail]
         self._encode(rest, self.known)
 
-    def ids(self, texts: list[str | None]) -> list[np.ndarray]:
+    def _split(self, texts: list[str | None]) -> list[list[str]]:
+        """Chunks of each text, all known afterwards; none for a text that goes through the tokenizer whole."""
         split = [[] if not t or self.odd.search(t) else t.split() for t in texts]
         new = set().union(*split).difference(self.known)
         if len(self.known) + len(new) > CACHE:
             self.known.clear()
             new = set().union(*split)
         self._learn(list(new))
+        return split
+
+    def counts(self, texts: list[str | None]) -> list[int]:
+        """Numbers of ids of whole texts."""
+        get, size, out = self.known.__getitem__, int(self.kind[2]), []
+        for t, chunks in zip(texts, self._split(texts), strict=True):
+            whole = t and not chunks and self.odd.search(t)
+            out.append(len(self.tok.encode(t, add_special_tokens=False).ids) if whole else sum(map(len, map(get, chunks))) // size)
+        return out
+
+    def ids(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Ids of whole texts."""
+        split = self._split(texts)
         get = self.known.__getitem__
         out = []
         for t, chunks in zip(texts, split, strict=True):

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ethogrid.llm.common import sliced
+
 _U = np.uint64
 _BASE = 0xD1342543DE82EF95
 _WORD = _U(0x9AE16A3B2F90404F)
@@ -224,7 +226,7 @@ def with_score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             scores = [shared.value.score(t) for t in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], [*b.schema.names, name])
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ethogrid.llm.common import drop_written, release, table, written
+from ethogrid.llm.common import drop_written, release, sliced, table, written
 
 LENGTH = 200  # bytes of a repeated string
 GRAM = 32  # bytes of an anchor
@@ -107,7 +107,7 @@ def anchor_rows(docs: DataFrame) -> DataFrame:
     """(doc_id, crc, gram, region, loc) of every anchor; loc packs the first window (40 bits), pos - lo and hi - lo."""
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             texts = [_utf8(t) for t in b.column(1).to_pylist()]
             doc = b.column(0).fill_null(0).to_numpy()
             missing = b.column(0).is_null().to_numpy(zero_copy_only=False)
@@ -309,14 +309,14 @@ def repeated_intervals(docs: DataFrame) -> DataFrame:
 
 
 def with_spans(docs: DataFrame) -> DataFrame:
-    """All rows and columns of ``docs`` with ``__spans``: intervals (s, e) to remove, null if there are none."""
+    """All rows and columns of ``docs`` with ``__suffix_spans``: intervals (s, e) to remove, null if there are none."""
     spans = (
         repeated_intervals(docs)
-        .groupBy(F.col("doc_id").alias("__id"), F.col("crc").alias("__crc"))
-        .agg(F.collect_set(F.struct("s", "e")).alias("__spans"))
+        .groupBy(F.col("doc_id").alias("__suffix_id"), F.col("crc").alias("__suffix_crc"))
+        .agg(F.collect_set(F.struct("s", "e")).alias("__suffix_spans"))
     )
-    same = docs.doc_id.eqNullSafe(F.col("__id")) & (F.xxhash64(docs.text) == F.col("__crc"))
-    return docs.join(spans, same, "left").drop("__id", "__crc")
+    same = docs.doc_id.eqNullSafe(F.col("__suffix_id")) & (F.xxhash64(docs.text) == F.col("__suffix_crc"))
+    return docs.join(spans, same, "left").drop("__suffix_id", "__suffix_crc")
 
 
 def cut_out(text: str | None, spans) -> tuple[bytes, int, int]:
@@ -348,10 +348,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
         return pd.Series([None if t is None else t if s is None else cut_out(t, s)[0].decode("utf-8", "ignore") for t, s in zip(text, spans, strict=True)], dtype=object)
 
-    out = marked.withColumn("text", F.when(F.col("__spans").isNull(), F.col("text")).otherwise(rest("text", "__spans")))
+    out = marked.withColumn("text", F.when(F.col("__suffix_spans").isNull(), F.col("text")).otherwise(rest("text", "__suffix_spans")))
     if "n_chars" in names:
         kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.char_length("text")).cast(kind))
+        out = out.withColumn("n_chars", F.when(F.col("__suffix_spans").isNull(), F.col("n_chars")).otherwise(F.char_length("text")).cast(kind))
     return out.select(names)
 
 
@@ -364,7 +364,7 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     """
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             got = [(cut_out(t, s)) for t, s in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -378,7 +378,7 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
             )
 
     marked = with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    return marked.select("doc_id", "text", "__spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return marked.select("doc_id", "text", "__suffix_spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -327,7 +327,7 @@ def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
 def read_whole(manifest: DataFrame, folder: str) -> DataFrame:
     """The records that :func:`read_archives` gives; RuntimeError if they are fewer or more than were written, or there is a gap."""
     found = written(read_archives(manifest, folder), "records")
-    records, gaps = found.agg(F.count_if("reason is null"), F.count_if("reason is not null")).first()
+    records, gaps = found.agg(F.count_if(F.col("reason").isNull()), F.count_if(F.col("reason").isNotNull())).first()
     if gaps or records != (manifest.agg(F.sum("records")).first()[0] or 0):
         raise RuntimeError(f"archives are damaged: {records} records read, {gaps} gaps")
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
