@@ -6,12 +6,15 @@ for ``BUDGET`` bits, all 512 bits say how close the pair is, and exact shingle s
 
 from __future__ import annotations
 
+import hashlib
+import zlib
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ethogrid.llm.common import drop_written, sliced, written
 from ethogrid.llm.components import connected_components
@@ -30,14 +33,13 @@ EDGES = 1 << 20  # candidate pairs held before they are thinned to a forest
 _ODD = np.random.default_rng(42).integers(0, 1 << 63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def line_of(text):
-    """Column: words as :func:`simhash.fingerprint` has them, one space between; null is empty."""
-    low = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.trim(F.regexp_replace(low, "[\\x20\\x09-\\x0D]+", " "))
+def line_of(text: str | None) -> bytes:
+    """Words as :func:`simhash.fingerprint` has them, one space between; null is empty."""
+    return b" ".join(text.encode("utf-8", "surrogatepass").lower().split()) if text else b""
 
 
-def node_of(line):
-    return F.unhex(F.md5(line.cast("binary")))
+def node_of(line: bytes) -> bytes:
+    return hashlib.md5(line, usedforsecurity=False).digest()
 
 
 def shingles(line: bytes, shingle: int = SHINGLE) -> np.ndarray:
@@ -191,16 +193,20 @@ def similar_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(u, v) for the pairs of :func:`near_pairs` whose shingles have a Jaccard similarity of ``SIMILAR`` or more."""
     pairs = written(near_pairs(nodes), "pairs")
 
+    def lines(batches):
+        for b in sliced(batches):
+            got = [line_of(t) for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([f(x) for x in got], pa.binary()) for f in (node_of, lambda x: zlib.compress(x, 1))], ["node", "line"])
+
     def confirm(batches):
-        held = lru_cache(64)(shingles)
+        held = lru_cache(64)(lambda line: shingles(zlib.decompress(line)))
         for b in sliced(batches, 64):
             u, v, a, c = (x.to_pylist() for x in b.columns)
             ok = [k for k, (x, y) in enumerate(zip(a, c, strict=True)) if jaccard(held(x), held(y)) >= SIMILAR]
             yield pa.RecordBatch.from_arrays([pa.array([s[k] for k in ok], pa.binary()) for s in (u, v)], ["u", "v"])
 
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    line = line_of(F.col("text"))
-    texts = docs.select(node_of(line).alias("node"), line.cast("binary").alias("line")).join(wanted, "node", "left_semi")
+    texts = docs.select("text").mapInArrow(lines, "node binary, line binary").join(wanted, "node", "left_semi")
     texts = written(texts.groupBy("node").agg(F.first("line").alias("line")), "lines")
     left = texts.select(F.col("node").alias("u"), F.col("line").alias("a"))
     right = texts.select(F.col("node").alias("v"), F.col("line").alias("b"))
@@ -215,15 +221,14 @@ def similar_components(docs: DataFrame) -> DataFrame:
 
     ``node`` is the MD5 of the lower-cased words. Texts without words (null, empty, white space) are one node. Empty table: no rows.
     """
-    line = line_of(F.col("text"))
-    lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), line.alias("line"), node_of(line).alias("node"))
 
     def sketch(batches):
         for b in sliced(batches):
-            rows = [n + wide_fingerprint(shingles(t.encode("utf-8", "surrogatepass"))) for n, t in zip(b.column(2).to_pylist(), b.column(1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.binary())], ["doc_id", "row"])
+            lines = [line_of(t) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([node_of(x) + wide_fingerprint(shingles(x)) for x in lines], pa.binary())], ["doc_id", "row"])
 
-    sketches = lines.mapInArrow(sketch, "doc_id long, row binary").groupBy("row").agg(F.min("doc_id").alias("least_id"))
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    sketches = named.mapInArrow(sketch, "doc_id long, row binary").groupBy("row").agg(F.min("doc_id").alias("least_id"))
     fps = written(sketches, "sketches")
     links = similar_links(docs, fps.select("row"))
     comps = connected_components(links).withColumnsRenamed({"node": "__node", "root": "__root"})
@@ -242,5 +247,12 @@ def similar_keep_one(docs: DataFrame) -> DataFrame:
     """
     found = similar_components(docs).where("least_id is not null").groupBy("root").agg(F.min(F.struct("least_id", "node")).alias("x"))
     kept = found.select(F.col("x.least_id").alias("doc_id"), F.col("x.node").alias("mark"))
-    marked = docs.where("doc_id is not null").withColumn(MARK, node_of(line_of(F.col("text"))))
+    at = docs.columns.index("text")
+
+    def mark(batches):
+        for b in sliced(batches):
+            nodes = pa.array([node_of(line_of(t)) for t in b.column(at).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*b.columns, nodes], [*b.schema.names, MARK])
+
+    marked = docs.where("doc_id is not null").mapInArrow(mark, T.StructType([*docs.schema.fields, T.StructField(MARK, T.BinaryType())]))
     return kept_rows(marked, kept).unionByName(docs.where("doc_id is null"))

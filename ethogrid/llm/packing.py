@@ -15,6 +15,7 @@ from ethogrid.llm.sstable import END_ID, _encoder, default_tokenizer
 CAPACITIES = (2048, 4096, 8192, 16384)  # permitted sequence lengths, in tokens
 OVERHEAD = 64  # what a sequence costs besides its tokens
 ATTENTION = 12288  # length at which attention costs as much as all else (6 x a model width of 2048)
+REMEMBERED = 250_000  # chunks whose ids a worker that counts tokens remembers at most, and for one partition
 SHARD_ROWS = 20_000  # pieces that are packed together, about
 
 
@@ -170,6 +171,8 @@ def text_lengths(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
         enc = _encoder(path)
         for b in sliced(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([n + 1 for n in enc.counts(b.column(1).to_pylist())], pa.int64())], ["doc_id", "length"])
+            enc.forget(REMEMBERED)
+        enc.forget(0)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, length long")
 

@@ -279,6 +279,13 @@ class Encoder:
         self._learn(list(new))
         return split
 
+    def forget(self, most: int) -> None:
+        """Remembers nothing, if it is more than ``most`` chunks."""
+        if len(self.known) > most:
+            self.known.clear()
+        if len(self.parts) > most:
+            self.parts.clear()
+
     def counts(self, texts: list[str | None]) -> list[int]:
         """Numbers of ids of whole texts."""
         get, size, out = self.known.__getitem__, int(self.kind[2]), []
