@@ -107,8 +107,8 @@ def benjamini_hochberg(rows: DataFrame, by: list[str], p: str = "p_value", tie:
     return out.withColumn("q_value", F.least(F.min("__raw").over(down), F.lit(1.0))).drop("__raw")
 
 
-def control_rows(table: DataFrame, compound: str, vehicle: str, dose: str | None = None, least: int = 3) -> DataFrame:
-    """Rows of the group and of its control with ``is_group``: vehicle rows of the group's dates, or all of them if fewer than ``least``.
+def control_rows(table: DataFrame, compound: str, vehicle: str, dose: str | None = None, least: int = 3, same_date: bool = True) -> DataFrame:
+    """Rows of the group and of its control with ``is_group``: vehicle rows of the group's dates, or all of them if fewer than ``least`` or not ``same_date``.
 
     The choice is made in the plan: the number of same-date controls is one row that is joined to both candidates.
     """
@@ -116,6 +116,8 @@ def control_rows(table: DataFrame, compound: str, vehicle: str, dose: str | None
     if dose is not None:
         group = group.where(F.col("concentration_mM") == dose)
     every = table.where(F.col("compound") == vehicle)
+    if not same_date:
+        return group.withColumn("is_group", F.lit(True)).unionByName(every.select(group.columns).withColumn("is_group", F.lit(False)))
     dated = every.join(group.select("date").distinct().withColumn("same", F.lit(True)), "date", "left")
     count = dated.agg((F.count_if("same") >= least).alias("enough"))
     chosen = dated.join(F.broadcast(count)).where(F.when(F.col("enough"), F.coalesce("same", F.lit(False))).otherwise(True)).drop("same", "enough")

@@ -5,7 +5,7 @@ from __future__ import annotations
 TRACKS = """
 WITH b AS (
   SELECT user_id, event_id, event_type, value, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k,
-         CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INTEGER) AS frame_idx,
+         CAST((row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) * 11 // 10 AS INTEGER) AS frame_idx,
          CAST((epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY user_id)) / 3600000000.0 AS DOUBLE) AS t_sec
   FROM events),
 tracks AS (
@@ -13,7 +13,7 @@ tracks AS (
          CASE WHEN event_type <> 'error' THEN value ELSE 0.0 END AS x, CASE WHEN event_type <> 'error' THEN k * 2.4 ELSE 0.0 END AS y,
          CASE WHEN event_type NOT IN ('error', 'signup') THEN ((event_id * 37) % 1800) / 10.0 END AS orientation_deg,
          CASE WHEN event_type <> 'error' THEN k * 2.4 END AS y_from_frame_top, event_type <> 'error' AS detected, event_type, event_id
-  FROM b WHERE event_id % 11 <> 0),
+  FROM b),
 """
 RUNS = """
 br AS (SELECT *, row_number() OVER w AS pos, lag(detected) OVER w AS d0, lag(t_sec) OVER w AS t0, lag(x) OVER w AS x0, lag(y) OVER w AS y0,
