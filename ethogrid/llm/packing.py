@@ -15,7 +15,7 @@ from ethogrid.llm.sstable import END_ID, _encoder, default_tokenizer
 CAPACITIES = (2048, 4096, 8192, 16384)  # permitted sequence lengths, in tokens
 OVERHEAD = 64  # what a sequence costs besides its tokens
 ATTENTION = 12288  # length at which attention costs as much as all else (6 x a model width of 2048)
-REMEMBERED = 250_000  # chunks whose ids a worker that counts tokens remembers at most, and for one partition
+REMEMBERED = 250_000  # chunks whose ids a worker of the pipeline remembers at most, and for one partition
 SHARD_ROWS = 20_000  # pieces that are packed together, about
 
 
@@ -160,8 +160,12 @@ def token_ids(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_I
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, text string, ids binary")
 
 
-def text_lengths(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """(doc_id, length) of every row: tokens of the whole text, with the end id."""
+def text_lengths(docs: DataFrame, tokenizer: str | None = None, remembered: int | None = REMEMBERED) -> DataFrame:
+    """(doc_id, length) of every row: tokens of the whole text, with the end id.
+
+    ``remembered``: chunks of text whose ids a worker keeps at most, and for one partition; None for as many as ``sstable.CACHE``, from one partition to the
+    next, which takes more memory and less time.
+    """
     path = tokenizer or default_tokenizer()
 
     def run(batches):
@@ -171,8 +175,10 @@ def text_lengths(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
         enc = _encoder(path)
         for b in sliced(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([n + 1 for n in enc.counts(b.column(1).to_pylist())], pa.int64())], ["doc_id", "length"])
-            enc.forget(REMEMBERED)
-        enc.forget(0)
+            if remembered is not None:
+                enc.forget(remembered)
+        if remembered is not None:
+            enc.forget(0)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, length long")
 
@@ -208,4 +214,4 @@ def packed_sequences(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES,
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` as tokens, packed into sequences of 2,048, 4,096, 8,192 or 16,384."""
-    return pack_documents(text_lengths(table(spark, sf_dir, "documents")))
+    return pack_documents(text_lengths(table(spark, sf_dir, "documents"), remembered=None))

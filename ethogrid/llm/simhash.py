@@ -18,7 +18,7 @@ LEAF_PAIRS = 64  # node pairs with at most so many leaf pairs are compared direc
 MARK = "__near_dedup_mark"  # helper column: what tells rows of one doc_id apart
 STEP = 4080  # shingles whose bits are counted at once
 MERGE = 1 << 12  # few node pairs of one level go down together, more of them those that agree first
-CHUNK = 1 << 15  # node pairs that are taken down one level at a time
+CHUNK = 1 << 13  # node pairs that are taken down one level at a time
 
 
 def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:

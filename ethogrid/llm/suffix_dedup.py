@@ -15,7 +15,7 @@ LENGTH = 200  # bytes of a repeated string
 GRAM = 32  # bytes of an anchor
 Q = 8  # bytes of the first suffix buckets; doubled until LENGTH
 SEGMENT = 1 << 19  # bytes hashed at once
-CHUNK = 1 << 20  # bytes of suffixes refined at once
+CHUNK = 1 << 18  # bytes of suffixes refined at once
 BLOCK = 1 << 17  # suffixes of a pass that are sorted before their pointers are set
 HOT = 4096  # distinct regions of an anchor (1.2 MB) beyond which its windows are dealt out one by one
 
