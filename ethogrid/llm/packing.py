@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ethogrid.llm.common import sliced, table
+from ethogrid.llm.common import sliced, table, written
 from ethogrid.llm.sstable import END_ID, _encoder, default_tokenizer
 
 CAPACITIES = (2048, 4096, 8192, 16384)  # permitted sequence lengths, in tokens
@@ -120,6 +120,7 @@ def pack_documents(
     most = max(capacities)
     size = F.coalesce(F.col("length").cast("long"), F.lit(0))
     alike = lengths.select(F.col("doc_id").cast("long").alias("doc_id"), size.alias("length")).groupBy("doc_id", "length").agg(F.count("*").alias("rows"))
+    alike = written(alike, "lengths")  # texts are encoded once: the rows are counted before they are dealt
     n = alike.agg(F.sum(F.col("rows") * F.greatest(F.ceil(F.col("length") / most), F.lit(1)))).first()[0] or 0
     shards = max(1, -(-int(n) // shard_rows))
     each = alike.select("doc_id", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1)).alias("copy"))
