@@ -92,7 +92,10 @@ def framing(spark, sf):
     return audit.framing(adapters.subjects(spark, sf), "f_mean_price", "f_max_price").select("date", *r6("lo", "hi", "tolerance"), "moved")
 
 
-@query()
+@query(FISH.replace("WITH fish", "WITH RECURSIVE fish", 1) + """, d AS (SELECT date, median(f_mean_price) AS lo, median(f_max_price) AS hi FROM fish GROUP BY date),
+r AS (SELECT date AS a, date AS b FROM d UNION SELECT r.a, y.date FROM r JOIN d x ON x.date = r.b JOIN d y ON abs(x.lo - y.lo) <= 5000 AND abs(x.hi - y.hi) <= 5000),
+c AS (SELECT a AS date, min(b) AS first_date FROM r GROUP BY a)
+SELECT date, CAST(dense_rank() OVER (ORDER BY first_date) AS INTEGER) AS setup FROM c""")
 def recording_setups(spark, sf):
     """Single linkage of recording dates."""
     rows = audit.setups(audit.framing(adapters.subjects(spark, sf), "f_mean_price", "f_max_price"), 5000.0)
