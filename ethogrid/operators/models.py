@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ethogrid.operators import audit, evaluation
 
+COPIES = 4  # rows that a weight of 1 stands for, where a model takes no weights
+
 
 def with_weights(train: DataFrame, label: str = "label") -> DataFrame:
     """Balanced weights: rows / (classes * rows of the class)."""
@@ -32,8 +34,17 @@ def date_only(train: DataFrame, test: DataFrame) -> DataFrame:
     return test.select("video_id", "label", "date").join(F.broadcast(got), "date").select("video_id", "label", F.col("compound").alias("cls"), F.col("share").alias("p"))
 
 
-def _ml(make: Callable):
-    """A classifier of Spark's library over the columns z_*; its probabilities become one row a class."""
+def repeated(rows: DataFrame) -> DataFrame:
+    """Each row as often as its weight says, ``COPIES`` times for a weight of 1, once at least."""
+    times = F.greatest(F.lit(1), F.round(F.col("weight") * COPIES).cast("int"))
+    return rows.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), times))).drop("__copy")
+
+
+def _ml(make: Callable, weighted: bool = True):
+    """A classifier of Spark's library over the columns z_*; its probabilities become one row a class.
+
+    Classes weigh alike: by ``weight``, or by repeated rows where the classifier is not ``weighted``.
+    """
 
     def run(train: DataFrame, test: DataFrame) -> DataFrame:
         from pyspark.ml import Pipeline
@@ -43,6 +54,7 @@ def _ml(make: Callable):
         names = [c for c in train.columns if c.startswith("z_")]
         rows = with_weights(train)
         n = rows.count()
+        rows = rows if weighted else repeated(rows)
         indexer = StringIndexer(inputCol="label", outputCol="y", stringOrderType="alphabetAsc", handleInvalid="keep")
         model = Pipeline(stages=[indexer, VectorAssembler(inputCols=names, outputCol="x"), make(n, len(names), rows.select("label").distinct().count())]).fit(rows)
         labels = model.stages[0].labels
@@ -64,13 +76,13 @@ def _logistic(n: int, width: int, classes: int):
 def _forest(n: int, width: int, classes: int):
     from pyspark.ml.classification import RandomForestClassifier
 
-    return RandomForestClassifier(featuresCol="x", labelCol="y", weightCol="weight", numTrees=100, maxDepth=10, seed=1)
+    return RandomForestClassifier(featuresCol="x", labelCol="y", weightCol="weight", numTrees=500, maxDepth=30, seed=1)
 
 
 def _boosting(n: int, width: int, classes: int):
     from pyspark.ml.classification import GBTClassifier, OneVsRest
 
-    return OneVsRest(classifier=GBTClassifier(maxIter=20, seed=1), featuresCol="x", labelCol="y", parallelism=2)
+    return OneVsRest(classifier=GBTClassifier(maxIter=20, seed=1), featuresCol="x", labelCol="y", weightCol="weight", parallelism=2)
 
 
 def _network(n: int, width: int, classes: int):
@@ -81,7 +93,7 @@ def _network(n: int, width: int, classes: int):
 
 #: name -> function(train, test) giving (video_id, label, cls, p)
 MODELS: dict[str, Callable] = {
-    "majority": majority, "date_only": date_only, "logistic": _ml(_logistic), "forest": _ml(_forest), "boosting": _ml(_boosting), "network": _ml(_network),
+    "majority": majority, "date_only": date_only, "logistic": _ml(_logistic), "forest": _ml(_forest), "boosting": _ml(_boosting), "network": _ml(_network, weighted=False),
 }
 
 

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import json
-import os
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ethogrid.functions.scalars import subject_key
 from ethogrid.schemas import CATALOG_COLUMNS, FRAMES, INDEX_COLUMNS, MANIFEST, SEGMENTS, STATES, UNDETERMINED, check_columns
+from ethogrid.sources import files
 
 
 class GoldDataError(ValueError):
@@ -91,12 +91,15 @@ def frames_between(spark: SparkSession, folder: str, video_id: str, start_s: flo
 
 
 def segments(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.schema(SEGMENTS).option("header", True).csv(folder).withColumn("video_id", F.regexp_extract(F.input_file_name(), r"/([^/]+)/[^/]+$", 1))
+    """Segments of all subjects: a folder ``video_id=...`` each, as ``writers.write_segments`` makes them, or one named like the subject."""
+    rows = spark.read.schema(SEGMENTS).option("header", True).option("recursiveFileLookup", True).csv(folder)
+    named = F.regexp_extract(F.input_file_name(), r"/(?:video_id=)?([^/]+)/[^/]+$", 1)
+    return rows.withColumn("video_id", F.url_decode(F.replace(named, F.lit("+"), F.lit("%2B"))))  # a plus sign stands for itself in a path
 
 
 def manifests(spark: SparkSession, pattern: str) -> DataFrame:
     """(video_id, manifest columns, problem): one row a file; text that is no JSON object has a problem instead of values."""
-    text = spark.read.option("wholetext", True).text(pattern).withColumn("video_id", F.regexp_extract(F.input_file_name(), r"/([^/]+)/[^/]+$", 1))
+    text = spark.read.text(pattern, wholetext=True).withColumn("video_id", F.regexp_extract(F.input_file_name(), r"/([^/]+)/[^/]+$", 1))
     got = text.withColumn("m", F.from_json("value", MANIFEST, {"mode": "PERMISSIVE"}))
     is_object = F.regexp_like("value", F.lit(r"(?s)^\s*\{.*\}\s*$"))
     problem = F.when(~is_object, "not a JSON object").when(F.col("m.review_status").isNull() & F.col("m.subject_id").isNull(), "unreadable")
@@ -213,13 +216,12 @@ def samples(spark: SparkSession, pattern: str, split: str | None = None) -> Data
 
 def training_table(spark: SparkSession, folder: str) -> tuple[DataFrame, dict]:
     """The training table and its column description."""
-    path = os.path.join(folder.removeprefix("file://"), "schema.json")
+    path = f"{folder}/schema.json"
     try:
-        with open(path, encoding="utf-8") as f:
-            described = json.load(f)
+        described = json.loads(files.read(spark, path))
     except (OSError, ValueError) as e:
         raise GoldDataError(f"{path}: {e}") from None
-    return spark.read.parquet(os.path.join(folder, "training_table.parquet")), described
+    return spark.read.parquet(f"{folder}/training_table.parquet"), described
 
 
 def run_table(spark: SparkSession, path: str) -> DataFrame:

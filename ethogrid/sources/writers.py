@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import json
-import os
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ethogrid.operators.review import PROTECTED
 from ethogrid.schemas import FRAMES
+from ethogrid.sources import files
 
 
 def typed_frames(df: DataFrame) -> DataFrame:
@@ -34,12 +34,9 @@ def write_segments(segs: DataFrame, folder: str) -> None:
 
 
 def write_table(table: DataFrame, folder: str, described: dict) -> None:
-    """The training table, then its column description beside it."""
-    table.write.mode("overwrite").parquet(os.path.join(folder, "training_table.parquet"))
-    path = os.path.join(folder.removeprefix("file://"), "schema.json")
-    with open(f"{path}.new", "w", encoding="utf-8") as f:
-        json.dump({"format": 1} | described, f, indent=1, sort_keys=True)
-    os.replace(f"{path}.new", path)
+    """The training table, then its column description beside it, in any store that Spark writes to."""
+    table.write.mode("overwrite").parquet(f"{folder}/training_table.parquet")
+    files.replace(table.sparkSession, f"{folder}/schema.json", json.dumps({"format": 1} | described, indent=1, sort_keys=True))
 
 
 def tagged(tables: dict[str, DataFrame], tag: str = "stage") -> DataFrame:
@@ -57,10 +54,9 @@ def write_run(folder: str, tables: dict[str, DataFrame]) -> None:
         df.write.mode("overwrite").option("header", True).csv(f"{folder}/{name}")
 
 
-def create_profile(path: str, content: dict) -> None:
+def create_profile(spark: SparkSession, path: str, content: dict) -> None:
     """A calibration profile, which is written once and never changed."""
-    with open(path, "x", encoding="utf-8") as f:
-        json.dump(content, f, indent=1, sort_keys=True)
+    files.write_new(spark, path, json.dumps(content, indent=1, sort_keys=True))
 
 
 def coco(annotations: DataFrame, keypoints: list[str], split: str) -> DataFrame:

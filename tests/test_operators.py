@@ -12,7 +12,7 @@ from ethogrid.functions import scalars as fn
 from ethogrid.operators import audit, calibrate, catalog, design, features, flags, islands, kinematics, labeling, models, review, stats
 from ethogrid.plans import tools
 from ethogrid.schemas import CONTROLLED, DEAD, ERRATIC, FREEZING, LISTING, SURFACE, UNDETERMINED
-from ethogrid.sources import readers, writers
+from ethogrid.sources import files, readers, writers
 from ethogrid.streaming import live
 
 COLUMNS = "video_id string, frame_idx int, t_sec double, x double, y double, orientation_deg double, y_from_frame_top double, detected boolean"
@@ -301,7 +301,7 @@ def test_folders_round_trip(spark, tmp_path):
     with pytest.raises(ValueError):
         spark.range(3).selectExpr("id video_id", "id frame_idx").write.parquet(f"{tmp_path}/bad")
         readers.frames(spark, f"{tmp_path}/bad")
-    for v, text in (("m1", json.dumps({"subject_id": "1", "sex": "M", "compound": "A", "review_status": "ACCEPTED"})), ("m2", "{not json"), ("m3", "[1]")):
+    for v, text in (("m1", json.dumps({"subject_id": "1", "sex": "M", "compound": "A", "review_status": "ACCEPTED"}, indent=1)), ("m2", "{not json"), ("m3", "[1]")):
         (tmp_path / "gold" / v).mkdir(parents=True)
         (tmp_path / "gold" / v / "manifest.json").write_text(text)
     found = {r.video_id: r for r in readers.manifests(spark, f"{tmp_path}/gold/*/manifest.json").collect()}
@@ -314,12 +314,39 @@ def test_folders_round_trip(spark, tmp_path):
         readers.accepted(index.unionByName(index), readers.manifests(spark, f"{tmp_path}/gold/*/manifest.json"), frames)
     writers.write_table(frames, str(tmp_path / "t"), {"columns": []})
     assert readers.training_table(spark, str(tmp_path / "t"))[1]["format"] == 1
-    writers.create_profile(str(tmp_path / "p.json"), {"a": 1})
+    writers.write_table(frames, str(tmp_path / "t"), {"columns": ["x"]})
+    assert readers.training_table(spark, str(tmp_path / "t"))[1] == {"format": 1, "columns": ["x"]}
+    with pytest.raises(readers.GoldDataError):
+        readers.training_table(spark, str(tmp_path / "none"))
+    writers.create_profile(spark, str(tmp_path / "p.json"), {"a": 1})
     with pytest.raises(FileExistsError):
-        writers.create_profile(str(tmp_path / "p.json"), {"a": 2})
+        writers.create_profile(spark, str(tmp_path / "p.json"), {"a": 2})
+    assert files.read(spark, str(tmp_path / "p.json")).split() == ["{", '"a":', "1", "}"]
     assert readers.config({"a": {"b": 1}, "c": True}, {"a": {"b": 2}}, {"ETHO_A__B": "3", "ETHO_C": "no"}) == {"a": {"b": 3}, "c": False}
 
 
+def test_segments_round_trip(spark, tmp_path):
+    rows = [("F_1", 0.0, 2.0, 2.0, CONTROLLED, "auto"), ("F_1", 2.0, 3.0, 1.0, DEAD, "manual"), ("M 2", 0.0, 1.0, 1.0, LISTING, "auto"), ("a+b", 0.0, 1.0, 1.0, DEAD, "auto")]
+    segs = spark.createDataFrame(rows, "video_id string, start_s double, end_s double, duration_s double, state string, source string")
+    writers.write_segments(segs, f"{tmp_path}/out")
+    back = readers.segments(spark, f"{tmp_path}/out").select(*segs.columns).collect()
+    assert sorted(map(tuple, back)) == rows
+    segs.where("video_id = 'F_1'").drop("video_id").coalesce(1).write.option("header", True).csv(f"{tmp_path}/plain/F_1")
+    assert {r.video_id for r in readers.segments(spark, f"{tmp_path}/plain").collect()} == {"F_1"}
+
+
+def test_small_files(spark, tmp_path):
+    path = f"{tmp_path}/x/y.json"
+    with pytest.raises(FileNotFoundError):
+        files.read(spark, path)
+    for text in ("one", "zwölf\nlines", ""):
+        files.replace(spark, path, text)
+        assert files.read(spark, path) == text
+    with pytest.raises(FileExistsError):
+        files.write_new(spark, path, "other")
+    assert files.read(spark, path) == ""
+
+
 def test_upsert_and_index(spark):
     old = spark.createDataFrame([("a", 1), ("b", 2)], "video_id string, n int")
     assert sorted(map(tuple, review.upsert(old, old.where("n = 1").withColumn("n", F.lit(9))).collect())) == [("a", 9), ("b", 2)]
@@ -363,6 +390,19 @@ def test_models_predict_every_class(spark):
         assert name in ("majority", "date_only") or all(r.c == r.l for r in got), name
 
 
+def test_rare_class_weighs_as_much(spark):
+    """Where classes overlap, a rare one is predicted about as often as a common one at equal weights; without weights hardly ever."""
+    rng = random.Random(4)
+    rows = [(f"v{i:03d}", "b" if i % 10 == 0 else "a", "2024-01-01", 0.7 * (i % 10 == 0) + rng.gauss(0, 0.5)) for i in range(600)]
+    t = spark.createDataFrame(rows, "video_id string, label string, date string, f double").withColumn("date", F.col("date").cast("date"))
+    assert models.repeated(models.with_weights(t)).groupBy("label").count().where("label = 'b'").first()["count"] == 60 * 20
+    train, test = models.standardised(t.where("video_id < 'v300'"), t.where("video_id >= 'v300'"), ["f"])
+    for name in ("boosting", "network"):
+        got = models.MODELS[name](train, test).groupBy("video_id").agg(F.sum("p").alias("s"), F.max_by("cls", "p").alias("c"), F.first("label").alias("l")).collect()
+        assert len(got) == 300 and all(r.s == pytest.approx(1) for r in got), name
+        assert sum(r.c == "b" for r in got if r.l == "b") >= 12, name
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], COLUMNS)
     f = kinematics.features(none, 5, 12.0, 3)
