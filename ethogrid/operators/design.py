@@ -1,10 +1,7 @@
-"""Splits, permutations, folds, greedy samples and parameter search."""
+"""Splits, permutations and greedy samples."""
 
 from __future__ import annotations
 
-import hashlib
-from collections import defaultdict
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,57 +35,6 @@ def evenly_spaced(rows: DataFrame, group: str, order: str, k: int) -> DataFrame:
     return out.where((F.col("__n") <= k) | F.array_contains(picks, F.col("__i").cast("int"))).drop("__n", "__i")
 
 
-def make_folds(animals: list[tuple], k: int, seed: int, scheme: str) -> list[tuple]:
-    """(video_id, fold) for animals (video_id, label, date). The design table has a row an animal, so this runs on the driver.
-
-    Scheme A keeps each date in one fold and balances labels; animals of labels that occur on one date only are pinned (fold -1, always trained on).
-    Scheme B balances labels animal by animal. ``k`` is clipped to the number of dates, or to the smallest class.
-    """
-
-    def key(x) -> str:
-        return hashlib.sha256(f"{seed}:{x}".encode()).hexdigest()
-
-    if scheme == "A":
-        dates_of = defaultdict(set)
-        for _, label, date in animals:
-            dates_of[label].add(date)
-        free = [a for a in animals if len(dates_of[a[1]]) > 1]
-        out = [(a[0], -1) for a in animals if len(dates_of[a[1]]) == 1]
-        groups = defaultdict(list)
-        for a in free:
-            groups[a[2]].append(a)
-        k = max(1, min(k, len(groups)))
-        want = defaultdict(float)
-        for a in free:
-            want[a[1]] += 1 / k
-        have = [defaultdict(int) for _ in range(k)]
-        for date in sorted(groups, key=lambda g: (-len(groups[g]), key(g))):
-            rows = groups[date]
-            counts = defaultdict(int)
-            for a in rows:
-                counts[a[1]] += 1
-
-            def cost(f: int, counts=counts) -> tuple:
-                off = sum((have[f][c] + n - want[c]) ** 2 - (have[f][c] - want[c]) ** 2 for c, n in counts.items())
-                return off, sum(have[f].values()), f
-
-            best = min(range(k), key=cost)
-            for c, n in counts.items():
-                have[best][c] += n
-            out += [(a[0], best) for a in rows]
-        return sorted(out)
-    by_label = defaultdict(list)
-    for a in animals:
-        by_label[a[1]].append(a[0])
-    k = max(1, min(k, min(len(v) for v in by_label.values())))
-    out, start = [], 0
-    for label in sorted(by_label, key=str):
-        for i, v in enumerate(sorted(by_label[label], key=lambda v: (key(v), v))):
-            out.append((v, (start + i) % k))
-        start += len(by_label[label])
-    return sorted(out)
-
-
 def candidates(tracks: DataFrame, shortest: int, longest: int, stride: int) -> DataFrame:
     """(video_id, pos, reason): middles of undetected gaps of ``shortest`` to ``longest`` rows, quartiles of longer ones, and every ``stride``-th row."""
     from ethogrid.operators.flags import undetected_gaps

@@ -8,10 +8,10 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ethogrid.operators import design, evaluation, models
+from ethogrid.operators import folds, training
 from ethogrid.plans import tools
 from ethogrid.plans.behaviour import r6
-from ethogrid.plans.subjects import FEATURES, PRED, VEHICLE  # noqa: F401
+from ethogrid.plans.subjects import FEATURES, VEHICLE
 from ethogrid.schemas import CONTROLLED, ERRATIC, FREEZING, SURFACE, UNDETERMINED
 from ethogrid.sources import adapters
 from ethogrid.streaming import live
@@ -92,13 +92,9 @@ def _labelled(spark, sf) -> DataFrame:
 def cross_validation(spark, sf):
     """Balanced accuracy of two baselines and logistic regression over three folds of scheme B."""
     t = _labelled(spark, sf)
-    rows = [tuple(r) for r in t.select("video_id", "label", F.col("date").cast("string")).collect()]
-    folds = spark.createDataFrame([("B", 0, v, f) for v, f in design.make_folds(rows, 3, 1, "B")], "scheme string, repeat int, video_id string, fold int")
-    long = models.cross_validate(t, folds, FEATURES, ["majority", "date_only", "logistic"], ["f_orders"])
-    code = F.when(F.col("cls") == "F", 0).otherwise(1)
-    long = long.withColumn("label", F.when(F.col("label") == "F", 0).otherwise(1)).withColumn("cls", code)
-    pred = evaluation.predicted(long, ("model", "scheme", "repeat", "video_id"))
-    return evaluation.metrics(pred, ("model", "scheme", "repeat")).select("model", "scheme", "repeat", *r6("balanced_accuracy", "macro_f1", "log_loss"), "n")
+    placed = folds.folds(t, 3, 1, 1).where("scheme = 'B'")
+    long = training.cross_fit(training.as_rows(t, FEATURES), placed, models=("majority", "date_only", "logistic"), log=[FEATURES.index("f_orders")], seed=1)
+    return training.scores(long, ["model", "scheme", "repeat"]).select("model", "scheme", "repeat", *r6("balanced_accuracy", "macro_f1", "log_loss"), "n")
 
 
 def research_data(spark, sf) -> tools.ResearchData:

@@ -237,14 +237,6 @@ def evenly_spaced(spark, sf):
     return design.evenly_spaced(adapters.subjects(spark, sf), "compound", "video_id", 4).select("video_id", "compound")
 
 
-@query()
-def folds(spark, sf):
-    """Both schemes for every subject; properties are tested, not values."""
-    rows = [tuple(r) for r in adapters.subjects(spark, sf).select("video_id", "compound", F.col("date").cast("string")).collect()]
-    out = [(s, v, f) for s in "AB" for v, f in design.make_folds(rows, 5, 1, s)]
-    return spark.createDataFrame(out, "scheme string, video_id string, fold int")
-
-
 def _pred(spark, sf) -> DataFrame:
     got = evaluation.predicted(adapters.predictions(spark, sf))
     return got.withColumn("repeat", F.col("vec_id") % 5).withColumn("scheme", F.when(F.col("vec_id") % 3 == 0, "A").otherwise("B"))

@@ -225,19 +225,6 @@ def test_benjamini_hochberg(spark):
     assert {r.feature: round(r.q_value, 6) for r in got.collect()} == {"f0": 0.025, "f1": 0.05, "f2": 0.05, "f3": 0.025, "f4": 0.8}
 
 
-def test_folds_properties():
-    rng = random.Random(3)
-    animals = [(f"v{i}", rng.choice("abc"), f"2024-01-{1 + i % 9:02d}") for i in range(200)] + [("p1", "z", "2024-02-01"), ("p2", "z", "2024-02-01")]
-    a, b = dict(design.make_folds(animals, 5, 1, "A")), dict(design.make_folds(animals, 5, 1, "B"))
-    assert set(a) == set(b) == {x[0] for x in animals} and a["p1"] == a["p2"] == -1
-    assert all(len({a[v] for v, _, d in animals if d == day and a[v] >= 0}) <= 1 for day in {x[2] for x in animals})
-    assert max(b.values()) == 1  # two animals of the smallest class: two folds
-    for label in "abc":
-        n = Counter(b[v] for v, lab, _ in animals if lab == label)
-        assert max(n.values()) - min(n.values()) <= 1
-    assert design.make_folds(animals, 5, 1, "A") == design.make_folds(list(reversed(animals)), 5, 1, "A")
-
-
 def test_greedy_sample_is_spaced(spark):
     rows = spark.createDataFrame([("v", p, "x") for p in range(50)] + [("w", 1, "x")], "video_id string, pos long, reason string")
     got = defaultdict(list)
