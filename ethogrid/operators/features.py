@@ -23,10 +23,9 @@ def segment_features(segs: DataFrame) -> DataFrame:
 
     A state never shown has no bouts, mean 0 and the recording length as latency. Subjects without known time drop out.
     """
-    whole = segs.groupBy("video_id").agg(F.min("start_s").alias("first_s"), F.sum("duration_s").alias("recording_s"))
     rows = bouts(segs)
     rows = rows.withColumn("next_state", F.lead("state").over(Window.partitionBy("video_id").orderBy("bout")))
-    aggs = [F.sum(F.when(F.col("state") != UNDETERMINED, F.col("duration_s"))).alias("known_s")]
+    aggs = [F.sum(F.when(F.col("state") != UNDETERMINED, F.col("duration_s"))).alias("known_s"), F.min("start_s").alias("first_s"), F.sum("duration_s").alias("recording_s")]
     for s in BEHAVIOUR_STATES:
         own = F.col("state") == s
         aggs += [
@@ -35,7 +34,7 @@ def segment_features(segs: DataFrame) -> DataFrame:
         ]
     pairs = list(permutations(BEHAVIOUR_STATES, 2))
     aggs += [F.count_if((F.col("state") == a) & (F.col("next_state") == b)).cast("double").alias(f"trans_{_slug(a)}_to_{_slug(b)}") for a, b in pairs]
-    got = rows.groupBy("video_id").agg(*aggs).where("known_s > 0").join(whole, "video_id")
+    got = rows.groupBy("video_id").agg(*aggs).where("known_s > 0")
     out = [F.col("video_id")]
     for s in BEHAVIOUR_STATES:
         k = _slug(s)
@@ -94,18 +93,25 @@ def timeline(frames: DataFrame, width: float) -> DataFrame:
     w = by_time()
     real = F.col("detected") & F.coalesce(F.lag("detected").over(w), F.lit(False))
     rows = frames.withColumn("gap", F.col("t_sec") - F.lag("t_sec").over(w)).withColumn("speed", F.when(real, F.col("velocity")))
-    spacing = rows.groupBy("video_id").agg(F.coalesce(F.median("gap"), F.lit(0.0)).alias("spacing"), F.max("t_sec").alias("last_t"))
-    spacing = spacing.withColumn("duration_s", F.col("last_t") + F.col("spacing"))
-    ends = F.ceil(F.col("duration_s") / width).cast("int") - 1
-    bins = spacing.where(ends >= 0).select("*", F.explode(F.sequence(F.lit(0), ends)).alias("bin"))
+    every = Window.partitionBy("video_id")
+    rows = rows.withColumn("spacing", F.coalesce(F.median("gap").over(every), F.lit(0.0))).withColumn("duration_s", F.max("t_sec").over(every) + F.col("spacing"))
     known = F.col("state") != UNDETERMINED
     n = F.count_if(known)
     shares = [(F.count_if(F.col("state") == s) / F.nullif(n, F.lit(0))).alias(f"share_{_slug(s)}") for s in BEHAVIOUR_STATES]
-    got = rows.groupBy("video_id", F.floor(F.col("t_sec") / width).cast("int").alias("bin")).agg(n.alias("known"), F.avg("speed").alias("speed"), *shares)
-    out = bins.join(got, ["video_id", "bin"], "left")
+    got = rows.groupBy("video_id", F.floor(F.col("t_sec") / width).cast("int").alias("own")).agg(
+        n.alias("known"), F.avg("speed").alias("speed"), *shares, F.first("spacing").alias("spacing"), F.first("duration_s").alias("duration_s")
+    )
+    # each bin with rows also gives the empty ones up to the next such bin, the first one those before it
+    order = Window.partitionBy("video_id").orderBy("own")
+    ends = F.ceil(F.col("duration_s") / width).cast("int") - 1
+    until = F.coalesce(F.lead("own").over(order) - 1, F.greatest(ends, F.col("own")))
+    since = F.when(F.lag("own").over(order).isNull(), F.least(F.lit(0), F.col("own"))).otherwise(F.col("own"))
+    out = got.withColumn("until", until).withColumn("since", since).withColumn("bin", F.explode(F.sequence("since", "until"))).where((F.col("bin") >= 0) & (F.col("bin") <= ends))
+    real = F.col("bin") == F.col("own")
     return out.select(
         "video_id", "bin", (F.col("bin") * float(width)).alias("start_s"), F.least((F.col("bin") + 1) * float(width), F.col("duration_s")).alias("end_s"),
-        (F.coalesce("known", F.lit(0)) * F.col("spacing")).alias("known_s"), "speed", *[f"share_{_slug(s)}" for s in BEHAVIOUR_STATES],
+        (F.when(real, F.col("known")).otherwise(0) * F.col("spacing")).alias("known_s"), F.when(real, F.col("speed")).alias("speed"),
+        *[F.when(real, F.col(f"share_{_slug(s)}")).alias(f"share_{_slug(s)}") for s in BEHAVIOUR_STATES],
     )
 
 

@@ -66,12 +66,14 @@ def immobility(with_velocity: DataFrame, floor: float, window: int) -> DataFrame
     return with_velocity.withColumn("is_immobile", (F.sum(slow).over(frame) == window))
 
 
+_UNIT = 1 << 20  # one lag in units of the order key
+
+
 def smoothed_speed(tracks: DataFrame, lag_s: float) -> DataFrame:
     """Adds pos, lag_rows, speed and speed_valid: displacement to the detected row ``lag_rows`` earlier, or else later.
 
-    lag_rows is ``lag_s`` over the upper median of the spacings of adjacent rows, rounded half to even, 1 at least. It
-    differs between subjects, so the partner comes from a self join on (video_id, position), in which the rows of a subject are
-    combined only with their own two partners.
+    lag_rows is ``lag_s`` over the upper median of the spacings of adjacent rows, rounded half to even, 1 at least. It differs between subjects, and a window's frame
+    can't; so rows are ordered by index x 2^20 / lag_rows, rounded down, in which a partner lies exactly 2^20 away. All windows share one exchange by video_id.
     """
     w = by_time()
     base = tracks.withColumn("pos", F.row_number().over(w))
@@ -84,27 +86,23 @@ def smoothed_speed(tracks: DataFrame, lag_s: float) -> DataFrame:
     middle = F.max(F.when(F.col("__r") == F.floor(F.col("__n") / 2) + 1, F.col("__gap"))).over(every)
     ranked = ranked.withColumn("lag_rows", F.greatest(F.lit(1), F.bround(F.lit(float(lag_s)) / middle).cast("int")))
     lagged = ranked.withColumn("lag_rows", F.when(middle.isNotNull(), F.col("lag_rows"))).drop("__gap", "__n", "__r")
-    other = base.where("detected").select(
-        F.col("video_id").alias("o_id"), F.col("pos").alias("o_pos"), F.col("frame_idx").alias("o_idx"), F.col("t_sec").alias("o_t"), F.col("x").alias("o_x"), F.col("y").alias("o_y")
-    )
-
-    def partner(df: DataFrame, sign: int, name: str) -> DataFrame:
-        o = other.select([F.col(c).alias(f"{name}_{c}") for c in other.columns])
-        match = (
-            (F.col("video_id") == F.col(f"{name}_o_id")) & (F.col("pos") + sign * F.col("lag_rows") == F.col(f"{name}_o_pos")) & F.col("detected")
-            & ((F.col(f"{name}_o_idx") - F.col("frame_idx")) * sign == F.col("lag_rows")) & ((F.col(f"{name}_o_t") - F.col("t_sec")) * sign > 0)
-        )
-        return df.join(o, match, "left")
+    own = F.struct("pos", "frame_idx", "t_sec", "x", "y")
+    lagged = lagged.withColumn("__key", F.expr(f"(CAST(frame_idx AS BIGINT) * {_UNIT}) div CAST(lag_rows AS BIGINT)"))
+    place = Window.partitionBy("video_id").orderBy("__key")
+    at = lambda d: F.collect_list(F.when(F.col("detected"), own)).over(place.rangeBetween(d, d))  # noqa: E731  one row, unless indices repeat
+    lagged = lagged.withColumn("__before", at(-_UNIT)).withColumn("__after", at(_UNIT))
 
-    out = partner(partner(lagged, -1, "b"), 1, "f")
+    def speed(name: str, sign: int):
+        def partner(o):
+            return (o["pos"] == F.col("pos") + sign * F.col("lag_rows")) & ((o["frame_idx"] - F.col("frame_idx")) * sign == F.col("lag_rows")) & ((o["t_sec"] - F.col("t_sec")) * sign > 0)
 
-    def speed(name: str):
-        d = hypot(F.col(f"{name}_o_x") - F.col("x"), F.col(f"{name}_o_y") - F.col("y"))
-        return d / F.nullif(F.abs(F.col(f"{name}_o_t") - F.col("t_sec")), F.lit(0.0))
+        o = F.get(F.filter(name, partner), F.lit(0))
+        d = hypot(o["x"] - F.col("x"), o["y"] - F.col("y"))
+        return F.when(F.col("detected") & F.col("lag_rows").isNotNull(), d / F.nullif(F.abs(o["t_sec"] - F.col("t_sec")), F.lit(0.0)))
 
-    found = F.coalesce(speed("b"), speed("f"))
+    found = F.coalesce(speed("__before", -1), speed("__after", 1))
     keep = [*tracks.columns, "pos", "lag_rows"]
-    return out.select(*keep, F.coalesce(found, F.lit(0.0)).alias("speed"), found.isNotNull().alias("speed_valid"))
+    return lagged.withColumn("__speed", found).select(*keep, F.coalesce("__speed", F.lit(0.0)).alias("speed"), F.col("__speed").isNotNull().alias("speed_valid"))
 
 
 def features(tracks: DataFrame, meander_window: int, immobile_floor: float, immobile_window: int) -> DataFrame:

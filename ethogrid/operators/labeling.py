@@ -82,11 +82,11 @@ def segments(states: DataFrame, break_on_gaps: bool = True) -> DataFrame:
     if break_on_gaps:
         breaks = breaks | ~adjacent()
     out = with_island(out.withColumn("__gap", F.col("t") - F.lag("t").over(w)), breaks)
+    out = out.withColumn("spacing", F.coalesce(F.median("__gap").over(Window.partitionBy("video_id")), F.lit(0.0)))
     runs = out.groupBy("video_id", "island").agg(
-        F.min("t").alias("start_s"), F.min_by("state", "frame_idx").alias("state"), F.min_by("source", "frame_idx").alias("source"), F.max("t").alias("last_t")
+        F.min("t").alias("start_s"), F.min_by("state", "frame_idx").alias("state"), F.min_by("source", "frame_idx").alias("source"), F.max("t").alias("last_t"), F.first("spacing").alias("spacing")
     )
-    spacing = out.groupBy("video_id").agg(F.coalesce(F.median("__gap"), F.lit(0.0)).alias("spacing"))
-    runs = runs.join(spacing, "video_id").withColumn("next", F.lead("start_s").over(Window.partitionBy("video_id").orderBy("island")))
+    runs = runs.withColumn("next", F.lead("start_s").over(Window.partitionBy("video_id").orderBy("island")))
     runs = runs.withColumn("end_s", F.coalesce("next", F.col("last_t") + F.col("spacing")))
     return runs.select("video_id", F.col("island").alias("segment"), "start_s", "end_s", (F.col("end_s") - F.col("start_s")).alias("duration_s"), "state", "source")
 

@@ -11,37 +11,48 @@ TRANSITIONS = (("AUTO", "EDITED"), ("AUTO", "ACCEPTED"), ("AUTO", "REJECTED"), (
 PROTECTED = ("EDITED", "ACCEPTED")
 
 
+def edit_pieces(edits: DataFrame, eps: float = 0.0) -> DataFrame:
+    """(video_id, t, edit): from time ``t`` on the last edit that covers it, null where none does; edits are (video_id, edit_no, start_s, end_s, new_state).
+
+    Only edits meet edits here, at most twice their number squared in a subject; rows and segments find their piece by a running window.
+    """
+    e = edits.where("start_s < end_s").select("video_id", "edit_no", (F.col("start_s") - eps).alias("e0"), (F.col("end_s") - eps).alias("e1"), "new_state")
+    cuts = e.select("video_id", F.explode(F.array("e0", "e1")).alias("t")).distinct()
+    own = e.withColumnRenamed("video_id", "e_id")
+    over = cuts.join(own, (F.col("video_id") == F.col("e_id")) & (F.col("t") >= F.col("e0")) & (F.col("t") < F.col("e1")), "left")
+    return over.groupBy("video_id", "t").agg(F.max_by("new_state", "edit_no").alias("edit"))
+
+
+def _running(name: str, *order: str):
+    """The last mark at or before a row; marks are structs, so a mark of null counts."""
+    return F.last(name, ignorenulls=True).over(Window.partitionBy("video_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+
+
 def apply_edits(states: DataFrame, edits: DataFrame, eps: float = EPSILON) -> DataFrame:
     """``states`` with state and source of the last edit that covers a row; edits are (video_id, edit_no, start_s, end_s, new_state).
 
-    A row lies in an edit from start - eps up to, not including, end - eps. Rows and edits meet by subject, and the last edit is found
-    by an aggregate before it is joined back, so rows are never multiplied in the result.
+    A row lies in an edit from start - eps up to, not including, end - eps. Rows are united with the pieces of the edits and take the last piece before them: one exchange,
+    and no row is multiplied.
     """
-    near = (F.col("t_sec") >= F.col("start_s") - eps) & (F.col("t_sec") < F.col("end_s") - eps)
-    e = edits.select(F.col("video_id").alias("e_id"), "edit_no", "start_s", "end_s", "new_state")
-    hit = states.select("video_id", "frame_idx", "t_sec").join(e, (F.col("video_id") == F.col("e_id")) & near)
-    last = hit.groupBy("video_id", "frame_idx").agg(F.max_by("new_state", "edit_no").alias("new_state"))
-    out = states.join(last, ["video_id", "frame_idx"], "left")
-    edited = F.col("new_state").isNotNull()
-    return out.withColumn("state", F.coalesce("new_state", "state")).withColumn("source", F.when(edited, "manual").otherwise(F.col("source"))).drop("new_state")
+    row = F.struct(*[F.col(c) for c in states.columns])
+    rows = states.select("video_id", F.col("t_sec").alias("__t"), F.lit(1).alias("__kind"), row.alias("__row"))
+    marks = edit_pieces(edits, eps).select("video_id", F.col("t").alias("__t"), F.lit(0).alias("__kind"), F.struct("edit").alias("__mark"))
+    both = rows.unionByName(marks, allowMissingColumns=True).withColumn("__now", _running("__mark", "__t", "__kind")["edit"]).where("__kind = 1")
+    out = both.select("__row.*", "__now")
+    edited = F.col("__now").isNotNull()
+    return out.withColumn("state", F.coalesce("__now", "state")).withColumn("source", F.when(edited, "manual").otherwise(F.col("source"))).drop("__now")
 
 
 def overlay_edits(segs: DataFrame, edits: DataFrame) -> DataFrame:
     """Segments cut at edit borders, each piece with the last edit that covers it, neighbours of one state and source merged."""
-    cuts = (
-        segs.select("video_id", F.explode(F.array("start_s", "end_s")).alias("t"))
-        .union(edits.select("video_id", F.explode(F.array("start_s", "end_s")).alias("t"))).distinct()
-    )
+    cuts = segs.select("video_id", F.explode(F.array("start_s", "end_s")).alias("t")).union(edits.select("video_id", F.explode(F.array("start_s", "end_s")).alias("t"))).distinct()
+    seg = segs.select("video_id", F.col("start_s").alias("t"), F.lit(0).alias("kind"), F.col("end_s").alias("upto"), F.struct("start_s", "end_s", "state", "source").alias("seg"))
+    edit = edit_pieces(edits).select("video_id", "t", F.lit(0).alias("kind"), F.struct("edit").alias("mark"))
+    rows = cuts.withColumn("kind", F.lit(1)).unionByName(seg, allowMissingColumns=True).unionByName(edit, allowMissingColumns=True)
+    rows = rows.withColumn("seg", _running("seg", "t", "kind", "upto")).withColumn("edit", _running("mark", "t", "kind", "upto")["edit"]).where("kind = 1")
     w = Window.partitionBy("video_id").orderBy("t")
-    pieces = cuts.withColumn("end", F.lead("t").over(w)).where("end is not null")
-    s = segs.select(F.col("video_id").alias("s_id"), F.col("start_s").alias("s0"), F.col("end_s").alias("s1"), F.col("state").alias("s_state"), F.col("source").alias("s_source"))
-    base = pieces.join(s, (F.col("video_id") == F.col("s_id")) & (F.col("t") >= F.col("s0")) & (F.col("end") <= F.col("s1")))
-    e = edits.select(F.col("video_id").alias("e_id"), "edit_no", F.col("start_s").alias("e0"), F.col("end_s").alias("e1"), "new_state")
-    covered = base.join(e, (F.col("video_id") == F.col("e_id")) & (F.col("t") >= F.col("e0")) & (F.col("end") <= F.col("e1")), "left")
-    got = covered.groupBy("video_id", "t", "end").agg(
-        F.max_by("new_state", "edit_no").alias("edit"), F.first("s_state").alias("s_state"), F.first("s_source").alias("s_source")
-    )
-    got = got.select("video_id", "t", "end", F.coalesce("edit", "s_state").alias("state"), F.when(F.col("edit").isNotNull(), "manual").otherwise(F.col("s_source")).alias("source"))
+    pieces = rows.withColumn("end", F.lead("t").over(w)).where((F.col("end") <= F.col("seg.end_s")) & (F.col("t") >= F.col("seg.start_s")))
+    got = pieces.select("video_id", "t", "end", F.coalesce("edit", "seg.state").alias("state"), F.when(F.col("edit").isNotNull(), "manual").otherwise(F.col("seg.source")).alias("source"))
     change = F.coalesce((F.col("state") != F.lag("state").over(w)) | (F.col("source") != F.lag("source").over(w)) | (F.col("t") != F.lag("end").over(w)), F.lit(True))
     runs = got.withColumn("run", F.sum(change.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return runs.groupBy("video_id", "run").agg(F.min("t").alias("start_s"), F.max("end").alias("end_s"), F.first("state").alias("state"), F.first("source").alias("source")).drop("run")

@@ -14,19 +14,19 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One track for each user of ``events``; times are in hours."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    e = read(spark, sf_dir, "events")
+    w = Window.partitionBy("video_id").orderBy("ts", "event_id")
+    e = read(spark, sf_dir, "events").withColumn("video_id", F.concat(F.lit("F_"), F.lpad(F.col("user_id").cast("string"), 6, "0")))
     us = F.unix_micros(F.col("ts").cast("timestamp"))
     seen = F.col("event_type") != "error"
     nth = F.row_number().over(w) - 1
     index = nth + F.floor(nth / 10)  # each eleventh index is missing
     b = e.select(
-        "user_id", "event_id", "event_type", "value", F.get_json_object("props", "$.k").cast("double").alias("k"),
-        index.cast("int").alias("frame_idx"), ((us - F.min(us).over(Window.partitionBy("user_id"))) / F.lit(3.6e9)).alias("t_sec"),
+        "video_id", "event_id", "event_type", "value", F.get_json_object("props", "$.k").cast("double").alias("k"),
+        index.cast("int").alias("frame_idx"), ((us - F.min(us).over(Window.partitionBy("video_id"))) / F.lit(3.6e9)).alias("t_sec"),
     )
     depth = F.col("k") * 2.4
     return b.select(
-        F.concat(F.lit("F_"), F.lpad(F.col("user_id").cast("string"), 6, "0")).alias("video_id"), "frame_idx", "t_sec",
+        "video_id", "frame_idx", "t_sec",
         F.when(seen, F.col("value")).otherwise(0.0).alias("x"), F.when(seen, depth).otherwise(0.0).alias("y"),
         F.when(~F.col("event_type").isin("error", "signup"), ((F.col("event_id") * 37) % 1800) / 10.0).alias("orientation_deg"),
         F.when(seen, depth).alias("y_from_frame_top"), seen.alias("detected"), "event_type", "event_id",
