@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 import random
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ethogrid.operators import labeling
 from ethogrid.schemas import UNDETERMINED
 
 
@@ -43,21 +45,82 @@ def agreeing_targets(panels: DataFrame, tolerance: float = 0.05) -> DataFrame:
     return mean.join(worst, "grp", "left").select("grp", "state", "proportion", (F.coalesce("tv", F.lit(0.0)) <= tolerance).alias("agree"))
 
 
-def search(objective: Callable[[list[dict]], list[float]], ranges: dict[str, tuple[float, float]], draws: int = 20, rounds: int = 6, seed: int = 0) -> tuple[dict, float]:
-    """Least of a batched objective: seeded draws, then steps along each parameter that halve when none improves.
+#: parameters of the labelling rules, and what a set that does not name them has
+DEFAULTS = {"freeze": 3.0, "min_freeze_s": 1.0, "erratic": 6.0, "surface_depth": 0.0, "min_dead_s": float("inf")}
 
-    The objective gets a whole batch of parameter sets at once, so that one Spark job can score them together.
+
+def score_sets(with_speed: DataFrame, targets: DataFrame, sets: list[dict], kept: list[str], width: float | None = None, min_determined: float = 0.5) -> DataFrame:
+    """(set_no, grp, tv, coverage, scored): how far the states that each parameter set gives are from the target shares of each group.
+
+    ``with_speed``: tracks with smoothed speed and ``grp``; ``targets``: grp, state, proportion, over which a group's shares are made to sum to one on the ``kept`` states.
+    States outside ``kept`` leave shares and targets, Undetermined too; coverage is the share of rows that are not Undetermined. tv is 1 where no row or no target is kept.
+    With ``width`` the states of time bins are scored. All sets are labelled in one job: tracks are dealt by subject once, and each is copied once a set in its task.
+    A set whose erratic threshold is not above its freeze floor is not labelled and gives no row; a group without targets is an error.
+    """
+    full = [{**DEFAULTS, **s} for s in sets]
+    unknown = {k for s in sets for k in s} - DEFAULTS.keys()
+    if unknown:
+        raise ValueError(f"unknown parameters: {', '.join(sorted(unknown))}")
+    good = [(i, s) for i, s in enumerate(full) if s["erratic"] > s["freeze"]]
+    each = F.array(*[F.struct(F.lit(i).alias("set_no"), *[F.lit(float(s[k])).alias(f"p_{k}") for k in DEFAULTS]) for i, s in good])
+    kind = "array<struct<set_no:int," + ",".join(f"p_{k}:double" for k in DEFAULTS) + ">>"
+    need = ["video_id", "frame_idx", "t_sec", "detected", "y_from_frame_top", "orientation_deg", "speed", "speed_valid", "grp"]
+    key = ["video_id", "set_no"]
+    rows = with_speed.select(*need).repartition("video_id").select("*", F.inline(each.cast(kind)))
+    states = labeling.classify(rows, *[F.col(f"p_{k}") for k in DEFAULTS], key=key)
+    if width is not None:
+        states = labeling.consolidate(states, width, min_determined, key)
+    counts = [F.count_if(F.col("state") == s).alias(f"n_{i}") for i, s in enumerate(kept)]
+    got = states.groupBy("set_no", "grp").agg(F.count("*").alias("total"), F.count_if(F.col("state") != UNDETERMINED).alias("known"), *counts)
+    q = targets.groupBy("grp").agg(*[F.coalesce(F.sum(F.when(F.col("state") == s, F.col("proportion"))), F.lit(0.0)).alias(f"q_{i}") for i, s in enumerate(kept)])
+    both = got.join(q.withColumn("there", F.lit(True)), "grp", "left")
+    both = both.where(F.when(F.col("there").isNull(), F.raise_error(F.concat(F.lit("no target for group "), F.col("grp").cast("string"))).cast("boolean")).otherwise(True))
+    n = sum((F.col(f"n_{i}") for i in range(1, len(kept))), F.col("n_0"))
+    mass = sum((F.col(f"q_{i}") for i in range(1, len(kept))), F.col("q_0"))
+    parts = [F.abs(F.try_divide(F.col(f"n_{i}").cast("double"), n) - F.try_divide(F.col(f"q_{i}"), mass)) for i in range(len(kept))]
+    tv = F.when((n > 0) & (mass > 0), 0.5 * sum(parts[1:], parts[0])).otherwise(1.0)
+    return both.select("set_no", "grp", tv.alias("tv"), (F.col("known") / F.col("total")).alias("coverage"), n.alias("scored"))
+
+
+def mean_distance(scores: DataFrame, sets: int) -> list[float]:
+    """Mean tv over groups of each set by its number; 1 for those that were not labelled. One row a set comes to the driver."""
+    got = {r["set_no"]: r["tv"] for r in scores.groupBy("set_no").agg(F.avg("tv").alias("tv")).collect()}
+    return [got.get(i, 1.0) for i in range(sets)]
+
+
+def sets_objective(with_speed: DataFrame, targets: DataFrame, kept: list[str], fixed: dict | None = None, width: float | None = None) -> Callable[[list[dict]], list[float]]:
+    """Objective of :func:`search`: a batch of parameter sets, with ``fixed`` ones merged in, scored in one job."""
+
+    def objective(batch: list[dict]) -> list[float]:
+        return mean_distance(score_sets(with_speed, targets, [{**(fixed or {}), **b} for b in batch], kept, width), len(batch))
+
+    return objective
+
+
+def search(objective: Callable[[list[dict]], list[float]], ranges: dict[str, tuple[float, float]], draws: int = 20, rounds: int = 6, seed: int = 0, log: tuple[str, ...] = (), initial: dict | None = None) -> tuple[dict, float]:
+    """Least of a batched objective: ``initial`` and seeded draws, then steps along each parameter, whose width halves when none improves. ``log``: ranges that are logarithmic.
+
+    The objective gets a whole batch of parameter sets at once, so that one Spark job can score them together. The result is never worse than ``initial``.
     """
     rng = random.Random(seed)
-    tries = [{k: rng.uniform(*r) for k, r in ranges.items()} for _ in range(draws)]
+
+    def at(k: str, unit: float) -> float:
+        lo, hi = ranges[k]
+        unit = min(1.0, max(0.0, unit))
+        return math.exp(math.log(lo) + unit * (math.log(hi) - math.log(lo))) if k in log else lo + unit * (hi - lo)
+
+    def unit(k: str, v: float) -> float:
+        lo, hi = ranges[k]
+        return (math.log(v) - math.log(lo)) / (math.log(hi) - math.log(lo)) if k in log else (v - lo) / (hi - lo)
+
+    tries = [dict(initial)] if initial else []
+    tries += [{k: at(k, rng.random()) for k in ranges} for _ in range(draws)]
     scores = objective(tries)
     best, least = min(zip(tries, scores, strict=True), key=lambda x: x[1])
     step = 0.25
     for _ in range(rounds):
-        batch = []
-        for k, (lo, hi) in ranges.items():
-            for sign in (-1, 1):
-                batch.append({**best, k: min(hi, max(lo, best[k] + sign * step * (hi - lo)))})
+        batch = [{**best, k: at(k, unit(k, best[k]) + sign * step)} for k in ranges for sign in (-1, 1)]
+        batch = [b for b in batch if b != best]
         scores = objective(batch)
         found, score = min(zip(batch, scores, strict=True), key=lambda x: x[1])
         if score < least:
@@ -65,23 +128,3 @@ def search(objective: Callable[[list[dict]], list[float]], ranges: dict[str, tup
         else:
             step /= 2
     return best, least
-
-
-def threshold_objective(with_speed: DataFrame, targets: dict[str, float]) -> Callable[[list[dict]], list[float]]:
-    """Scores (freeze, erratic) pairs by total variation of the shares still / middle / fast from ``targets``; infeasible order scores 1."""
-
-    def objective(batch: list[dict]) -> list[float]:
-        ok = [b["erratic"] > b["freeze"] for b in batch]
-        aggs = []
-        for i, b in enumerate(batch):
-            still, fast = F.col("speed") <= b["freeze"], F.col("speed") >= b["erratic"]
-            aggs += [F.avg(still.cast("double")).alias(f"s{i}"), F.avg(fast.cast("double")).alias(f"f{i}")]
-        row = with_speed.where("speed_valid").agg(*aggs).first()
-        out = []
-        for i, good in enumerate(ok):
-            s, f = row[f"s{i}"] or 0.0, row[f"f{i}"] or 0.0
-            got = {"still": s, "fast": f, "middle": 1 - s - f}
-            out.append(0.5 * sum(abs(got[k] - v) for k, v in targets.items()) if good else 1.0)
-        return out
-
-    return objective

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ethogrid.functions.scalars import hash_order
+from ethogrid.sources.tables import written
 
 
 def hash_split(rows: DataFrame, group: str, key: str, share: float, seed: int, least: int = 5) -> DataFrame:
@@ -78,3 +79,64 @@ def quota_round_robin(found: DataFrame, group: str, order: list, total: int) ->
     """``total`` rows taken in turns from the groups: all first rows, then all second ones, and so on."""
     out = found.withColumn("turn", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
     return out.orderBy("turn", group).limit(total)
+
+
+def _free_picks(found: DataFrame, gap_s: float, per_video: int, guard_s: float) -> DataFrame:
+    """Rows of ``found`` (.., kind, place) that may be picked when a video's rows are offered in the order of ``place``: at most ``per_video`` of them with those taken before, ``gap_s`` from each
+    other and from those taken, and more than ``guard_s`` from rows that are annotated already.
+
+    Whether a row may be picked depends on its own video only, so each video goes through one small function: what it keeps is at most ``per_video`` rows and the annotated ones. kind: 0 candidate,
+    1 annotated, 2 taken before.
+    """
+
+    def pick(pdf):
+        guard, taken = pdf.loc[pdf["kind"] == 1, "frame_idx"].to_numpy(), pdf.loc[pdf["kind"] == 2, "frame_idx"].tolist()
+        own = pdf[pdf["kind"] == 0].sort_values("place", kind="stable")
+        rows = []
+        for i, frame, fps in zip(own.index, own["frame_idx"], own["fps"], strict=True):
+            if len(taken) >= per_video:
+                break
+            if not len(guard) or (abs(guard - frame) > guard_s * fps).all():
+                if all(abs(frame - t) >= gap_s * fps for t in taken):
+                    taken.append(frame)
+                    rows.append(i)
+        return pdf.loc[rows]
+
+    return found.groupBy("video_id").applyInPandas(pick, found.schema)
+
+
+def select_candidates(
+    scanned: DataFrame, annotated: DataFrame, quotas: dict[str, tuple[int, int]], seed: int, least_score: float = 0.5, tilted: float = 100.0, unsure: tuple[float, float] = (60.0, 100.0),
+    gap_s: float = 20.0, guard_s: float = 2.0, per_video: int = 4,
+) -> DataFrame:
+    """(video_id, frame_idx, split, reason, tilt, turn) of the rows to annotate next, from ``scanned`` (video_id, frame_idx, fps, compound, split, box_score, tilt).
+
+    ``quotas[split]``: how many tilted rows, highest tilt first, then how many unsure ones, in a seeded order. Compounds take turns: all first picks, then all second ones; a compound whose rows
+    run out is passed over. A video is of one compound and split. Rows near annotated ones (video_id, frame_idx), of a low score or without a tilt are not picked; other splits aren't either.
+
+    A compound's n-th pick is the n-th of its rows that may be picked, whatever the others do; so picks are found video by video, numbered within their compound, and cut at the quota.
+    """
+    order = F.concat_ws(":", F.lit(str(seed)), "split", "video_id", F.col("frame_idx").cast("string"))
+    good = scanned.where((F.col("box_score") >= least_score) & F.col("tilt").isNotNull() & ~F.isnan("tilt") & F.col("split").isin(*quotas))
+    good = good.select("video_id", F.col("frame_idx").cast("long").alias("frame_idx"), F.col("fps").cast("double").alias("fps"), "compound", "split", F.col("tilt").cast("double").alias("tilt"), F.lit(0).alias("kind"))
+    guard = annotated.select("video_id", F.col("frame_idx").cast("long").alias("frame_idx"), F.lit(1).alias("kind")).distinct()
+    taken, out = None, None
+    for n, (reason, keep, place) in enumerate((
+        ("tilted", F.col("tilt") >= tilted, F.struct((-F.col("tilt")).alias("a"), F.lit("").alias("b"), "video_id", "frame_idx")),
+        ("unsure", (F.col("tilt") >= unsure[0]) & (F.col("tilt") < unsure[1]), F.struct(F.lit(0.0).alias("a"), F.sha2(order, 256).alias("b"), "video_id", "frame_idx")),
+    )):
+        offered = good.where(keep).withColumn("rank", place)
+        offered = offered.withColumn("place", F.row_number().over(Window.partitionBy("video_id").orderBy("rank")))
+        met = offered.unionByName(guard, allowMissingColumns=True)
+        met = met if taken is None else met.unionByName(taken.withColumn("kind", F.lit(2)), allowMissingColumns=True)
+        free = _free_picks(met, gap_s, per_video, guard_s)
+        quota = F.lit(0)
+        for split, both in quotas.items():
+            quota = F.when(F.col("split") == split, both[n]).otherwise(quota)
+        turn = F.row_number().over(Window.partitionBy("split", "compound").orderBy("rank"))
+        turns = free.withColumn("turn", turn).where(F.col("turn") <= quota)  # no compound can give more
+        nth = F.row_number().over(Window.partitionBy("split").orderBy("turn", "compound"))
+        picks = written(turns.withColumn("nth", nth).where(F.col("nth") <= quota).select("video_id", "frame_idx", "split", F.lit(reason).alias("reason"), "tilt", "turn"), "picks")
+        taken = picks.select("video_id", "frame_idx")
+        out = picks if out is None else out.unionByName(picks)
+    return out

@@ -2,32 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ethogrid.functions.scalars import time_bin
-from ethogrid.operators.islands import adjacent, by_time, sustained, terminal_run, with_island
+from ethogrid.operators.islands import Key, adjacent, by_time, names, sustained, terminal_run, with_island
 from ethogrid.schemas import CONTROLLED, DEAD, ERRATIC, FREEZING, LISTING, STATES, SURFACE, TIE_PRIORITY, UNDETERMINED
 
 
 def classify(
-    with_speed: DataFrame, freeze_floor: float, min_freeze_s: float, erratic: float, surface_depth: float, min_dead_s: float,
-    listing_deviation: float | None = None, min_listing_s: float = 0.0,
+    with_speed: DataFrame, freeze_floor: float | Column, min_freeze_s: float | Column, erratic: float | Column, surface_depth: float | Column, min_dead_s: float | Column,
+    listing_deviation: float | Column | None = None, min_listing_s: float | Column = 0.0, key: Key = "video_id",
 ) -> DataFrame:
     """Adds ``state`` from smoothed speed, depth and orientation. Earlier rules win:
 
     not detected: Undetermined; in the terminal still run: Dead; near the surface: Surface Breach; in a sustained tilted run:
     Listing/LORR; in a sustained still run: Freezing/Drift; no speed: Undetermined; fast: Erratic Movement; else Controlled Swim.
+    Thresholds are numbers, or columns that are the same in all rows of ``key``.
     """
-    if erratic <= freeze_floor:
+    if not isinstance(erratic, Column) and not isinstance(freeze_floor, Column) and erratic <= freeze_floor:
         raise ValueError(f"the erratic threshold ({erratic}) must be above the freeze floor ({freeze_floor})")
     out = with_speed.withColumn("__still", F.col("speed_valid") & (F.col("speed") <= freeze_floor))
-    out = terminal_run(sustained(out, "__still", min_freeze_s, "__freezing"), "__still", min_dead_s, "__dead")
+    out = terminal_run(sustained(out, "__still", min_freeze_s, "__freezing", key), "__still", min_dead_s, "__dead", key)
     if listing_deviation is None:
         out = out.withColumn("__listing", F.lit(False))
     else:
         tilted = F.col("detected") & F.coalesce(F.abs(F.col("orientation_deg") - 90) >= listing_deviation, F.lit(False))
-        out = sustained(out.withColumn("__tilted", tilted), "__tilted", min_listing_s, "__listing").drop("__tilted")
+        out = sustained(out.withColumn("__tilted", tilted), "__tilted", min_listing_s, "__listing", key).drop("__tilted")
     state = (
         F.when(~F.col("detected"), UNDETERMINED).when(F.col("__dead"), DEAD).when(F.col("y_from_frame_top") <= surface_depth, SURFACE)
         .when(F.col("__listing"), LISTING).when(F.col("__freezing"), FREEZING).when(~F.col("speed_valid"), UNDETERMINED)
@@ -60,9 +61,9 @@ def consolidate_bins(states: DataFrame, width: float, min_determined: float) ->
     return bin_votes(states, width).select("video_id", "bin", "n", bin_winner(min_determined).alias("state"))
 
 
-def consolidate(states: DataFrame, width: float, min_determined: float) -> DataFrame:
+def consolidate(states: DataFrame, width: float, min_determined: float, key: Key = "video_id") -> DataFrame:
     """The rows of ``states`` with the state of their bin. Windows by (video_id, bin) keep the rows where they are."""
-    w = Window.partitionBy("video_id", "bin")
+    w = Window.partitionBy(*names(key), "bin")
     out = states.withColumn("bin", time_bin(F.col("t_sec"), width)).withColumn("n", F.count("*").over(w))
     for i, s in enumerate(STATES):
         out = out.withColumn(f"n_{i}", F.sum((F.col("state") == s).cast("long")).over(w))

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import math
-from functools import lru_cache
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+EXACT_SIDE = 8  # values of the smaller side up to which p is exact
+EXACT_U = 2_500  # steps of U up to which it is
+
+
 def unpivot(table: DataFrame, keys: list[str], features: list[str]) -> DataFrame:
     """(keys, feature, value) with NaN as null; one pass for all features."""
     rows = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in features])
@@ -39,7 +42,8 @@ def value_counts(rows: DataFrame, by: list[str]) -> DataFrame:
 def effects(rows: DataFrame, by: list[str]) -> DataFrame:
     """Hedges' g (group minus control, small-sample corrected) and the two-sided Mann-Whitney p of ``rows`` (by, is_group, value).
 
-    p is the normal approximation with tie and continuity correction. Sides with fewer than two values, or one value only on both, drop out.
+    p is exact where the smaller side has at most ``EXACT_SIDE`` values, no two values are equal and U has at most ``EXACT_U`` steps; else the normal approximation with tie and
+    continuity correction (``p_method``). Sides with fewer than two values, or one value only on both, drop out.
     """
     v = F.col("value")
     g, c = F.col("is_group"), ~F.col("is_group")
@@ -62,42 +66,54 @@ def effects(rows: DataFrame, by: list[str]) -> DataFrame:
     mid = F.col("n1") * F.col("n2") / 2.0
     sd = F.sqrt(F.col("n1") * F.col("n2") / 12.0 * ((n + 1) - F.col("ties") / (n * (n - 1.0))))
     z = (F.greatest(u, 2 * mid - u) - mid - 0.5) / F.nullif(sd, F.lit(0.0))
-    return out.select(*by, "n1", "n2", F.col("m1").alias("group_mean"), F.col("m2").alias("control_mean"), F.coalesce(g_, F.lit(0.0)).alias("hedges_g"), u.alias("u"), z.alias("z"), normal_tail2(z).alias("p_value"))
+    out = out.select(*by, "n1", "n2", F.col("m1").alias("group_mean"), F.col("m2").alias("control_mean"), F.coalesce(g_, F.lit(0.0)).alias("hedges_g"), u.alias("u"), z.alias("z"), F.col("ties"))
+    exact = (F.least("n1", "n2") <= EXACT_SIDE) & (F.col("n1") * F.col("n2") <= EXACT_U) & (F.col("ties") == 0)
+    out = out.withColumn("__m", F.when(exact, F.least("n1", "n2"))).withColumn("__n", F.when(exact, F.greatest("n1", "n2")))
+    tables = out.where("__m IS NOT NULL").select("__m", "__n").distinct().withColumn("__orders", u_orders(F.col("__m"), F.col("__n")))
+    out = out.join(tables, ["__m", "__n"], "left")
+    p = F.when(F.col("__m").isNotNull(), exact_tail2(F.col("u"), F.col("__orders"))).otherwise(normal_tail2(F.col("z")))
+    return out.select(*by, "n1", "n2", "group_mean", "control_mean", "hedges_g", "u", "z", p.alias("p_value"), F.when(F.col("__m").isNotNull(), "exact").otherwise("normal").alias("p_method"))
+
+
+def u_orders(m, n):
+    """How many orders of m and n values without ties have each U from 0 to m n, as an array.
+
+    The counts are the coefficients of the product over i from 1 to m of (1 - q^(n + i)) / (1 - q^i): each factor shifts and subtracts, then sums up in steps of i. Counts are
+    doubles, whole up to 2^53 and as good as that beyond. Meant for a small m; one array for each pair of sizes, not for each comparison.
+    """
+    first = F.transform(F.sequence(F.lit(0), (m * n).cast("int")), lambda j: F.when(j == 0, 1.0).otherwise(0.0))
+
+    def factor(a, i):
+        cut = F.transform(a, lambda x, j: x - F.coalesce(F.get(a, (j - n - i).cast("int")), F.lit(0.0)))
+        return F.aggregate(cut, F.array().cast("array<double>"), lambda out, x: F.array_append(out, x + F.coalesce(F.get(out, (F.size(out) - i).cast("int")), F.lit(0.0))))
+
+    return F.aggregate(F.sequence(F.lit(1), m.cast("int")), first, factor)
+
+
+def exact_tail2(u, orders):
+    """Two-sided p of U from its counts: twice the share of orders with a U as high, at most 1."""
+    top = F.size(orders) - 1
+    high = F.ceil(F.greatest(u, top - u)).cast("int")
+    whole = F.aggregate(orders, F.lit(0.0), lambda a, x: a + x)
+    tail = F.aggregate(F.slice(orders, high + 1, F.size(orders)), F.lit(0.0), lambda a, x: a + x)
+    return F.least(F.lit(1.0), 2.0 * tail / whole)
+
+
+# Coefficients of the published Chebyshev fit of erfc.
+ERFC = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
 
 
 def normal_tail2(z):
     """Two-sided tail of the normal distribution, at most 1: the rational approximation with a relative error below 1.2e-7."""
-    # Coefficients of the published Chebyshev fit of erfc.
-    a = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
     x = F.abs(z) / math.sqrt(2)
     t = 1.0 / (1.0 + 0.5 * x)
-    poly = F.lit(a[-1])
-    for k in reversed(a[:-1]):
+    poly = F.lit(ERFC[-1])
+    for k in reversed(ERFC[:-1]):
         poly = F.lit(k) + t * poly
     e = t * F.exp(-x * x + poly)
     return F.least(F.when(z < 0, 2.0 - e).otherwise(e), F.lit(1.0))
 
 
-@lru_cache
-def _u_counts(n1: int, n2: int) -> tuple[int, ...]:
-    """How many orders of n1 and n2 values without ties have each U."""
-    if n1 == 0 or n2 == 0:
-        return (1,)
-    out = [0] * (n1 * n2 + 1)
-    for i, c in enumerate(_u_counts(n1 - 1, n2)):
-        out[i + n2] += c
-    for i, c in enumerate(_u_counts(n1, n2 - 1)):
-        out[i] += c
-    return tuple(out)
-
-
-def exact_mann_whitney_p(u: float, n1: int, n2: int) -> float:
-    """Two-sided exact p for samples without ties; meant for small ones (8 or fewer on a side)."""
-    counts = _u_counts(n1, n2)
-    high = max(u, n1 * n2 - u)
-    return min(1.0, 2 * sum(counts[math.ceil(high):]) / sum(counts))
-
-
 def benjamini_hochberg(rows: DataFrame, by: list[str], p: str = "p_value", tie: str = "feature") -> DataFrame:
     """Adds ``q_value``: the step-up adjusted p over the rows of each group."""
     up = Window.partitionBy(*by).orderBy(p, tie)

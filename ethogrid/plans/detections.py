@@ -109,3 +109,19 @@ def score_deltas(spark, sf):
     model = F.when(F.col("user_id") % 3 == 0, "base").when(F.col("user_id") % 3 == 1, "m1").otherwise("m2")
     s = adapters.read(spark, sf, "events").select(model.alias("model"), F.when(F.col("event_id") % 2 == 0, "A").otherwise("B").alias("scheme"), F.col("value").alias("balanced_accuracy"))
     return detection.score_cells(evaluation.summary(s, ["model", "scheme"], ["balanced_accuracy"]), "base").select("model", "scheme", *r6("delta"))
+
+
+@query()
+def annotation_queue(spark, sf):
+    """The rows of all tracks to annotate next: tilted ones, then unsure ones, in turns between compounds, away from rows annotated already."""
+    from ethogrid.operators import design
+
+    t = adapters.tracks(spark, sf)
+    number = F.substring("video_id", 3, 10).cast("int")
+    compound = F.element_at(F.array(*[F.lit(c) for c in "ABCDE"]), (number % 5 + 1).cast("int"))
+    scanned = t.where("detected").select(
+        "video_id", "frame_idx", F.lit(2.0).alias("fps"), compound.alias("compound"), F.when(number % 4 == 0, "test").otherwise("train").alias("split"),
+        (F.col("event_id") % 10 / 10.0).alias("box_score"), F.col("orientation_deg").alias("tilt"),
+    )
+    annotated = t.where("event_id % 50 = 0").select("video_id", "frame_idx")
+    return design.select_candidates(scanned, annotated, {"train": (300, 150), "test": (60, 30)}, 5, gap_s=5.0)

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from ethogrid.functions import scalars as fn
 from ethogrid.operators import audit, calibrate, catalog, design, evaluation, stats
 from ethogrid.plans.behaviour import r6
+from ethogrid.plans.behaviour_sql import SPEED, STATES, TRACKS
 from ethogrid.sources import adapters
+from ethogrid.sources.tables import written
 
 FEATURES = ["f_orders", "f_mean_price", "f_max_price", "f_acctbal"]
 VEHICLE = "BUILDING"
@@ -149,9 +151,28 @@ u AS (SELECT feature, sum(rk) FILTER (g) AS r1, sum(CAST(t AS DOUBLE) * t - 1) A
 ef AS (SELECT n.feature, n1, n2, m1 AS group_mean, m2 AS control_mean,
    coalesce((m1 - m2) / nullif(sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2)), 0) * (1 - 3.0 / (4.0 * (n1 + n2) - 9)), 0) AS hedges_g, r1 - n1 * (n1 + 1) / 2.0 AS u,
    (greatest(r1 - n1 * (n1 + 1) / 2.0, n1 * n2 - (r1 - n1 * (n1 + 1) / 2.0)) - n1 * n2 / 2.0 - 0.5)
-     / nullif(sqrt(n1 * n2 / 12.0 * ((n1 + n2 + 1) - ties / ((n1 + n2) * (n1 + n2 - 1.0)))), 0) AS z
+     / nullif(sqrt(n1 * n2 / 12.0 * ((n1 + n2 + 1) - ties / ((n1 + n2) * (n1 + n2 - 1.0)))), 0) AS z, ties
    FROM n JOIN u ON n.feature = u.feature WHERE n1 >= 2 AND n2 >= 2 AND nv > 1)
 """
+def _p_sql() -> str:
+    """p of the rows of ``ef``: exact by products of (1 - q^(n + i)) / (1 - q^i), a pair of steps for each i up to 8, else the normal tail."""
+    out = """, sz AS (SELECT DISTINCT least(n1, n2) AS m, greatest(n1, n2) AS n FROM ef WHERE least(n1, n2) <= 8 AND n1 * n2 <= 2500 AND ties = 0),
+x0 AS (SELECT m, n, j, CASE WHEN j = 0 THEN 1.0::DOUBLE ELSE 0.0 END AS v FROM (SELECT m, n, unnest(range(0, CAST(m * n + 1 AS BIGINT))) AS j FROM sz))"""
+    for i in range(1, 9):
+        out += f""",
+y{i} AS (SELECT a.m, a.n, a.j, a.v - coalesce(b.v, 0) AS v FROM x{i - 1} a LEFT JOIN x{i - 1} b ON b.m = a.m AND b.n = a.n AND b.j = a.j - a.n - {i} AND a.m >= {i}),
+x{i} AS (SELECT m, n, j, CASE WHEN m >= {i} THEN sum(v) OVER (PARTITION BY m, n, j % {i} ORDER BY j) ELSE v END AS v FROM y{i})"""
+    poly = str(stats.ERFC[-1])
+    for k in reversed(stats.ERFC[:-1]):
+        poly = f"({k} + t * {poly})"
+    return out + f""",
+pe AS (SELECT ef.feature, least(1.0, 2 * sum(v) FILTER (j >= ceil(greatest(u, m * n - u))) / sum(v)) AS p FROM ef JOIN x8 ON m = least(n1, n2) AND n = greatest(n1, n2) AND ties = 0 GROUP BY ef.feature),
+pn AS (SELECT feature, least(1.0, CASE WHEN z < 0 THEN 2 - e ELSE e END) AS p FROM (SELECT feature, z, t * exp(-x * x + {poly}) AS e FROM
+  (SELECT feature, z, abs(z) / sqrt(2.0::DOUBLE) AS x, 1.0 / (1.0 + 0.5 * abs(z) / sqrt(2.0::DOUBLE)) AS t FROM ef)))
+SELECT ef.feature, n1, n2, round(group_mean, 6) + 0 AS group_mean, round(control_mean, 6) + 0 AS control_mean, round(hedges_g, 6) + 0 AS hedges_g, round(u, 6) + 0 AS u, round(z, 6) + 0 AS z,
+  round(coalesce(pe.p, pn.p), 6) + 0 AS p_value, CASE WHEN pe.p IS NULL THEN 'normal' ELSE 'exact' END AS p_method FROM ef LEFT JOIN pe ON pe.feature = ef.feature LEFT JOIN pn ON pn.feature = ef.feature"""
+
+
 _GROUP = FISH + """, dd AS (SELECT DISTINCT date FROM fish WHERE compound = 'MACHINERY' AND concentration_mM = '0.1' AND sex = 'F'),
 r AS (SELECT feature, true AS g, value FROM long l WHERE compound = 'MACHINERY' AND concentration_mM = '0.1'
       UNION ALL SELECT feature, false, value FROM long WHERE compound = 'BUILDING' AND date IN (SELECT date FROM long WHERE compound = 'MACHINERY' AND concentration_mM = '0.1')),
@@ -163,9 +184,24 @@ def _effects(spark, sf) -> DataFrame:
     return stats.effects(stats.unpivot(rows, ["video_id", "is_group"], FEATURES), ["feature"])
 
 
-@query(_GROUP + "SELECT feature, n1, n2, round(group_mean, 6) + 0 AS group_mean, round(control_mean, 6) + 0 AS control_mean, round(hedges_g, 6) + 0 AS hedges_g, round(u, 6) + 0 AS u, round(z, 6) + 0 AS z FROM ef")
+def _shown(effects: DataFrame) -> DataFrame:
+    return effects.select("feature", "n1", "n2", *r6("group_mean", "control_mean", "hedges_g", "u", "z", "p_value"), "p_method")
+
+
+@query(_GROUP + _p_sql())
 def compare_to_control(spark, sf):
-    return _effects(spark, sf).select("feature", "n1", "n2", *r6("group_mean", "control_mean", "hedges_g", "u", "z"))
+    return _shown(_effects(spark, sf))
+
+
+@query(FISH + """, r AS (SELECT CAST(date AS VARCHAR) || '|' || concentration_mM || '|' || sex || '|' || feature AS feature, compound = 'MACHINERY' AS g, value FROM (
+  SELECT compound, date, concentration_mM, sex, 'f_acctbal' AS feature, f_acctbal AS value FROM fish UNION ALL SELECT compound, date, concentration_mM, sex, 'f_orders', f_orders FROM fish)
+  WHERE compound IN ('MACHINERY', 'BUILDING')),""" + _EFFECT + _p_sql())
+def cell_effects(spark, sf):
+    """Group against vehicle in every cell of date, dose and sex: mostly small samples, exact p where nothing ties."""
+    t = adapters.subjects(spark, sf).where(F.col("compound").isin("MACHINERY", VEHICLE)).withColumn("is_group", F.col("compound") == "MACHINERY")
+    long = stats.unpivot(t, ["date", "concentration_mM", "sex", "is_group"], ["f_acctbal", "f_orders"])
+    long = long.select(F.concat_ws("|", F.col("date").cast("string"), "concentration_mM", "sex", "feature").alias("feature"), "is_group", "value")
+    return _shown(stats.effects(long, ["feature"]))
 
 
 @query(_GROUP + "SELECT feature, round(hedges_g, 6) + 0 AS hedges_g, CAST(row_number() OVER (ORDER BY abs(hedges_g) DESC, feature) AS INTEGER) AS place FROM ef QUALIFY place <= 3")
@@ -415,11 +451,52 @@ def greedy_sample(spark, sf):
     return design.greedy_sample(design.candidates(t, 1, 2, 10), 6, 4, 11)
 
 
-@query()
-def threshold_search(spark, sf):
-    """Speed thresholds whose shares come closest to a target."""
+_SETS = [
+    {"freeze": 3.0, "min_freeze_s": 8.0, "erratic": 6.0, "surface_depth": 20.0, "min_dead_s": 8.0}, {"freeze": 1.0, "min_freeze_s": 2.0, "erratic": 12.0, "surface_depth": 20.0, "min_dead_s": 8.0},
+    {"freeze": 8.0, "min_freeze_s": 20.0, "erratic": 9.0, "surface_depth": 40.0, "min_dead_s": 30.0}, {"freeze": 9.0, "min_freeze_s": 2.0, "erratic": 9.0, "surface_depth": 0.0, "min_dead_s": 8.0},
+]
+_TARGETS = [("even", 0.4, 0.2, 0.3, 0.05), ("odd", 0.2, 0.4, 0.2, 0.2)]
+_KEPT = ["Controlled Swim", "Erratic Movement", "Freezing/Drift", "Surface Breach"]
+
+
+def _set_sql() -> str:
+    sets = ", ".join(f"({i}, {', '.join(f'{float(v)}::DOUBLE' for v in s.values())})" for i, s in enumerate(_SETS))
+    states = STATES[len(SPEED) :].replace("PARTITION BY video_id", "PARTITION BY sid, video_id").replace("FROM spd)", "FROM spx)")
+    for old, new in (("speed <= 3.0", "speed <= fz"), ("span >= 8.0 AS is_dead", "span >= dd AS is_dead"), ("y_from_frame_top <= 20.0", "y_from_frame_top <= dp"), ("still AND span >= 8.0 THEN", "still AND span >= fz_s THEN"), ("speed >= 6.0", "speed >= er")):
+        assert old in states
+        states = states.replace(old, new)
+    q = ", ".join(f"('{g}', {', '.join(f'{x / sum(qs)}::DOUBLE' for x in qs)})" for g, *qs in _TARGETS)
+    return (
+        TRACKS + SPEED + f"ps_(sid, fz, fz_s, er, dp, dd) AS (VALUES {sets}), spx AS (SELECT * FROM spd, ps_ WHERE er > fz)," + states
+        + f"""ct AS (SELECT sid, CASE WHEN CAST(substr(video_id, 3) AS INTEGER) % 2 = 0 THEN 'even' ELSE 'odd' END AS grp, count(*) AS total, count(*) FILTER (state <> 'Undetermined') AS known,
+  {", ".join(f"count(*) FILTER (state = '{k}') AS n{i}" for i, k in enumerate(_KEPT))} FROM st GROUP BY ALL),
+tg(grp, q0, q1, q2, q3) AS (VALUES {q})
+SELECT CAST(sid AS INTEGER) AS set_no, ct.grp, round(0.5 * ({" + ".join(f"abs(n{i} / (n0 + n1 + n2 + n3) - q{i})" for i in range(4))}), 6) + 0 AS tv, round(known / total, 6) + 0 AS coverage, n0 + n1 + n2 + n3 AS scored
+FROM ct JOIN tg ON tg.grp = ct.grp"""
+    )
+
+
+def _with_speed(spark, sf) -> DataFrame:
     from ethogrid.operators import kinematics
 
-    speed = kinematics.smoothed_speed(adapters.tracks(spark, sf), 24.0)
-    best, tv = calibrate.search(calibrate.threshold_objective(speed, {"still": 0.3, "middle": 0.3, "fast": 0.4}), {"freeze": (0.1, 10.0), "erratic": (0.1, 40.0)}, 12, 3)
-    return spark.createDataFrame([(round(best["freeze"], 6), round(best["erratic"], 6), round(tv, 6))], "freeze double, erratic double, tv double")
+    t = kinematics.smoothed_speed(adapters.tracks(spark, sf), 24.0)
+    return t.withColumn("grp", F.when(F.substring("video_id", 3, 10).cast("int") % 2 == 0, "even").otherwise("odd"))
+
+
+def _targets(spark) -> DataFrame:
+    return spark.createDataFrame([(g, s, float(q)) for g, *qs in _TARGETS for s, q in zip(_KEPT, qs, strict=True)], "grp string, state string, proportion double")
+
+
+@query(_set_sql())
+def parameter_scores(spark, sf):
+    """Distance from the target shares and coverage of four parameter sets in both groups, labelled in one job."""
+    return calibrate.score_sets(_with_speed(spark, sf), _targets(spark), _SETS, _KEPT).select("set_no", "grp", *r6("tv", "coverage"), "scored")
+
+
+@query()
+def threshold_search(spark, sf):
+    """The thresholds whose states, in bins, come closest to the target shares; each batch of sets is one job over all tracks."""
+    objective = calibrate.sets_objective(written(_with_speed(spark, sf), "speed"), _targets(spark), _KEPT, {"surface_depth": 20.0, "min_dead_s": 8.0}, 24.0)
+    ranges = {"freeze": (0.1, 10.0), "min_freeze_s": (0.5, 30.0), "erratic": (0.1, 40.0)}
+    best, tv = calibrate.search(objective, ranges, 8, 2, 1, ("freeze", "min_freeze_s", "erratic"), {"freeze": 3.0, "min_freeze_s": 8.0, "erratic": 6.0})
+    return spark.createDataFrame([(round(best["freeze"], 6), round(best["min_freeze_s"], 6), round(best["erratic"], 6), round(tv, 6))], "freeze double, min_freeze_s double, erratic double, tv double")

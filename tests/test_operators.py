@@ -1,5 +1,7 @@
 """Operators against plain loops, and their edge cases."""
 
+import hashlib
+import itertools
 import json
 import math
 import random
@@ -215,7 +217,7 @@ def test_effect_and_exact_p(spark):
     rows = spark.createDataFrame([("f", True, v) for v in a] + [("f", False, v) for v in b] + [("g", True, 1.0), ("g", False, 1.0), ("g", True, 1.0), ("g", False, 1.0)], "feature string, is_group boolean, value double")
     got = {r.feature: r for r in stats.effects(rows, ["feature"]).collect()}
     assert set(got) == {"f"} and got["f"].u == 12 and got["f"].hedges_g > 2
-    assert stats.exact_mann_whitney_p(12, 4, 3) == pytest.approx(2 / 35) and stats.exact_mann_whitney_p(6, 4, 3) == 1.0
+    assert got["f"].p_method == "exact" and got["f"].p_value == pytest.approx(2 / 35)
     assert math.erfc(1.3 / math.sqrt(2)) == pytest.approx(spark.range(1).select(stats.normal_tail2(F.lit(1.3))).first()[0], rel=1e-6)
 
 
@@ -225,6 +227,113 @@ def test_benjamini_hochberg(spark):
     assert {r.feature: round(r.q_value, 6) for r in got.collect()} == {"f0": 0.025, "f1": 0.05, "f2": 0.05, "f3": 0.025, "f4": 0.8}
 
 
+def test_exact_p_equals_enumeration(spark):
+    rng = random.Random(8)
+    rows, want = [], {}
+    for m, n in [(2, 2), (2, 9), (4, 3), (5, 5), (8, 8), (8, 9), (9, 9), (3, 3)]:
+        values = rng.sample(range(1000), m + n)
+        values = [v // 500 for v in values] if (m, n) == (3, 3) else values  # ties
+        name = f"{m}x{n}"
+        rows += [(name, i < m, float(v)) for i, v in enumerate(values)]
+        if min(m, n) <= 8 and (m, n) != (3, 3):
+            order = sorted(values)
+            u = sum(order.index(v) for v in values[:m]) - m * (m - 1) / 2
+            us = [sum(c) - m * (m - 1) / 2 for c in itertools.combinations(range(m + n), m)]
+            want[name] = min(1.0, 2 * sum(x >= max(u, m * n - u) for x in us) / len(us))
+    got = {r.feature: r for r in stats.effects(spark.createDataFrame(rows, "feature string, is_group boolean, value double"), ["feature"]).collect()}
+    assert {k: got[k].p_value for k in want} == pytest.approx(want)
+    assert {k for k, r in got.items() if r.p_method == "exact"} == set(want)
+
+
+def test_candidates_equal_the_slow_greedy(spark):
+    rng = random.Random(6)
+    videos = {f"v{i}": (rng.choice("ABC"), rng.choice(["train", "test", "none"]), rng.choice([10.0, 30.0])) for i in range(25)}
+    scanned = []
+    for v, (c, split, fps) in videos.items():
+        for f in sorted(rng.sample(range(4000), 40)):
+            scanned.append((v, f, fps, c, split, rng.choice([0.3, 0.5, 0.9]), rng.choice([float("nan"), None, 120.0, 100.0, 99.5, 60.0, rng.uniform(0, 180)])))
+    annotated = [(v, rng.randrange(4000)) for v in videos for _ in range(3)]
+    quotas = {"train": (9, 12), "test": (40, 3)}
+
+    taken, want = defaultdict(list), []
+    for split, both in quotas.items():
+        for reason, quota in zip(("tilted", "unsure"), both, strict=True):
+            pool = [s for s in scanned if s[4] == split and s[5] >= 0.5 and s[6] is not None and not math.isnan(s[6])]
+            pool = [s for s in pool if not any(w == s[0] and abs(g - s[1]) <= 2 * s[2] for w, g in annotated)]
+            if reason == "tilted":
+                pool = sorted((s for s in pool if s[6] >= 100), key=lambda s: (-s[6], s[0], s[1]))
+            else:
+                pool = sorted((s for s in pool if 60 <= s[6] < 100), key=lambda s: (hashlib.sha256(f"7:{split}:{s[0]}:{s[1]}".encode()).hexdigest(), s[0]))  # noqa: B023
+            queues, picked, going = defaultdict(list), 0, True
+            for s in pool:
+                queues[s[3]].append(s)
+            while going and picked < quota:
+                going = False
+                for c in sorted(queues):
+                    while queues[c] and picked < quota:
+                        s = queues[c].pop(0)
+                        if len(taken[s[0]]) < 4 and all(abs(s[1] - t) >= 20 * s[2] for t in taken[s[0]]):
+                            taken[s[0]].append(s[1])
+                            want.append((s[0], s[1], split, reason))
+                            picked, going = picked + 1, True
+                            break
+    schema = "video_id string, frame_idx int, fps double, compound string, split string, box_score double, tilt double"
+    df, seen = spark.createDataFrame(scanned, schema).repartition(3), spark.createDataFrame(annotated, "video_id string, frame_idx int")
+    got = [tuple(r)[:4] for r in design.select_candidates(df, seen, quotas, 7).collect()]
+    assert len(want) > 30 and sorted(got) == sorted(want)
+    assert design.select_candidates(df.where("false"), seen, quotas, 7).collect() == []
+
+
+def test_parameter_sets_equal_a_loop(tracks):
+    df, rows = tracks
+    names = sorted({r[0] for r in rows})
+    grp = {v: "g1" if i % 2 else "g2" for i, v in enumerate(names)}
+    with_speed = kinematics.smoothed_speed(df, 3.0).withColumn("grp", F.when(F.col("video_id").isin(*[v for v in names if grp[v] == "g1"]), "g1").otherwise("g2"))
+    kept = [CONTROLLED, FREEZING, ERRATIC, DEAD]
+    share = {"g1": [0.5, 0.25, 0.15, 0.3], "g2": [0.1, 0.2, 0.3, 0.4]}
+    spark = df.sparkSession
+    targets = spark.createDataFrame([(g, s, q) for g, qs in share.items() for s, q in zip(kept, qs, strict=True)], "grp string, state string, proportion double")
+    sets = [{"freeze": 3.0, "erratic": 6.0, "min_freeze_s": 2.0, "surface_depth": 2.0, "min_dead_s": 1.0}, {"freeze": 6.0, "erratic": 5.0}, {"freeze": 1.0, "erratic": 9.0, "min_freeze_s": 0.5, "surface_depth": 5.0}]
+    for width in (None, 2.0):
+        got = {(r.set_no, r.grp): r for r in calibrate.score_sets(with_speed, targets, sets, kept, width).collect()}
+        assert {k[0] for k in got} == {0, 2}
+        means = calibrate.mean_distance(calibrate.score_sets(with_speed, targets, sets, kept, width), 3)
+        assert means[1] == 1.0
+        for n in (0, 2):
+            p = {**calibrate.DEFAULTS, **sets[n]}
+            one = labeling.classify(with_speed, p["freeze"], p["min_freeze_s"], p["erratic"], p["surface_depth"], p["min_dead_s"])
+            one = labeling.consolidate(one, width, 0.5) if width else one
+            states = [(grp[r.video_id], r.state) for r in one.select("video_id", "state").collect()]
+            tvs = []
+            for g in sorted(set(grp.values())):
+                own = [s for v, s in states if v == g]
+                k = [s for s in own if s in kept]
+                q = [x / sum(share[g]) for x in share[g]]
+                tv = 0.5 * sum(abs(k.count(s) / len(k) - x) for s, x in zip(kept, q, strict=True)) if k else 1.0
+                r = got[n, g]
+                assert (r.tv, r.coverage, r.scored) == (pytest.approx(tv), pytest.approx(1 - own.count(UNDETERMINED) / len(own)), len(k))
+                tvs.append(tv)
+            assert means[n] == pytest.approx(sum(tvs) / len(tvs))
+    with pytest.raises(Exception, match="no target for group g2"):
+        calibrate.score_sets(with_speed, targets.where("grp = 'g1'"), sets, kept).collect()
+    with pytest.raises(ValueError, match="unknown parameters: speed"):
+        calibrate.score_sets(with_speed, targets, [{"speed": 1.0}], kept)
+    assert calibrate.score_sets(with_speed, targets, sets[1:2], kept).collect() == []
+
+
+def test_search_is_never_worse_than_its_start_and_keeps_to_ranges():
+    seen = []
+
+    def objective(batch):
+        seen.extend(batch)
+        return [abs(math.log(b["a"] / 5)) + (b["b"] - 2) ** 2 for b in batch]
+
+    start = {"a": 5.0, "b": 2.01}
+    best, score = calibrate.search(objective, {"a": (0.1, 100.0), "b": (-5.0, 5.0)}, 10, 8, 3, ("a",), start)
+    assert score <= 0.0001 + 1e-9 and all(0.1 <= b["a"] <= 100.0001 and -5 <= b["b"] <= 5 for b in seen)
+    assert seen[0] == start
+
+
 def test_greedy_sample_is_spaced(spark):
     rows = spark.createDataFrame([("v", p, "x") for p in range(50)] + [("w", 1, "x")], "video_id string, pos long, reason string")
     got = defaultdict(list)
