@@ -14,10 +14,11 @@ QUERIES: dict = {}
 ORACLE: dict = {}
 
 
-def query(sql: str):
+def query(sql: str | None = None):
     def keep(f):
         QUERIES[f.__name__] = f
-        ORACLE[f.__name__] = sql
+        if sql:
+            ORACLE[f.__name__] = sql
         return f
 
     return keep

@@ -3,18 +3,22 @@
 from __future__ import annotations
 
 import os
-import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ethogrid.operators import folds, training
+from ethogrid.operators import folds, labeling, revision, training
 from ethogrid.plans import tools
-from ethogrid.plans.behaviour import r6
+from ethogrid.plans.behaviour import IMMOBILE_FLOOR, IMMOBILE_WINDOW, MEANDER_WINDOW, r6
+from ethogrid.plans.behaviour import _every_edit as every_edit
+from ethogrid.plans.behaviour_sql import ORACLE as BEHAVIOUR_ORACLE
+from ethogrid.plans.behaviour_sql import RUNS, TRACKS
 from ethogrid.plans.subjects import FEATURES, VEHICLE
 from ethogrid.schemas import CONTROLLED, ERRATIC, FREEZING, SURFACE, UNDETERMINED
 from ethogrid.sources import adapters
-from ethogrid.streaming import live
+from ethogrid.sources.store import Store
+from ethogrid.sources.tables import new_folder
+from ethogrid.streaming import live, rolling
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -60,10 +64,47 @@ def stream_bins(spark, sf):
     base = os.path.basename(source.inputFiles()[0])
     folder = source.inputFiles()[0].rpartition("/")[0]
     rows = spark.readStream.schema(source.schema).option("pathGlobFilter", base if base == "events.parquet" else "*.parquet").parquet(folder)
-    name = f"bins_{uuid.uuid4().hex[:8]}"
-    q = live.stream_bins(_event_states(rows), "1 day").writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    out = new_folder(spark, "bins")
+    bins = live.stream_bins(_event_states(rows), "1 day")
+
+    def keep(batch: DataFrame, n: int) -> None:  # complete mode: each micro-batch holds all bins so far
+        batch.write.mode("overwrite").parquet(f"{out}/rows")
+
+    q = bins.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    return _days(spark.table(name))
+    return _days(spark.read.schema(bins.schema).parquet(f"{out}/rows"))
+
+
+@query(TRACKS + RUNS + "q AS (SELECT video_id, frame_idx, round(velocity, 6) + 0 AS velocity, velocity_valid, round(CASE WHEN dists > 1e-9 THEN turns / dists ELSE 0 END, 6) + 0 AS meander, is_immobile FROM mea) SELECT * FROM q")
+def rolling_stream(spark, sf):
+    """Velocity, meander and immobility of all tracks from a stateful stream over their rows; a last row far ahead of all moves the watermark past them."""
+    rolling.use_state_store(spark)
+    folder = new_folder(spark, "rolling")
+    t = adapters.tracks(spark, sf).select("video_id", "frame_idx", "t_sec", "x", "y", "detected")
+    t.withColumn("ts", F.timestamp_seconds(F.lit(1.7e9) + F.col("t_sec"))).write.parquet(f"{folder}/in/rows")
+    last = spark.range(1).select(F.lit("").alias("video_id"), F.lit(0).alias("frame_idx"), *[F.lit(0.0).alias(c) for c in ("t_sec", "x", "y")], F.lit(False).alias("detected"), F.timestamp_seconds(F.lit(4e9)).alias("ts"))
+    last.write.parquet(f"{folder}/in/last")
+    rows = spark.readStream.schema(spark.read.parquet(f"{folder}/in/rows").schema).option("recursiveFileLookup", True).parquet(f"{folder}/in")
+    made = rolling.stream_rolling(rows, MEANDER_WINDOW, IMMOBILE_FLOOR, IMMOBILE_WINDOW, "1 day")
+    made.writeStream.option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.schema(rolling.OUTPUT).parquet(f"{folder}/out").where("video_id <> ''")
+    return got.select("video_id", "frame_idx", *r6("velocity"), "velocity_valid", *r6("meander"), "is_immobile")
+
+
+_LIVING = "edit_no > 1"  # the edits but Dead, which no row may follow
+
+
+@query(BEHAVIOUR_ORACLE["apply_edits"].replace("JOIN ed\n", f"JOIN (SELECT * FROM ed WHERE {_LIVING}) ed\n"))
+def reviewed_store(spark, sf):
+    """All labelled tracks exported and committed, edited under revisions, rerun and read back."""
+    folder = new_folder(spark, "store")
+    store, log = Store(spark, f"{folder}/subjects"), revision.EditLog(spark, f"{folder}/log")
+    frames = adapters.labelled(spark, sf).select("video_id", "frame_idx", "t_sec", "state", "source")
+    store.export(frames, labeling.segments(frames).drop("segment"), frames.select("video_id").distinct().withColumn("review_status", F.lit("AUTO")))
+    now = store.part("frames")
+    log.submit(revision.baselines(now).withColumn("revision", F.lit(0)), every_edit(spark, sf).where(_LIVING), now)
+    revision.rerun(store, log)
+    return store.part("frames").select("video_id", "frame_idx", "state", "source")
 
 
 @query("""WITH h AS (SELECT CAST(user_id AS VARCHAR) AS video_id, epoch_us(ts) AS us, value FROM events WHERE value >= 20),
