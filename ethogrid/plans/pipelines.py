@@ -15,7 +15,7 @@ from ethogrid.plans.behaviour_sql import ORACLE as BEHAVIOUR_ORACLE
 from ethogrid.plans.behaviour_sql import RUNS, TRACKS
 from ethogrid.plans.subjects import FEATURES, VEHICLE
 from ethogrid.schemas import CONTROLLED, ERRATIC, FREEZING, SURFACE, UNDETERMINED
-from ethogrid.sources import adapters
+from ethogrid.sources import adapters, track_files
 from ethogrid.sources.store import Store
 from ethogrid.sources.tables import new_folder
 from ethogrid.streaming import live, rolling
@@ -154,3 +154,12 @@ def tool_answers(spark, sf):
         ("feature_by_compound", {"feature": "f_orders"}), ("subject_profile", {"video_id": "F_000007"}), ("audit_facts", {}), ("no_such_tool", {}),
     ]
     return spark.createDataFrame([(n, json.dumps(tools.call(data, n, a), sort_keys=True)) for n, a in asked], "tool string, answer string")
+
+
+@query(TRACKS + "q AS (SELECT video_id, frame_idx, round(t_sec, 6) + 0 AS t_sec, round(x, 6) + 0 AS x, orientation_deg, detected FROM tracks WHERE t_sec >= 10 AND t_sec < 400 AND frame_idx % 2 = 0) SELECT * FROM q")
+def track_file_window(spark, sf):
+    """All tracks written as a file a subject and read back by the data source: every second row between two times, which the readers cut."""
+    folder = new_folder(spark, "tracks")
+    track_files.write(adapters.tracks(spark, sf), folder).write.format("noop").mode("overwrite").save()
+    got = track_files.read(spark, folder, stride=2).where((F.col("t_sec") >= 10) & (F.col("t_sec") < 400))
+    return got.select("video_id", "frame_idx", *r6("t_sec", "x"), "orientation_deg", "detected")
