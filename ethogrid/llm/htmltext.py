@@ -44,9 +44,27 @@ _STOP = re.compile(r"[<>\"']")
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 
+class Paths:
+    """Numbers of container paths: 0 is outside of all, each other one a container's name within another path. So a token carries one number however deep it stands."""
+
+    def __init__(self):
+        self.numbers: dict[tuple[int, str], int] = {}
+        self.steps: list[tuple[int, str]] = [(0, "")]
+
+    def within(self, outer: int, name: str) -> int:
+        n = self.numbers.get((outer, name))
+        if n is None:
+            n = self.numbers[outer, name] = len(self.steps)
+            self.steps.append((outer, name))
+        return n
+
+
+PATHS = Paths()  # where a caller names none
+
+
 @dataclass
 class Token:
-    """A tag, or a text node (``tag`` empty). ``key`` tells tokens apart: their containers, and the tag with class and id or the text."""
+    """A tag, or a text node (``tag`` empty). ``key`` tells tokens apart: the number of their path, and the tag with class and id or the text."""
 
     tag: str
     closing: bool
@@ -54,11 +72,11 @@ class Token:
     dropped: bool  # inside an element that never holds main text
     main: bool  # inside an article or main element
     text: str = ""
-    path: tuple = field(default=(), repr=False)
+    path: int = 0
     heading: bool = False  # inside h1 to h6
 
 
-NOWHERE = ("", "", False, False)
+NOWHERE = ("", "", False, False, 0)
 
 
 def markup(page: str):
@@ -117,16 +135,17 @@ def markup(page: str):
         yield a, at, tag, closing, attributes
 
 
-def tokens(page: str | None) -> list[Token]:
-    """Tags and text nodes of a page in order; comments and the contents of raw elements are left out."""
+def tokens(page: str | None, paths: Paths = PATHS) -> list[Token]:
+    """Tags and text nodes of a page in order; comments and the contents of raw elements are left out. Pages whose tokens are compared share ``paths``."""
     out: list[Token] = []
-    stack: list[tuple[str, str, bool, bool]] = []  # (tag, name with class, id and role, dropped, main)
+    stack: list[tuple[str, str, bool, bool, int]] = []  # (tag, name with class, id and role, dropped, main, path within)
+    open_ = Counter()  # of the stack's tags
     at, page, heading = 0, page or "", ""
-    path: tuple = ()
+    path = 0
 
     def text(t: str) -> None:
         if t:
-            _, _, dropped, main = stack[-1] if stack else NOWHERE
+            _, _, dropped, main, _ = stack[-1] if stack else NOWHERE
             out.append(Token("", False, (path, "", " ".join(t.split())), dropped, main, t, path, bool(heading)))
 
     for begin, end, tag, closing, attributes in markup(page):
@@ -135,7 +154,7 @@ def tokens(page: str | None) -> list[Token]:
         if not tag or (tag in RAW and not closing):
             continue
         if tag == "xmp" and not closing:
-            out.append(Token(tag, False, (path, "<", tag), *(stack[-1] if stack else NOWHERE)[2:], "", path))
+            out.append(Token(tag, False, (path, "<", tag), *(stack[-1] if stack else NOWHERE)[2:4], "", path))
             text(attributes)
             closing = True
         if tag in HEADINGS:
@@ -149,17 +168,19 @@ def tokens(page: str | None) -> list[Token]:
             up = stack[-1] if stack else NOWHERE
             dropped, main, _ = inside(up[2], up[3], name)
         if tag in CONTAINERS and closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    name = stack[i][1]
-                    del stack[i:]
+            while open_[tag]:
+                inner = stack.pop()
+                open_[inner[0]] -= 1
+                if inner[0] == tag:
+                    name = inner[1]
                     break
-            path = tuple(x[1] for x in stack)
+            path = stack[-1][4] if stack else 0
         top = stack[-1] if stack else NOWHERE
         out.append(Token(tag, closing, (path, "/" if closing else "<", name), top[2] or dropped, top[3] or main, "", path))
         if tag in CONTAINERS and not closing:
-            stack.append((tag, name, dropped, main))
-            path = tuple(x[1] for x in stack)
+            path = paths.within(path, name)
+            stack.append((tag, name, dropped, main, path))
+            open_[tag] += 1
     text(_html.unescape(page[at:]))
     return by_block(out)
 
@@ -192,34 +213,41 @@ def by_block(page: list[Token]) -> list[Token]:
 class Template:
     """Keys of the tokens in valid equivalence classes, and how the classes nest: class -> class whose slot holds it.
 
-    ``shared`` has the keys that more than one page shows to be template: a page alone shows nothing. ``marks`` has the opening tags of
-    containers that say what a slot holds: those that two pages have, or the page that is alone.
+    ``shared`` has the keys that half of the pages (two at least) show to be template: a page alone shows nothing. Containers say what a slot holds only where their opening tags are tokens of a
+    valid class, or where they lie in a slot of such a one; without classes nothing is labelled.
     """
 
     keys: set
     classes: list
     parent: dict
     shared: set = field(default_factory=set)
-    marks: set = field(default_factory=set)
-
-    def slot(self, path: tuple) -> tuple[bool, bool, bool]:
-        """(dropped, main, named) of the slot in containers ``path``, as far as the template knows them."""
-        dropped = main = named = False
-        for i, name in enumerate(path):
-            key = (path[:i], "<", name)
-            tag = name.split("|", 1)[0]
-            if key in self.marks or (self.keys and tag in DROPPED):
+    paths: Paths = field(default_factory=lambda: PATHS, repr=False)
+    known: dict = field(default_factory=lambda: {0: (False, False, False, False)}, repr=False)
+
+    def slot(self, path: int) -> tuple[bool, bool, bool, bool]:
+        """(dropped, main, named, within) of the slot in the containers of ``path``; within: some of them is the template's. Each path is looked at once."""
+        todo = []
+        while path not in self.known:
+            todo.append(path)
+            path = self.paths.steps[path][0]
+        for path in reversed(todo):
+            outer, name = self.paths.steps[path]
+            dropped, main, named, within = self.known[outer]
+            key = (outer, "<", name)
+            own = key in self.keys
+            if own or (within and name.split("|", 1)[0] in DROPPED):
                 dropped, main, here = inside(dropped, main, name)
                 named = named or (here and key in self.shared)
-        return dropped, main, named
+            self.known[path] = dropped, main, named, within or own
+        return self.known[path]
 
 
-def deduce(pages: list[list[Token]], support: float = SUPPORT, least: int = LEAST_SIZE) -> Template:
+def deduce(pages: list[list[Token]], support: float = SUPPORT, least: int = LEAST_SIZE, paths: Paths = PATHS) -> Template:
     """Template of pages of one host.
 
     Tokens with one occurrence vector (how often each page has them) form an equivalence class. A class is valid if at least
-    ``least`` tokens share it, ``support`` of the pages (two at least) hold it, and its tokens come in one order on every page, round
-    after round. A class lies in the slot of another if, on the first page with both, all its tokens fall between two neighbouring
+    ``least`` tokens share it, enough pages hold it, and its tokens come in one order on every page, round after round; where they don't, the two tags of an element are a class of their own.
+    Two pages are enough for tags, which nobody writes twice by chance with all their containers; texts must stand on ``support`` of the pages. A class lies in the slot of another if, on the first page with both, all its tokens fall between two neighbouring
     tokens of one round of the other; a class that overlaps another without nesting is dropped, the larger stays.
     Inside articles a block of text is a template token too, if ``MAIN_PAGES`` pages at least hold it: what two pages say may be a quotation.
     """
@@ -231,7 +259,8 @@ def deduce(pages: list[list[Token]], support: float = SUPPORT, least: int = LEAS
             vectors.setdefault(key, {})[i] = c
     groups: dict[tuple, list] = {}
     for key, v in vectors.items():
-        if len(v) >= max(MAIN_PAGES if key in quoted else 2 if n > 1 else 1, support * n) and (n > 1 or key[1]):
+        enough = (2 if n > 1 else 1) if key[1] else max(MAIN_PAGES if key in quoted else 2, support * n)
+        if len(v) >= enough:
             groups.setdefault(tuple(sorted(v.items())), []).append(key)
     found = []
     for vector, keys in groups.items():
@@ -277,8 +306,7 @@ def deduce(pages: list[list[Token]], support: float = SUPPORT, least: int = LEAS
             kept.append(keys)
             spans.append((page, mine))
     flat = {k for keys in kept for k in keys}
-    opened = Counter(k for page in pages for k in {t.key for t in page if t.key[1] == "<" and t.tag in CONTAINERS})
-    return Template(flat, kept, parent, flat if n > 1 else set(), {k for k, c in opened.items() if c > 1 or n == 1 or k in flat})
+    return Template(flat, kept, parent, {k for k in flat if len(vectors[k]) >= max(2, support * n)}, paths)
 
 
 def main_text(page: list[Token], template: Template) -> str:
@@ -313,8 +341,9 @@ def unlike(pages: list[list[Token]]) -> list[list[Token]]:
 
 def extract_group(pages: list[str | None]) -> list[str]:
     """Main text of each page; the template is deduced from what is distinct among them, in an order that does not depend on theirs."""
-    parsed = {p: tokens(p) for p in sorted({p or "" for p in pages})}
-    template = deduce(unlike(list(parsed.values())))
+    paths = Paths()
+    parsed = {p: tokens(p, paths) for p in sorted({p or "" for p in pages})}
+    template = deduce(unlike(list(parsed.values())), paths=paths)
     texts = {p: main_text(x, template) for p, x in parsed.items()}
     return [texts[p or ""] for p in pages]
 

@@ -181,6 +181,35 @@ def test_emptied_template_gives_other_texts(spark):
             assert bare != text and len(bare) > len(text)
 
 
+def test_only_containers_of_valid_classes_label_slots(spark):
+    """Without the classes' tags nothing is dropped by name, whatever elements and names the pages have; without their texts, texts of the template stay."""
+    by_host = defaultdict(list)
+    for r in spark.read.parquet(f"{TABLES}/pages.parquet").collect():
+        by_host[re.sub(r"^\w+://([^/:]*).*", r"\1", r.url)].append(r.html)
+    pages = max(by_host.values(), key=len)
+    parsed = [H.tokens(p) for p in pages]
+    full = H.deduce(H.unlike(parsed))
+    assert any(t.tag == "nav" for t in parsed[0]) or any(t.tag == "footer" for t in parsed[0])
+    texts = H.Template({k for k in full.keys if not k[1]}, [], {})
+    for page in parsed:
+        assert "".join(H.main_text(page, full).split()) in "".join(H.main_text(page, texts).split()) or len(H.main_text(page, texts)) > len(H.main_text(page, full))
+        assert all(H.Template(set(), [], {}).slot(t.path) == (False, False, False, False) for t in page)
+    lone = "<html><body><p>Text of it</p><div class='odd'><nav>Home</nav></div></body></html>"
+    other = [f"<html><body><p>Story {i}</p></body></html>" for i in range(3)]
+    assert H.extract_group([lone, *other])[0] == "Text of it"  # lies in the template's body, so its nav is one
+    assert H.main_text(H.tokens(lone), H.Template(set(), [], {})) == "Text of it\nHome"
+
+
+def test_deeply_nested_containers_cost_in_proportion():
+    took = []
+    for n in (20_000, 80_000):
+        pages = ["<div class=a>" * n + f"deep {i}" + "</div>" * n for i in range(2)]
+        began = time.perf_counter()
+        assert H.extract_group(pages) == ["deep 0", "deep 1"]
+        took.append(time.perf_counter() - began)
+    assert took[1] < 10 * took[0] + 1
+
+
 def test_pages_without_telling_names():
     pages = [f"<html><body><div class='q1'><p>Site name</p><ul><li>Home</ul></div><div class='q2'><p>Story {i}, part <b>{i}</b></p><p>More {i}</p></div><p>All rights</p></body></html>" for i in range(5)]
     assert H.extract_group(pages) == [f"Story {i}, part {i}\nMore {i}" for i in range(5)]
@@ -196,7 +225,7 @@ def slow_template(pages):
     for v in {tuple(v) for v in vector.values()}:
         held = sum(c > 0 for c in v)
         quoted = {t.key for page in pages for t in page if t.main and not t.tag and t.text.strip()}
-        mine = [k for k, w in vector.items() if tuple(w) == v and held >= max(3 if k in quoted else 2, len(pages) / 2)]
+        mine = [k for k, w in vector.items() if tuple(w) == v and held >= (2 if k[1] else max(3 if k in quoted else 2, len(pages) / 2))]
         if len(mine) < 2:
             continue
         seqs = [[t.key for t in page if t.key in set(mine)] for page in pages]
