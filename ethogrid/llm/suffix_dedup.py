@@ -134,10 +134,10 @@ def _ranges(begins: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts - begins, counts)
 
 
-def refine(data: np.ndarray, begins: np.ndarray, widths: np.ndarray, copies: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+def refine(data: np.ndarray, begins: np.ndarray, widths: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
     """(first, last) repeated window of each region (1 << 40 and -1 if none): bucket-pointer refinement of the regions' suffixes.
 
-    Region i has the windows that start at begins[i] .. begins[i] + widths[i] and stands for ``copies[i]`` equal ones. Suffixes are bucketed
+    Region i has the windows that start at begins[i] .. begins[i] + widths[i]. Suffixes are bucketed
     by their first ``Q`` bytes, in the order of the bytes; a suffix's bucket pointer is the rank at which its bucket begins. Each pass
     sorts the suffixes of buckets that still hold several on the pointers of the suffixes as many bytes later as the depth reached, block after
     block of buckets; pointers are set anew at once, so blocks that follow, and the next pass at twice the depth, sort on refined ones. Once
@@ -188,7 +188,7 @@ def refine(data: np.ndarray, begins: np.ndarray, widths: np.ndarray, copies: np.
     new[same + 1] = False
     bucket = np.cumsum(new) - 1
     own = owner[rows]
-    hit = np.bincount(bucket, weights=copies[own])[bucket] >= 2 if len(rows) else np.zeros(0, bool)
+    hit = np.bincount(bucket)[bucket] >= 2 if len(rows) else np.zeros(0, bool)
     own, window = own[hit], (rows - begins[own])[hit]
     first, final = np.full(len(begins), 1 << 40), np.full(len(begins), -1)
     np.minimum.at(first, own, window)
@@ -197,17 +197,22 @@ def refine(data: np.ndarray, begins: np.ndarray, widths: np.ndarray, copies: np.
 
 
 def _repeated(batches):
-    """Rows of one gram come together; gives each region's first and last repeated window, counted from the region's first."""
+    """Rows (gram, region, nth, width, bytes) of one gram come together; gives each region's first and last repeated window, counted from the region's first.
+
+    A region that occurs more than once has two rows, cut from two places: its windows are repeated if both are found side by side in suffix order and their bytes agree.
+    """
     rows, size, at = [], 0, None
 
     def solve():
         widths = np.array([r[3] for r in rows])
         begins = np.cumsum(widths + LENGTH) - widths - LENGTH
-        first, last = refine(np.frombuffer(b"".join([r[4] for r in rows]), np.uint8), begins, widths, np.array([r[2] for r in rows]))
-        hit = np.flatnonzero(last >= 0)
-        return pa.RecordBatch.from_arrays(
-            [*(pa.array([rows[k][i] for k in hit.tolist()], pa.int64()) for i in range(2)), pa.array(first[hit]), pa.array(last[hit])], ["gram", "region", "first", "last"]
-        )
+        first, last = refine(np.frombuffer(b"".join([r[4] for r in rows]), np.uint8), begins, widths)
+        found: dict[tuple[int, int], tuple[int, int]] = {}
+        for k in np.flatnonzero(last >= 0).tolist():
+            a, z = found.get(rows[k][:2], (1 << 40, -1))
+            found[rows[k][:2]] = min(a, int(first[k])), max(z, int(last[k]))
+        columns = zip(*((*key, *ends) for key, ends in found.items()), strict=True) if found else [[]] * 4
+        return pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], ["gram", "region", "first", "last"])
 
     for b in batches:
         for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
@@ -222,8 +227,8 @@ def _repeated(batches):
 
 
 def region_pieces(docs: DataFrame, regions: DataFrame) -> DataFrame:
-    """(gram, region, copies, width, bytes) of ``regions`` (gram, region, copies, doc_id, crc, loc), cut from the texts of ``docs``."""
-    named = F.struct("gram", "region", "copies", "loc")
+    """(gram, region, nth, width, bytes) of ``regions`` (gram, region, nth, doc_id, crc, loc), cut from the texts of ``docs``."""
+    named = F.struct("gram", "region", "nth", "loc")
     wanted = regions.groupBy(F.col("doc_id").alias("w_id"), F.col("crc").alias("w_crc")).agg(F.collect_list(named).alias("wanted"))
     text = with_hash(docs)
 
@@ -234,17 +239,17 @@ def region_pieces(docs: DataFrame, regions: DataFrame) -> DataFrame:
             for t, wanted in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 t = _utf8(t)
                 for x in wanted:
-                    if (key := (x["gram"], x["region"])) in seen:  # rows repeated with one doc_id and text
+                    if (key := (x["gram"], x["region"], x["nth"])) in seen:  # rows repeated with one doc_id and text
                         continue
                     seen.add(key)
                     s, width = x["loc"] >> 16, x["loc"] & 255
-                    out.append((x["gram"], x["region"], x["copies"], width, t[s : s + width + LENGTH]))
+                    out.append((*key, width, t[s : s + width + LENGTH]))
             for i in range(0, len(out), 20_000):
                 part = out[i : i + 20_000]
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in part], types[k]) for k in range(5)], ["gram", "region", "copies", "width", "bytes"])
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in part], types[k]) for k in range(5)], ["gram", "region", "nth", "width", "bytes"])
 
     found = text.join(wanted, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("crc") == F.col("w_crc")))
-    return found.select("text", "wanted").mapInArrow(cut, "gram long, region long, copies long, width long, bytes binary")
+    return found.select("text", "wanted").mapInArrow(cut, "gram long, region long, nth long, width long, bytes binary")
 
 
 def repeated_windows_of_hot(pieces: DataFrame) -> DataFrame:
@@ -266,12 +271,12 @@ def repeated_windows_of_hot(pieces: DataFrame) -> DataFrame:
                 of = np.repeat(np.arange(len(widths)), widths + 1)
                 window = _ranges(np.zeros(len(widths), np.int64), widths + 1)
                 b0, b1 = (_mix((p[x + half] - p[x]) * inv[x]).view(np.int64) for x in (at, at + half))
-                cols = [part.column(k).to_numpy()[of] for k in range(3)]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*cols, window, b0, b1)], ["gram", "region", "copies", "window", "b0", "b1"])
+                cols = [part.column(k).to_numpy()[of] for k in range(2)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*cols, window, b0, b1)], ["gram", "region", "window", "b0", "b1"])
 
-    windows = written(pieces.mapInArrow(run, "gram long, region long, copies long, window long, b0 long, b1 long"), "windows")
+    windows = written(pieces.mapInArrow(run, "gram long, region long, window long, b0 long, b1 long"), "windows")
     key = ["gram", "b0", "b1"]
-    repeated = windows.groupBy(*key).agg(F.sum("copies").alias("total")).where("total > 1").select(*key)
+    repeated = windows.groupBy(*key).agg(F.count("*").alias("total")).where("total > 1").select(*key)
     return windows.join(repeated, key).groupBy("gram", "region").agg(F.min("window").alias("first"), F.max("window").alias("last"))
 
 
@@ -279,17 +284,20 @@ def repeated_intervals(docs: DataFrame) -> DataFrame:
     """(doc_id, crc, s, e): byte intervals of each text that repeated LENGTH-byte strings cover; they may overlap.
 
     Anchors chosen by content stand for the 170 or so windows around them, so equal windows meet at equal anchors and only
-    anchors, one for every 85 bytes or so, are dealt out. An anchor that occurs once drops out. Of every other the distinct regions, one for all equal ones,
-    are fetched and refined as suffixes; windows found repeated are looked up for every place that has the region.
-    Regions are told apart by two 64-bit hashes (of anchor and region).
+    anchors, one for every 85 bytes or so, are dealt out. An anchor that occurs once drops out. Of every other the distinct regions are fetched, from two places
+    where a region has more than one, and refined as suffixes: a window counts as repeated only where two places' bytes were sorted side by side and compared. What is found is looked up for every
+    place that has the region. Regions are told apart by two 64-bit hashes (of anchor and region).
     """
     spark = docs.sparkSession
     placed = written(anchor_rows(docs), "anchors")
-    spot = F.min(F.struct("doc_id", "crc", "loc")).alias("x")
-    classes = written(placed.groupBy("gram", "region").agg(F.least(F.count("*"), F.lit(2)).alias("copies"), spot).select("gram", "region", "copies", "x.*"), "classes")
+    spot = F.struct("doc_id", "crc", "loc")
+    classes = placed.groupBy("gram", "region").agg(F.least(F.count("*"), F.lit(2)).alias("copies"), F.min(spot).alias("x"), F.max(spot).alias("y"))
+    classes = written(classes.select("gram", "region", "copies", "x", F.when(F.col("copies") > 1, F.col("y")).alias("y")), "classes")
     grams = classes.groupBy("gram").agg(F.sum("copies").alias("total"), F.count("*").alias("kinds")).where("total > 1")
     grams = grams.select(F.col("gram").alias("g"), (F.col("kinds") > HOT).alias("hot"))
-    recurring = written(classes.join(grams, F.col("gram") == F.col("g")).drop("g"), "recurring")
+    spots = F.array(F.struct(F.lit(0).cast("long").alias("nth"), "x.*"), F.struct(F.lit(1).cast("long").alias("nth"), "y.*"))
+    spots = F.slice(spots, 1, F.col("copies").cast("int"))
+    recurring = written(classes.join(grams, F.col("gram") == F.col("g")).select("gram", "region", "hot", F.inline(spots)), "recurring")
     drop_written(classes)
     release(spark)
     found = region_pieces(docs, recurring.where("not hot")).repartition("gram").sortWithinPartitions("gram")

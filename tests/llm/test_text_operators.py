@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -270,21 +271,45 @@ def some_regions(seed=8):
 def test_refined_suffixes_equal_counted_windows(monkeypatch, block):
     monkeypatch.setattr(X, "BLOCK", block)
     pieces, widths = some_regions()
-    copies = np.where(np.arange(len(pieces)) % 7 == 0, 2, 1)
+    twice = np.flatnonzero(np.arange(len(pieces)) % 7 == 0)  # regions that come from two places
+    pieces, widths = pieces + [pieces[k] for k in twice], np.append(widths, widths[twice])
     seen = Counter()
-    for p, w, c in zip(pieces, widths, copies.tolist(), strict=True):
+    for p, w in zip(pieces, widths, strict=True):
         for k in range(w + 1):
-            seen[p[k : k + X.LENGTH]] += c
+            seen[p[k : k + X.LENGTH]] += 1
     want = []
     for p, w in zip(pieces, widths, strict=True):
         hit = [k for k in range(w + 1) if seen[p[k : k + X.LENGTH]] > 1]
         want.append((min(hit), max(hit)) if hit else (1 << 40, -1))
-    first, last = X.refine(np.frombuffer(b"".join(pieces), np.uint8), np.cumsum(widths + X.LENGTH) - widths - X.LENGTH, widths, copies)
+    first, last = X.refine(np.frombuffer(b"".join(pieces), np.uint8), np.cumsum(widths + X.LENGTH) - widths - X.LENGTH, widths)
     assert list(zip(first.tolist(), last.tolist(), strict=True)) == want and (last < 0).any() and (last >= 0).any()
 
 
-def test_nothing_goes_without_refinement(monkeypatch, docs):
-    monkeypatch.setattr(X, "_repeated", lambda batches: iter(()))
+def test_regions_of_one_hash_are_compared_byte_by_byte():
+    """Two places of a region whose hashes agree are repeated only if their bytes do."""
+    rng = random.Random(3)
+    a = bytes(rng.choices(b"abcdef", k=X.LENGTH + 9))
+    b = a[:50] + b"#" + a[51:]
+
+    def found(*rows):
+        batch = pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.binary() if i == 4 else pa.int64()) for i in range(5)], list("gruwb"))
+        return [tuple(c[0] for c in b.to_pydict().values()) for b in X._repeated([batch]) if b.num_rows]
+
+    assert found((1, 5, 0, 9, a), (1, 5, 1, 9, a)) == [(1, 5, 0, 9)]
+    assert found((1, 5, 0, 9, a), (1, 5, 1, 9, a[:-3] + b"###")) == [(1, 5, 0, 6)]
+    assert found((1, 5, 0, 9, a), (1, 5, 1, 9, b)) == []
+    assert found((1, 5, 0, 9, a)) == []
+
+
+def test_what_recurs_only_as_equal_regions_needs_both_places(spark, monkeypatch):
+    """Exact copies go because two places are sorted and compared: with one place of each region nothing of them goes."""
+    rng = random.Random(9)
+    text = H.sentence(rng, 200)
+    docs = H.documents(spark, [(1, text), (2, text), (3, H.sentence(rng, 100))])
+    size = len(text.encode())
+    assert sorted((r.doc_id, r.n_removed) for r in X.suffix_dedup(docs).collect()) == [(1, size), (2, size), (3, 0)]
+    whole = X.region_pieces
+    monkeypatch.setattr(X, "region_pieces", lambda d, r: whole(d, r.where("nth = 0")))
     assert all(r.n_removed == 0 for r in X.suffix_dedup(docs).collect())
 
 
