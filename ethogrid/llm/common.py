@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import gc
 import tempfile
 import uuid
@@ -76,6 +77,26 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def keeping_names(f):
+    """``f(docs, ...)`` that returns columns of ``docs``: those whose names begin like the operators' helper columns (two underscores) are called something else meanwhile."""
+
+    @functools.wraps(f)
+    def run(docs: DataFrame, *rest, **named) -> DataFrame:
+        taken, away = set(docs.columns), {}
+        for c in docs.columns:
+            if c.startswith("__"):
+                new = "held" + c
+                while new in taken:
+                    new = "held" + new
+                taken.add(new)
+                away[c] = new
+        if not away:
+            return f(docs, *rest, **named)
+        return f(docs.withColumnsRenamed(away), *rest, **named).withColumnsRenamed({new: c for c, new in away.items()})
+
+    return run
+
+
 def held_out(doc_id, modulus: int, remainder: int):
     """crc32 of the id's decimal text, modulo ``modulus``, equals ``remainder`` (false for a null id)."""
     return F.coalesce((F.crc32(doc_id.cast("string").cast("binary")) % modulus) == remainder, F.lit(False))

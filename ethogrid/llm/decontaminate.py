@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ethogrid.llm.common import drop_written, sliced, table, written
+from ethogrid.llm.common import drop_written, keeping_names, sliced, table, written
 
 WINDOW = 10
 PART_BYTES = 16 << 20  # benchmark text whose search tables (some 10 x its size) are in memory at once
@@ -231,6 +231,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, part_bytes: int = PART_
     return marked.select("doc_id", "__op5_n_words", "__op5_spans", "__op5_items").mapInArrow(close, schema)
 
 
+@keeping_names
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark window, with their columns.
 

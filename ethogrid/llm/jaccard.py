@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ethogrid.llm.common import drop_written, sliced, written
+from ethogrid.llm.common import drop_written, keeping_names, sliced, written
 from ethogrid.llm.components import connected_components
 from ethogrid.llm.simhash import BITS, MARK, STEP, _Forest, block_masks, kept_rows, majority, permuted, trie_join
 
@@ -239,6 +239,7 @@ def similar_components(docs: DataFrame) -> DataFrame:
     return rooted
 
 
+@keeping_names
 def similar_keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` with one document of each component of equal or linked texts: that with the smallest doc_id.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ethogrid.llm.common import held_out, table
+from ethogrid.llm.common import held_out, keeping_names, table
 from ethogrid.llm.subword import Model, Subwords, labelled_sample, train, with_score
 
 SAMPLE = 6000  # labelled documents that the classifier is fitted on at most
@@ -31,6 +31,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> Da
     )
 
 
+@keeping_names
 def keep_good(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> DataFrame:
     """The rows of ``docs`` that the classifier does not reject, with their columns."""
     return with_score(docs, fit_quality(docs, labels, rows), "__quality_score").where(F.col("__quality_score") >= THRESHOLD).drop("__quality_score")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ethogrid.llm.common import drop_written, table, written
+from ethogrid.llm.common import drop_written, keeping_names, table, written
 from ethogrid.llm.components import connected_components
 
 BITS = 64
@@ -296,6 +296,7 @@ def simhash_components(docs: DataFrame, budget: int = 4, shingle: int = 4, seed:
     return fps.join(named, fps.fp == named.node_fp, "left").select("doc_id", "fp", "component_id")
 
 
+@keeping_names
 def simhash_keep_one(docs: DataFrame, budget: int = 4, shingle: int = 4, seed: int = 42) -> DataFrame:
     """The rows of ``docs`` with one document of each component: that with the smallest doc_id.
 

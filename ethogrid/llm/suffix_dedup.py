@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ethogrid.llm.common import drop_written, release, sliced, table, written
+from ethogrid.llm.common import drop_written, keeping_names, release, sliced, table, written
 
 LENGTH = 200  # bytes of a repeated string
 GRAM = 32  # bytes of an anchor
@@ -342,6 +342,7 @@ def cut_out(text: str | None, spans) -> tuple[bytes, int, int]:
     return left, len(data) - len(left), runs
 
 
+@keeping_names
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with repeated strings removed from ``text`` and ``n_chars`` set anew where present.
 

@@ -8,7 +8,8 @@ from collections import Counter, defaultdict
 import xxhash
 
 # columns whose names the operators might use themselves
-CLASH = ["fp", "score", "u", "v", "root", "gram", "s", "e", "n", "loc", "crc", "y", "l_id", "value", "key", "shard", "piece", "length", "host", "first_id", "digest", "rank", "node", "kept_id"]
+CLASH = ["fp", "score", "u", "v", "root", "gram", "s", "e", "n", "loc", "crc", "y", "l_id", "value", "key", "shard", "piece", "length", "host", "first_id", "digest", "rank", "node", "kept_id",
+         "__suffix_spans", "__suffix_id", "__suffix_crc", "__kept_id", "__kept_mark", "__kept_place", "__near_dedup_mark", "__op5_id", "__op5_hash", "__op5_spans", "__quality_score"]
 
 
 def sentence(rng, n):

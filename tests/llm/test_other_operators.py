@@ -9,9 +9,11 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from ethogrid.llm import balltree as B
+from ethogrid.llm import common as C
 from ethogrid.llm import htmltext as H
 from ethogrid.llm import packing as K
 from ethogrid.llm import quality, toxicity
@@ -355,6 +357,23 @@ def test_top_k_equals_brute_force(spark, monkeypatch):
     assert B.top_k(empty, empty).collect() == []
 
 
+@pytest.mark.parametrize("shard_rows", [200_000, 50])
+def test_rows_of_one_id_are_queries_and_candidates_of_their_own(spark, monkeypatch, shard_rows):
+    rng = np.random.default_rng(6)
+    monkeypatch.setattr(B, "SHARD_ROWS", shard_rows)
+    rows = [(int(i), [float(x) for x in rng.integers(-9, 9, 4)]) for i in rng.integers(0, 120, 300)]
+    rows += [rows[0]] * 3 + [(50, [9.0, 9.0, 9.0, 9.0])] * 2 + [(50, [1.0, 0.0, 0.0, 0.0]), (50, [2.0])]
+    v = B.quantized(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)).withColumn("row", F.monotonically_increasing_id())
+    v = C.written(v, "rows")
+    got = Counter(tuple(r) for r in B.top_k(v, v.where("vec_id % 50 = 0")).collect())
+    want = Counter()
+    for k, (i, q) in enumerate(rows):
+        if i % 50 == 0:
+            best = sorted((-int(sum(256 * a * 256 * b for a, b in zip(q, c, strict=True))), j) for m, (j, c) in enumerate(rows) if m != k and len(c) == len(q))[:5]
+            want.update((i, n, j, -s) for n, (s, j) in enumerate(best, 1))
+    assert got == want and sum(r[0] == 50 for r in rows) > 3
+
+
 def test_ball_tree_opens_few_nodes_for_clear_queries():
     rng = np.random.default_rng(1)
     centers = rng.normal(size=(20, 8)) * 1000
@@ -364,7 +383,7 @@ def test_ball_tree_opens_few_nodes_for_clear_queries():
     opened = []
     real = tree.vectors
     tree.vectors = type("Spy", (), {"__getitem__": lambda self, k: opened.append(k) or real[k]})()
-    tree.search(v[:1], np.array([-np.inf]), np.array([-1]), np.arange(4000), 5)
+    tree.search(v[:1], np.array([-np.inf]), np.array([-1]), np.arange(4000), np.arange(4000), 5)
     assert len(opened) < 20
 
 
