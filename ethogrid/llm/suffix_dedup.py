@@ -148,33 +148,45 @@ def refine(data: np.ndarray, begins: np.ndarray, widths: np.ndarray, length: int
     for k in range(Q):
         grams |= data[k : len(data) - Q + 1 + k].astype(_U) << _U(8 * (Q - 1 - k))
     counts = widths + length - Q + 1
-    at = _ranges(begins, counts)
-    last = np.repeat(ends - Q, counts)  # where a suffix's region has its last q-gram
+    kind = np.int32 if len(data) < 1 << 31 else np.int64
+    at = _ranges(begins, counts).astype(kind)
+    last = np.repeat(ends - Q, counts).astype(kind)  # where a suffix's region has its last q-gram
     order = np.argsort(grams[at])
     at, last = at[order], last[order]
     heads = np.flatnonzero(np.append(True, grams[at[1:]] != grams[at[:-1]]))
     sizes = np.diff(np.append(heads, len(at)))
-    pointer = np.zeros(len(data) + 1, np.int64)  # of the suffix at each byte, from 1; 0 where a region has no more q-grams
-    pointer[at] = np.repeat(heads, sizes) + 1
+    first = np.repeat(heads + 1, sizes).astype(kind)
+    pointer = np.zeros(len(data) + 1, kind)  # of the suffix at each byte, from 1; 0 where a region has no more q-grams
+    pointer[at] = first
     open_ = np.flatnonzero(np.repeat(sizes, sizes) > 1)  # ranks in buckets of several
+    own = first[open_]  # and their pointers
     depth = Q
     while depth < length and len(open_):
-        rest, lo = [], 0
-        own = pointer[at[open_]]
+        rest, lo, after = [], 0, 2 * depth
+        while 2 * after < length:  # later passes look on from a window by their depths at most
+            after *= 2
+        slack = 2 * after - 2 * depth if 2 * depth < length else 0
+        needed = at[open_] <= last[open_] - (length - Q) + slack
+        open_, own = open_[needed], own[needed]
         while lo < len(open_):
             hi = np.searchsorted(own, own[min(lo + BLOCK, len(open_)) - 1], side="right")
-            rank = open_[lo:hi]
-            here, end, mine = at[rank], last[rank], own[lo:hi]
+            rank, mine = open_[lo:hi], own[lo:hi]
+            here, end = at[rank], last[rank]
             later = np.where(here + depth <= end, pointer[np.minimum(here + depth, len(data))], 0)
-            by = np.lexsort((later, mine))
-            at[rank], last[rank] = here[by], end[by]
-            later, mine = later[by], mine[by]
+            by = np.argsort(mine.astype(np.int64) * (len(at) + 1) + later, kind="stable")  # mine is in order already; buckets that stay whole keep their places
+            moved = np.flatnonzero(by != np.arange(len(by)))
+            at[rank[moved]], last[rank[moved]] = here[by[moved]], end[by[moved]]
+            later = later[by]
             cut = np.flatnonzero(np.append(True, (mine[1:] != mine[:-1]) | (later[1:] != later[:-1])))
             size = np.diff(np.append(cut, len(rank)))
-            pointer[at[rank]] = np.repeat(rank[cut] + 1, size)
-            rest.append(rank[np.repeat(size, size) > 1])
+            now = np.repeat(rank[cut] + 1, size).astype(kind)
+            new = np.flatnonzero(now != mine)
+            pointer[at[rank[new]]] = now[new]
+            several = np.repeat(size, size) > 1
+            rest.append((rank[several], now[several]))
             lo = hi
-        open_ = np.concatenate(rest)
+        if rest:
+            open_, own = (np.concatenate(x) for x in zip(*rest, strict=True))
         depth *= 2
     n = len(data)
     owner = np.full(n, -1)
@@ -230,14 +242,25 @@ def region_pieces(docs: DataFrame, regions: DataFrame) -> DataFrame:
     """(gram, region, nth, width, bytes) of ``regions`` (gram, region, nth, doc_id, crc, loc), cut from the texts of ``docs``."""
     named = F.struct("gram", "region", "nth", "loc")
     wanted = regions.groupBy(F.col("doc_id").alias("w_id"), F.col("crc").alias("w_crc")).agg(F.collect_list(named).alias("wanted"))
-    text = with_hash(docs)
+
+    def squeeze(batches):  # texts are shuffled compressed
+        for b in sliced(batches):
+            texts = [_utf8(t) for t in b.column(1).to_pylist()]
+            z = [len(t).to_bytes(8, "little") + (pa.compress(t, codec="zstd", asbytes=True) if t else b"") for t in texts]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(z, pa.binary()), b.column(2)], ["doc_id", "z", "crc"])
+
+    text = with_hash(docs).mapInArrow(squeeze, "doc_id long, z binary, crc long")
+
+    def whole(z: bytes) -> bytes:
+        n = int.from_bytes(z[:8], "little")
+        return pa.decompress(z[8:], decompressed_size=n, codec="zstd", asbytes=True) if n else b""
 
     def cut(batches):
         types = [pa.int64()] * 4 + [pa.binary()]
         for b in batches:
             out, seen = [], set()
-            for t, wanted in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                t = _utf8(t)
+            for z, wanted in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                t = whole(z)
                 for x in wanted:
                     if (key := (x["gram"], x["region"], x["nth"])) in seen:  # rows repeated with one doc_id and text
                         continue
@@ -249,7 +272,7 @@ def region_pieces(docs: DataFrame, regions: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in part], types[k]) for k in range(5)], ["gram", "region", "nth", "width", "bytes"])
 
     found = text.join(wanted, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("crc") == F.col("w_crc")))
-    return found.select("text", "wanted").mapInArrow(cut, "gram long, region long, nth long, width long, bytes binary")
+    return found.select("z", "wanted").mapInArrow(cut, "gram long, region long, nth long, width long, bytes binary")
 
 
 def repeated_windows_of_hot(pieces: DataFrame) -> DataFrame:
