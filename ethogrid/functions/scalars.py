@@ -179,14 +179,6 @@ def numbers_in(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(plain, F.lit(r"-?\d+(?:\.\d+)?"), 0), lambda s: s.cast("double"))
 
 
-def not_nan(c: Column) -> Column:
-    return F.when(~F.isnan(c), c)
-
-
-def log1p_counts(c: Column) -> Column:
-    return F.log1p(c)
-
-
 def hash_order(seed: int, *parts: Column) -> Column:
     """Stable order of rows: SHA-256 of ``seed:part:part``."""
     return F.sha2(F.concat_ws(":", F.lit(str(seed)), *[p.cast("string") for p in parts]), 256)

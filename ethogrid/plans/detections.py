@@ -126,3 +126,12 @@ def annotation_queue(spark, sf):
     )
     annotated = t.where("event_id % 50 = 0").select("video_id", "frame_idx")
     return design.select_candidates(scanned, annotated, {"train": (300, 150), "test": (60, 30)}, 5, gap_s=5.0)
+
+
+@query("""WITH p AS (SELECT unnest([1, 2, 3, 4]) AS i), e AS (SELECT i, vec_id % 3 AS v, embedding[2 * i - 1]::DOUBLE AS x, embedding[2 * i]::DOUBLE AS y, CASE WHEN vec_id % 5 > 0 THEN embedding[2 * i + 7]::DOUBLE END AS px, embedding[2 * i + 8]::DOUBLE AS py FROM embeddings, p)
+SELECT 'k' || i AS name, count(d) AS n, round(avg(d), 6) + 0 AS mean, round(median(d), 6) + 0 AS median FROM (SELECT i, CASE WHEN v > 0 AND px IS NOT NULL THEN sqrt((px - x) * (px - x) + (py - y) * (py - y)) END AS d FROM e) GROUP BY i""")
+def keypoint_errors(spark, sf):
+    """Pixel errors of four keypoints of every vector: components 1 to 8 are true places, 9 to 16 predicted ones."""
+    e, at = adapters.read(spark, sf, "embeddings"), lambda k: F.get("embedding", F.lit(k)).cast("double")
+    points = [F.struct(F.lit(f"k{i}").alias("name"), at(2 * i - 2).alias("x"), at(2 * i - 1).alias("y"), (F.col("vec_id") % 3).alias("v"), F.when(F.col("vec_id") % 5 > 0, at(2 * i + 6)).alias("px"), at(2 * i + 7).alias("py")) for i in range(1, 5)]
+    return detection.keypoint_errors(e.select(F.inline(F.array(*points)))).select("name", "n", *r6("mean", "median"))
