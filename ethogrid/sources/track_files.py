@@ -18,6 +18,7 @@ SCHEMA = "video_id string, frame_idx int, t_sec double, x double, y double, orie
 _NUMBERS = ("t_sec", "x", "y", "orientation_deg", "y_from_frame_top")
 _TYPES = pa.schema([("video_id", pa.string()), ("frame_idx", pa.int32()), *[(c, pa.float64()) for c in _NUMBERS], ("detected", pa.bool_())])
 _BATCH = 65_536  # rows that a reader hands over at once
+_PART, _OPEN = 8 << 20, 16 << 10  # bytes of files that a partition takes at most, one file at least; what a file counts besides its bytes
 
 
 def write(tracks: DataFrame, folder: str) -> DataFrame:
@@ -44,14 +45,14 @@ def write(tracks: DataFrame, folder: str) -> DataFrame:
     return rows.groupBy("video_id").applyInArrow(put, "video_id string, rows long")
 
 
-class _File(InputPartition):
-    def __init__(self, path: str, video_id: str):
-        super().__init__((path, video_id))
-        self.path, self.video_id = path, video_id
+class _Files(InputPartition):
+    def __init__(self, files: list[tuple[str, str]]):
+        super().__init__(files)
+        self.files = files  # (path, video_id)
 
 
 class TrackFiles(DataSource):
-    """Options: ``path``, the folder; ``stride``, read only rows whose index is a multiple of it."""
+    """Options: ``path``, the folder; ``stride``, read only rows whose index is a multiple of it; ``parts``, how many partitions to aim at where files are few."""
 
     @classmethod
     def name(cls) -> str:
@@ -61,16 +62,16 @@ class TrackFiles(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options["path"], int(self.options.get("stride", "1")))
+        return _Reader(self.options["path"], int(self.options.get("stride", "1")), int(self.options.get("parts", "1")))
 
 
 class _Reader(DataSourceReader):
-    """A partition a file. Conditions on the subject choose files; those on time and index cut rows before they leave the worker."""
+    """A partition takes several files, as a task costs more than a small file. Conditions on the subject choose files; those on time and index cut rows before they leave the worker."""
 
-    def __init__(self, path: str, stride: int):
+    def __init__(self, path: str, stride: int, parts: int = 1):
         if stride < 1:
             raise ValueError(f"stride {stride} is not positive")
-        self.path, self.stride = path, stride
+        self.path, self.stride, self.parts = path, stride, parts
         self.ids: set[str] | None = None
         self.bounds: list[tuple[str, str, float]] = []
 
@@ -91,14 +92,35 @@ class _Reader(DataSourceReader):
 
         fs, path = filesystem(self.path)
         found = fs.get_file_info(pafs.FileSelector(path, allow_not_found=True))
-        files = sorted((f.path, unquote(f.base_name[:-4])) for f in found if f.is_file and f.base_name.endswith(".npz"))
-        return [_File(p, v) for p, v in files if self.ids is None or v in self.ids] or [_File("", "")]  # Spark wants one partition at least
-
-    def read(self, part: _File) -> Iterator[pa.RecordBatch]:
-        if not part.path:
-            return
+        files = sorted((f.path, unquote(f.base_name[:-4]), f.size + _OPEN) for f in found if f.is_file and f.base_name.endswith(".npz"))
+        files = [f for f in files if self.ids is None or f[1] in self.ids]
+        most = min(_PART, sum(size for _, _, size in files) / max(self.parts, 1))
+        out: list[list[tuple[str, str]]] = []
+        held = 0
+        for p, v, size in files:
+            if not out or held + size > most:
+                out.append([])
+                held = 0
+            out[-1].append((p, v))
+            held += size
+        return [_Files(part) for part in out] or [_Files([])]  # Spark wants one partition at least
+
+    def read(self, part: _Files) -> Iterator[pa.RecordBatch]:
         fs, _ = filesystem(self.path)
-        with fs.open_input_stream(part.path) as f, np.load(io.BytesIO(f.read()), allow_pickle=False) as z:
+        kept, rows = [], 0
+        for path, video_id in part.files:
+            for batch in self._cut(fs, path, video_id):
+                if rows + len(batch) > _BATCH:
+                    yield pa.concat_batches(kept)
+                    kept, rows = [], 0
+                kept.append(batch)
+                rows += len(batch)
+        if rows:
+            yield pa.concat_batches(kept)
+
+    def _cut(self, fs, path: str, video_id: str) -> Iterator[pa.RecordBatch]:
+        """The rows of a file that are asked for."""
+        with fs.open_input_stream(path) as f, np.load(io.BytesIO(f.read()), allow_pickle=False) as z:
             data = {c: z[c] for c in z.files}
         keep = data["frame_idx"] % self.stride == 0
         compare = {">": np.greater, ">=": np.greater_equal, "<": np.less, "<=": np.less_equal, "=": np.equal}
@@ -107,7 +129,7 @@ class _Reader(DataSourceReader):
         at = np.flatnonzero(keep)
         for a in range(0, len(at), _BATCH):
             some = at[a : a + _BATCH]
-            columns = [pa.array([part.video_id] * len(some), pa.string()), pa.array(data["frame_idx"][some], pa.int32())]
+            columns = [pa.array([video_id] * len(some), pa.string()), pa.array(data["frame_idx"][some], pa.int32())]
             columns += [pa.array(data[c][some], pa.float64(), from_pandas=True) for c in _NUMBERS]  # NaN is null again
             yield pa.RecordBatch.from_arrays([*columns, pa.array(data["detected"][some], pa.bool_())], schema=_TYPES)
 
@@ -116,4 +138,4 @@ def read(spark: SparkSession, folder: str, stride: int = 1) -> DataFrame:
     """Tracks of all files below ``folder``; conditions on video_id, t_sec and frame_idx that follow are pushed to the readers."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(TrackFiles)
-    return spark.read.format("track_files").option("stride", stride).load(folder)
+    return spark.read.format("track_files").option("stride", stride).option("parts", 4 * spark.sparkContext.defaultParallelism).load(folder)

@@ -55,6 +55,14 @@ def test_an_empty_folder_gives_no_rows(spark, tmp_path):
     assert track_files.read(spark, f"file://{tmp_path}/none").collect() == []
 
 
+def test_small_files_share_partitions(spark, tmp_path):
+    many = [(f"v{k:03}", i, i * 0.5, 1.0 * k, None, None, None, True) for k in range(120) for i in range(3)]
+    track_files.write(spark.createDataFrame(many, track_files.SCHEMA), f"file://{tmp_path}").count()
+    got = track_files.read(spark, f"file://{tmp_path}").where("t_sec < 1")
+    assert got.rdd.getNumPartitions() <= 20  # not 120
+    assert sorted(map(tuple, got.collect())) == [r for r in many if r[2] < 1]
+
+
 def test_a_second_write_replaces_its_subjects_only(spark, tmp_path):
     path = f"file://{tmp_path}"
     df = spark.createDataFrame(rows(3), track_files.SCHEMA)
