@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ethogrid.functions.scalars import epoch_of
-from ethogrid.operators import artifact, folds as folding, studies, training
+from ethogrid.operators import artifact, evaluation, folds as folding, studies, training
 from ethogrid.operators.networks import Settings
 from ethogrid.plans.behaviour import r6
 from ethogrid.plans.subjects import FEATURES, FISH, VEHICLE
@@ -86,8 +86,8 @@ def baseline_predictions(spark, sf):
 def model_scores(spark, sf):
     """All four models over both schemes: scores of each repeat."""
     rows = training.as_rows(_labelled(spark, sf), FEATURES, ["sex"])
-    long = training.cross_fit(rows, _folds(spark, sf), log=[FEATURES.index("f_orders")], settings=SETTINGS, seed=1)
-    return training.scores(long, ["model", "scheme", "repeat"])
+    sums = training.cross_tally(rows, _folds(spark, sf), log=[FEATURES.index("f_orders")], settings=SETTINGS, seed=1)
+    return evaluation.tally_metrics(sums, ("model", "scheme", "repeat"))
 
 
 @query()
@@ -112,8 +112,7 @@ def ablations(spark, sf):
 def dose_models(spark, sf):
     """One dose model for each compound: raw, permuted and normalised scores side by side."""
     setup = epoch_of(F.col("date"), _SETUPS).cast("string")
-    long = studies.dose_predictions(_labelled(spark, sf), FEATURES, ["sex"], VEHICLE, ["f_orders"], ("date_only", "logistic"), 5, 2, SETTINGS, 1, setup=setup)
-    return studies.dose_summary(written(long, "doses"))
+    return studies.dose_scores(_labelled(spark, sf), FEATURES, ["sex"], VEHICLE, ["f_orders"], ("date_only", "logistic"), 5, 2, SETTINGS, 1, setup=setup)
 
 
 @query(FISH + """, e AS (SELECT *, 1 + CASE WHEN date >= '2024-01-05' THEN 1 ELSE 0 END + CASE WHEN date >= '2024-01-09' THEN 1 ELSE 0 END AS setup, ln(1 + f_orders) AS l_orders FROM fish),

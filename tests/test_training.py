@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ethogrid.operators import artifact, networks, studies, training
+from ethogrid.operators import artifact, evaluation, networks, studies, training
 from ethogrid.operators import folds as folding
 from ethogrid.operators.networks import Settings
 
@@ -398,3 +398,17 @@ def test_ablations_share_folds_and_leave_parts_out(spark, table):
     assert report["size=off", "logistic", "B"].delta == pytest.approx(mean("size=off", "logistic", "B") - mean("main", "logistic", "B"))
     assert report["no vehicle, normalised", "logistic", "B"].delta == pytest.approx(mean("no vehicle, normalised", "logistic", "B") - mean("no vehicle, raw", "logistic", "B"))
     assert report["size=off", "logistic", "B"].delta < 0  # b tells the compounds apart
+
+
+def test_tallies_give_the_scores_of_the_predictions(spark, table):
+    placed = folding.folds(table, 3, 2, 5)
+    sets = F.explode(F.array(F.lit("p"), F.lit("q"))).alias("part")
+    rows = training.as_rows(table, ["a", "b"], ["sex"]).select("*", sets).withColumn("x", F.when(F.col("part") == "q", F.array(F.lit(None).cast("double"), F.col("x")[1])).otherwise(F.col("x")))
+    by, models = ("part", "model", "scheme", "repeat"), ("majority", "date_only", "logistic")
+    sums = training.cross_tally(rows, placed, ["part"], models, (), SMALL, 5, most=60)  # folds without the key are shared by its values
+    got = {tuple(r[:4]): tuple(r)[4:] for r in evaluation.tally_metrics(sums, by).collect()}
+    long = training.cross_fit(rows, placed.select("*", sets), ["part"], models, (), SMALL, 5, most=60)
+    want = {tuple(r[:4]): tuple(r)[4:] for r in training.scores(long, list(by)).collect()}
+    assert got.keys() == want.keys() and len(got) == 24
+    assert all(got[k] == pytest.approx(want[k], abs=1e-12) for k in want)
+    assert sums.count() <= 24 * 16  # pairs of classes, however many rows
