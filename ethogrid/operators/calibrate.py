@@ -49,12 +49,21 @@ def agreeing_targets(panels: DataFrame, tolerance: float = 0.05) -> DataFrame:
 DEFAULTS = {"freeze": 3.0, "min_freeze_s": 1.0, "erratic": 6.0, "surface_depth": 0.0, "min_dead_s": float("inf")}
 
 
-def score_sets(with_speed: DataFrame, targets: DataFrame, sets: list[dict], kept: list[str], width: float | None = None, min_determined: float = 0.5) -> DataFrame:
+COPIES = 400_000  # rows of a labelling task, once a set: windows sort them in memory
+
+
+def dealt(rows: int, sets: int, least: int = 1) -> int:
+    """Tasks over which ``rows`` are dealt by subject for ``sets`` parameter sets; adaptive execution would put them together by their size before they are copied."""
+    return max(least, math.ceil(rows * sets / COPIES))
+
+
+def score_sets(with_speed: DataFrame, targets: DataFrame, sets: list[dict], kept: list[str], width: float | None = None, min_determined: float = 0.5, rows: int | None = None) -> DataFrame:
     """(set_no, grp, tv, coverage, scored): how far the states that each parameter set gives are from the target shares of each group.
 
     ``with_speed``: tracks with smoothed speed and ``grp``; ``targets``: grp, state, proportion, over which a group's shares are made to sum to one on the ``kept`` states.
     States outside ``kept`` leave shares and targets, Undetermined too; coverage is the share of rows that are not Undetermined. tv is 1 where no row or no target is kept.
-    With ``width`` the states of time bins are scored. All sets are labelled in one job: tracks are dealt by subject once, and each is copied once a set in its task.
+    With ``width`` the states of time bins are scored. All sets are labelled in one job: tracks are dealt by subject once, and each is copied once a set in its task. The number of tasks goes by
+    the number of rows (``rows``, counted if not given), so that a task's memory does not grow with them.
     A set whose erratic threshold is not above its freeze floor is not labelled and gives no row; a group without targets is an error.
     """
     full = [{**DEFAULTS, **s} for s in sets]
@@ -66,8 +75,9 @@ def score_sets(with_speed: DataFrame, targets: DataFrame, sets: list[dict], kept
     kind = "array<struct<set_no:int," + ",".join(f"p_{k}:double" for k in DEFAULTS) + ">>"
     need = ["video_id", "frame_idx", "t_sec", "detected", "y_from_frame_top", "orientation_deg", "speed", "speed_valid", "grp"]
     key = ["video_id", "set_no"]
-    rows = with_speed.select(*need).repartition("video_id").select("*", F.inline(each.cast(kind)))
-    states = labeling.classify(rows, *[F.col(f"p_{k}") for k in DEFAULTS], key=key)
+    n = dealt(with_speed.count() if rows is None else rows, len(sets), with_speed.sparkSession.sparkContext.defaultParallelism)
+    copied = with_speed.select(*need).repartition(n, "video_id").select("*", F.inline(each.cast(kind)))
+    states = labeling.classify(copied, *[F.col(f"p_{k}") for k in DEFAULTS], key=key)
     if width is not None:
         states = labeling.consolidate(states, width, min_determined, key)
     counts = [F.count_if(F.col("state") == s).alias(f"n_{i}") for i, s in enumerate(kept)]
@@ -91,8 +101,10 @@ def mean_distance(scores: DataFrame, sets: int) -> list[float]:
 def sets_objective(with_speed: DataFrame, targets: DataFrame, kept: list[str], fixed: dict | None = None, width: float | None = None) -> Callable[[list[dict]], list[float]]:
     """Objective of :func:`search`: a batch of parameter sets, with ``fixed`` ones merged in, scored in one job."""
 
+    rows = with_speed.count()
+
     def objective(batch: list[dict]) -> list[float]:
-        return mean_distance(score_sets(with_speed, targets, [{**(fixed or {}), **b} for b in batch], kept, width), len(batch))
+        return mean_distance(score_sets(with_speed, targets, [{**(fixed or {}), **b} for b in batch], kept, width, rows=rows), len(batch))
 
     return objective
 

@@ -476,11 +476,15 @@ FROM ct JOIN tg ON tg.grp = ct.grp"""
     )
 
 
-def _with_speed(spark, sf) -> DataFrame:
+def _with_speed(spark, sf, sets: int = 1) -> tuple[DataFrame, int]:
+    """Tracks with speed and group, dealt for ``sets`` parameter sets, and their number of rows."""
     from ethogrid.operators import kinematics
 
-    t = kinematics.smoothed_speed(adapters.tracks(spark, sf), 24.0)
-    return t.withColumn("grp", F.when(F.substring("video_id", 3, 10).cast("int") % 2 == 0, "even").otherwise("odd"))
+    rows = adapters.read(spark, sf, "events").count()
+    parts = calibrate.dealt(rows, sets, spark.sparkContext.defaultParallelism)
+    t = kinematics.smoothed_speed(adapters.tracks(spark, sf, parts), 24.0)
+    t = t.withColumn("grp", F.when(F.substring("video_id", 3, 10).cast("int") % 2 == 0, "even").otherwise("odd"))
+    return t, rows
 
 
 def _targets(spark) -> DataFrame:
@@ -490,13 +494,14 @@ def _targets(spark) -> DataFrame:
 @query(_set_sql())
 def parameter_scores(spark, sf):
     """Distance from the target shares and coverage of four parameter sets in both groups, labelled in one job."""
-    return calibrate.score_sets(_with_speed(spark, sf), _targets(spark), _SETS, _KEPT).select("set_no", "grp", *r6("tv", "coverage"), "scored")
+    tracks, rows = _with_speed(spark, sf, len(_SETS))
+    return calibrate.score_sets(tracks, _targets(spark), _SETS, _KEPT, rows=rows).select("set_no", "grp", *r6("tv", "coverage"), "scored")
 
 
 @query()
 def threshold_search(spark, sf):
     """The thresholds whose states, in bins, come closest to the target shares; each batch of sets is one job over all tracks."""
-    objective = calibrate.sets_objective(written(_with_speed(spark, sf), "speed"), _targets(spark), _KEPT, {"surface_depth": 20.0, "min_dead_s": 8.0}, 24.0)
+    objective = calibrate.sets_objective(written(_with_speed(spark, sf)[0], "speed"), _targets(spark), _KEPT, {"surface_depth": 20.0, "min_dead_s": 8.0}, 24.0)
     ranges = {"freeze": (0.1, 10.0), "min_freeze_s": (0.5, 30.0), "erratic": (0.1, 40.0)}
     best, tv = calibrate.search(objective, ranges, 8, 2, 1, ("freeze", "min_freeze_s", "erratic"), {"freeze": 3.0, "min_freeze_s": 8.0, "erratic": 6.0})
     return spark.createDataFrame([(round(best["freeze"], 6), round(best["min_freeze_s"], 6), round(best["erratic"], 6), round(tv, 6))], "freeze double, min_freeze_s double, erratic double, tv double")

@@ -12,10 +12,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One track for each user of ``events``; times are in hours."""
+def tracks(spark: SparkSession, sf_dir: str, parts: int | None = None) -> DataFrame:
+    """One track for each user of ``events``; times are in hours. ``parts``: number of tasks over which subjects are dealt."""
     w = Window.partitionBy("video_id").orderBy("ts", "event_id")
     e = read(spark, sf_dir, "events").withColumn("video_id", F.concat(F.lit("F_"), F.lpad(F.col("user_id").cast("string"), 6, "0")))
+    e = e if parts is None else e.repartition(parts, "video_id")
     us = F.unix_micros(F.col("ts").cast("timestamp"))
     seen = F.col("event_type") != "error"
     nth = F.row_number().over(w) - 1

@@ -511,3 +511,20 @@ def test_dates_of_numbers_take_six_digits(spark):
     cells = [(240229,), (230229,), (70809,), (0,), (-1,), (None,), (991231,), (991301,), (1111231,), (1140101,), (24010299999,)]
     got = spark.createDataFrame(cells, "n long").select(fn.parse_yymmdd(F.col("n")).cast("string")).collect()
     assert [r[0] for r in got] == ["2024-02-29", None, "2007-08-09", None, None, None, "2099-12-31", None, "2011-11-23", None, "2024-01-02"]
+
+
+def test_labelling_tasks_grow_with_rows_and_sets():
+    assert [calibrate.dealt(n, 4, 8) for n in (0, 800_000, 6_000_000, 36_000_000)] == [8, 8, 60, 360]
+    assert calibrate.dealt(6_000_000, 9, 8) == 135 and calibrate.dealt(0, 1) == 1
+
+
+def test_labelling_is_dealt_by_its_number_of_rows(spark, monkeypatch):
+    rows = [(f"v{v}", i, i * 1.0, True, 10.0, None, float(v + i % 3), True, "g") for v in range(12) for i in range(20)]
+    t = spark.createDataFrame(rows, "video_id string, frame_idx int, t_sec double, detected boolean, y_from_frame_top double, orientation_deg double, speed double, speed_valid boolean, grp string")
+    targets = spark.createDataFrame([("g", "Controlled Swim", 1.0)], "grp string, state string, proportion double")
+    sets = [{"freeze": 1.0, "erratic": 9.0}, {"freeze": 3.0, "erratic": 6.0}]
+    want = sorted(map(tuple, calibrate.score_sets(t, targets, sets, ["Controlled Swim"]).collect()))
+    monkeypatch.setattr(calibrate, "COPIES", 40)
+    got = calibrate.score_sets(t, targets, sets, ["Controlled Swim"])
+    assert "hashpartitioning(video_id" in (plan := got._jdf.queryExecution().executedPlan().toString()) and ", 12), REPARTITION_BY_NUM" in plan
+    assert sorted(map(tuple, got.collect())) == want and len(want) == 2
