@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ethogrid.functions.scalars import hash_order
@@ -81,28 +81,53 @@ def quota_round_robin(found: DataFrame, group: str, order: list, total: int) ->
     return out.orderBy("turn", group).limit(total)
 
 
-def _free_picks(found: DataFrame, gap_s: float, per_video: int, guard_s: float) -> DataFrame:
-    """Rows of ``found`` (.., kind, place) that may be picked when a video's rows are offered in the order of ``place``: at most ``per_video`` of them with those taken before, ``gap_s`` from each
-    other and from those taken, and more than ``guard_s`` from rows that are annotated already.
+def _unguarded(good: DataFrame, annotated: DataFrame, guard_s: float) -> DataFrame:
+    """Rows of ``good`` that are more than ``guard_s`` from each annotated row (video_id, frame_idx) of their video: the nearest ones before and after decide."""
+    met = good.withColumn("guard", F.lit(None).cast("long")).unionByName(annotated.select("video_id", "frame_idx", F.col("frame_idx").alias("guard")), allowMissingColumns=True)
+    w = Window.partitionBy("video_id").orderBy("frame_idx", F.col("guard").asc_nulls_last())  # an annotated row goes before the others of its frame
+    before = F.last("guard", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    after = F.expr("lead(guard) IGNORE NULLS OVER (PARTITION BY video_id ORDER BY frame_idx, guard NULLS LAST)")
+    reach = F.col("fps") * guard_s
+    met = met.withColumns({"before": before, "after": after}).where("guard IS NULL")
+    far = (F.col("before").isNull() | (F.col("frame_idx") - F.col("before") > reach)) & (F.col("after").isNull() | (F.col("after") - F.col("frame_idx") > reach))
+    return met.where(far).select(*good.columns)
 
-    Whether a row may be picked depends on its own video only, so each video goes through one small function: what it keeps is at most ``per_video`` rows and the annotated ones. kind: 0 candidate,
-    1 annotated, 2 taken before.
+
+def _first_videos(offered: DataFrame, enough: dict[str, int]) -> DataFrame:
+    """Rows of ``offered`` (.., rank) of those videos whose best row is among the ``enough[split]`` best ones of their split and compound."""
+    best = offered.groupBy("split", "compound", "video_id").agg(F.min("rank").alias("rank"))
+    place = F.row_number().over(Window.partitionBy("split", "compound").orderBy("rank"))
+    first = best.withColumn("place", place).where(F.col("place") <= max(enough.values(), default=0)).where(F.col("place") <= _by_split(enough))
+    first = first.select(F.col("video_id").alias("__v"))
+    return offered.join(first, F.col("video_id").eqNullSafe(F.col("__v")), "left_semi")
+
+
+def _by_split(numbers: dict[str, int]) -> Column:
+    out = F.lit(0)
+    for split, n in numbers.items():
+        out = F.when(F.col("split") == split, n).otherwise(out)
+    return out
+
+
+def _free_picks(found: DataFrame, gap_s: float, per_video: int) -> DataFrame:
+    """Rows of ``found`` (.., rank, kind) that may be picked when a video's rows are offered in the order of ``rank``: at most ``per_video`` of them with those taken before, ``gap_s`` from each
+    other and from those taken.
+
+    Whether a row may be picked depends on its own video only, so a fold over each video's rows keeps at most ``per_video`` of them. kind: 0 candidate, 2 taken before.
     """
+    row = F.struct("rank", *[c for c in found.columns if c != "rank"])
+    videos = found.groupBy("video_id").agg(
+        F.array_sort(F.collect_list(F.when(F.col("kind") == 0, row))).alias("rows"), F.collect_list(F.when(F.col("kind") == 2, F.col("frame_idx"))).alias("taken")
+    )
 
-    def pick(pdf):
-        guard, taken = pdf.loc[pdf["kind"] == 1, "frame_idx"].to_numpy(), pdf.loc[pdf["kind"] == 2, "frame_idx"].tolist()
-        own = pdf[pdf["kind"] == 0].sort_values("place", kind="stable")
-        rows = []
-        for i, frame, fps in zip(own.index, own["frame_idx"], own["fps"], strict=True):
-            if len(taken) >= per_video:
-                break
-            if not len(guard) or (abs(guard - frame) > guard_s * fps).all():
-                if all(abs(frame - t) >= gap_s * fps for t in taken):
-                    taken.append(frame)
-                    rows.append(i)
-        return pdf.loc[rows]
+    def free(kept: Column, r: Column) -> Column:
+        def apart(frame: Column) -> Column:
+            return F.abs(r["frame_idx"] - frame) >= r["fps"] * gap_s
 
-    return found.groupBy("video_id").applyInPandas(pick, found.schema)
+        return (F.size(kept) + F.size("taken") < per_video) & F.forall("taken", apart) & F.forall(kept, lambda k: apart(k["frame_idx"]))
+
+    picks = F.aggregate("rows", F.slice("rows", 1, 0), lambda kept, r: F.when(free(kept, r), F.concat(kept, F.array(r))).otherwise(kept))
+    return videos.select(F.inline(picks))
 
 
 def select_candidates(
@@ -115,24 +140,23 @@ def select_candidates(
     run out is passed over. A video is of one compound and split. Rows near annotated ones (video_id, frame_idx), of a low score or without a tilt are not picked; other splits aren't either.
 
     A compound's n-th pick is the n-th of its rows that may be picked, whatever the others do; so picks are found video by video, numbered within their compound, and cut at the quota.
+
+    All rows are looked at, but few videos are gone through row by row: the best row of a video without picks can always be picked, so where n are wanted, none comes from a video whose best row
+    is behind those of n such videos. Videos with tilted picks are not more than that quota; so unsure rows come from as many videos as both quotas together.
     """
     order = F.concat_ws(":", F.lit(str(seed)), "split", "video_id", F.col("frame_idx").cast("string"))
-    good = scanned.where((F.col("box_score") >= least_score) & F.col("tilt").isNotNull() & ~F.isnan("tilt") & F.col("split").isin(*quotas))
-    good = good.select("video_id", F.col("frame_idx").cast("long").alias("frame_idx"), F.col("fps").cast("double").alias("fps"), "compound", "split", F.col("tilt").cast("double").alias("tilt"), F.lit(0).alias("kind"))
-    guard = annotated.select("video_id", F.col("frame_idx").cast("long").alias("frame_idx"), F.lit(1).alias("kind")).distinct()
+    long, tilt = F.col("frame_idx").cast("long").alias("frame_idx"), F.col("tilt").cast("double")
+    wanted = (("tilted", tilt >= tilted), ("unsure", (tilt >= unsure[0]) & (tilt < unsure[1])))
+    good = scanned.where((F.col("box_score") >= least_score) & F.col("tilt").isNotNull() & ~F.isnan("tilt") & F.col("split").isin(*quotas) & (wanted[0][1] | wanted[1][1]))
+    good = good.select("video_id", long, F.col("fps").cast("double").alias("fps"), "compound", "split", tilt.alias("tilt"), F.lit(0).alias("kind"))
+    good = written(_unguarded(good, annotated.select("video_id", long), guard_s), "offered")
+    ranks = (F.struct((-F.col("tilt")).alias("a"), F.lit("").alias("b"), "video_id", "frame_idx"), F.struct(F.lit(0.0).alias("a"), F.sha2(order, 256).alias("b"), "video_id", "frame_idx"))
     taken, out = None, None
-    for n, (reason, keep, place) in enumerate((
-        ("tilted", F.col("tilt") >= tilted, F.struct((-F.col("tilt")).alias("a"), F.lit("").alias("b"), "video_id", "frame_idx")),
-        ("unsure", (F.col("tilt") >= unsure[0]) & (F.col("tilt") < unsure[1]), F.struct(F.lit(0.0).alias("a"), F.sha2(order, 256).alias("b"), "video_id", "frame_idx")),
-    )):
-        offered = good.where(keep).withColumn("rank", place)
-        offered = offered.withColumn("place", F.row_number().over(Window.partitionBy("video_id").orderBy("rank")))
-        met = offered.unionByName(guard, allowMissingColumns=True)
+    for n, ((reason, keep), rank) in enumerate(zip(wanted, ranks, strict=True)):
+        met = _first_videos(good.where(keep).withColumn("rank", rank), {split: sum(both[: n + 1]) for split, both in quotas.items()})
         met = met if taken is None else met.unionByName(taken.withColumn("kind", F.lit(2)), allowMissingColumns=True)
-        free = _free_picks(met, gap_s, per_video, guard_s)
-        quota = F.lit(0)
-        for split, both in quotas.items():
-            quota = F.when(F.col("split") == split, both[n]).otherwise(quota)
+        free = _free_picks(met, gap_s, per_video)
+        quota = _by_split({split: both[n] for split, both in quotas.items()})
         turn = F.row_number().over(Window.partitionBy("split", "compound").orderBy("rank"))
         turns = free.withColumn("turn", turn).where(F.col("turn") <= quota)  # no compound can give more
         nth = F.row_number().over(Window.partitionBy("split").orderBy("turn", "compound"))

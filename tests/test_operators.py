@@ -284,6 +284,40 @@ def test_candidates_equal_the_slow_greedy(spark):
     assert design.select_candidates(df.where("false"), seen, quotas, 7).collect() == []
 
 
+def test_few_videos_are_gone_through_for_candidates(spark, monkeypatch):
+    """Of many videos only those whose best row is among the quota's best go row by row, and the picks are those of a loop over all rows."""
+    rng = random.Random(8)
+    scanned, annotated = [], []
+    for i in range(400):
+        v, c, split, fps = f"v{i:03}", "AB"[i % 2], ["train", "test"][i // 2 % 2], rng.choice([5.0, 10.0, 30.0])
+        scanned += [(v, f, fps, c, split, 0.9, float(rng.randrange(50, 130))) for f in rng.sample(range(120), 8)]
+        annotated += [(v, rng.randrange(120)) for _ in range(rng.choice([0, 0, 1, 3]))]
+    annotated += annotated[:50]
+    quotas, taken, want, guards = {"train": (7, 9), "test": (3, 11)}, defaultdict(list), [], defaultdict(list)
+    for v, f in annotated:
+        guards[v].append(f)
+    for split, both in quotas.items():
+        for reason, quota in zip(("tilted", "unsure"), both, strict=True):
+            pool = [s for s in scanned if s[4] == split and (s[6] >= 100 if reason == "tilted" else 60 <= s[6] < 100) and all(abs(g - s[1]) > 2 * s[2] for g in guards[s[0]])]
+            pool.sort(key=lambda s: (-s[6], s[0], s[1]) if reason == "tilted" else hashlib.sha256(f"7:{s[4]}:{s[0]}:{s[1]}".encode()).hexdigest())  # noqa: B023
+            turns = defaultdict(list)
+            for s in pool:
+                if len(turns[s[3]]) < quota and len(taken[s[0]]) < 2 and all(abs(s[1] - t) >= 0.5 * s[2] for t in taken[s[0]]):
+                    taken[s[0]].append(s[1])
+                    turns[s[3]].append(s)
+            picked = sorted((n, c, s) for c, own in turns.items() for n, s in enumerate(own, 1))
+            for _, _, s in picked[quota:]:
+                taken[s[0]].remove(s[1])
+            want += [(s[0], s[1], split, reason, s[6], n) for n, _, s in picked[:quota]]
+    sizes, free = [], design._free_picks
+    monkeypatch.setattr(design, "_free_picks", lambda found, *rest: sizes.append(found.select("video_id").distinct().count()) or free(found, *rest))
+    df = spark.createDataFrame(scanned, "video_id string, frame_idx int, fps double, compound string, split string, box_score double, tilt double").repartition(3)
+    seen = spark.createDataFrame(annotated, "video_id string, frame_idx int")
+    got = [tuple(r) for r in design.select_candidates(df, seen, quotas, 7, gap_s=0.5, per_video=2).collect()]
+    assert len(want) == 30 and sorted(got) == sorted(want)
+    assert sizes[0] <= 2 * (7 + 3) and sizes[1] <= 2 * (7 + 9 + 3 + 11) + 7 + 3
+
+
 def test_parameter_sets_equal_a_loop(tracks):
     df, rows = tracks
     names = sorted({r[0] for r in rows})
