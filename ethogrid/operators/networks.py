@@ -228,11 +228,14 @@ def fit(name: str, x: np.ndarray, codes: np.ndarray, days: np.ndarray, classes:
 
 
 def predict(name: str, state: dict[str, np.ndarray], x: np.ndarray, days: np.ndarray) -> np.ndarray:
-    """Class probabilities of scaled rows. ``date_only``: those of the row's day or the nearest one (the earlier of equals), without a date those of all rows."""
+    """Class probabilities of scaled rows. ``date_only``: those of the row's day or the nearest one (the earlier of equals), without a date those of all rows.
+
+    Rows are multiplied one by one: the last bits of a product of many rows depend on how many they are, and so on how Spark deals them.
+    """
     if name == "network":
-        return softmax(forward([state[f"p{i}"] for i in range(sum(k[0] == "p" for k in state))], x)[-1])
+        return softmax(forward([state[f"p{i}"] for i in range(sum(k[0] == "p" for k in state))], np.ascontiguousarray(x)[:, None])[-1][:, 0])
     if name == "logistic":
-        return softmax(np.column_stack([x, np.ones(len(x))]) @ state["w"])
+        return softmax((np.ascontiguousarray(np.column_stack([x, np.ones(len(x))]))[:, None] @ state["w"])[:, 0])
     out = np.repeat(state["prior"][None, :], len(x), axis=0)
     if name == "date_only" and len(state["days"]):
         known = np.flatnonzero(~np.isnan(days))

@@ -268,6 +268,18 @@ def test_unknown_labels_rank_last(spark):
     assert got == {"v": ("Q", "A", 0.0, 3), "w": ("B", "A", 0.5, 2)}
 
 
+@pytest.mark.parametrize("model", ["network", "logistic"])
+def test_probabilities_do_not_depend_on_the_rows_beside(model):
+    rng = np.random.default_rng(4)
+    x, codes = rng.normal(size=(600, 9)), rng.integers(0, 4, 600)
+    state = networks.fit(model, x, codes, np.zeros(600), 4, networks.Settings(hidden=(128, 64), epochs=1), 1)
+    whole = networks.predict(model, state, x, np.zeros(600))
+    for n in [*range(1, 70), 151, 599]:
+        at = rng.permutation(600)[:n]
+        assert (networks.predict(model, state, x[at], np.zeros(n)) == whole[at]).all(), n
+    assert (networks.predict(model, state, np.asfortranarray(x), np.zeros(600)) == whole).all()
+
+
 # --- saved models ------------------------------------------------------------------------------------
 
 
