@@ -68,16 +68,24 @@ def fit_scaler(x: np.ndarray, c: np.ndarray, log: np.ndarray) -> dict[str, np.nd
     return state | {"fill": fill, "mean": wide.mean(axis=0), "sd": np.where(sd > 0, sd, 1.0)}
 
 
-def _widened(state: dict, x: np.ndarray, c: np.ndarray) -> np.ndarray:
+def logged(x: np.ndarray, log: np.ndarray) -> np.ndarray:
     x = np.array(x, np.float64)
     with np.errstate(invalid="ignore", divide="ignore"):
-        x[:, state["log"]] = np.log1p(x[:, state["log"]])
+        x[:, log] = np.log1p(x[:, log])
+    return x
+
+
+def _widened(state: dict, x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    x = logged(x, state["log"])
     flags = [(c[:, i] == level).astype(np.float64) for i, level in zip(state["of"].tolist(), state["level"].tolist(), strict=True)]
     return np.column_stack([x, *flags]) if flags else x
 
 
 def scaled(state: dict, x: np.ndarray, c: np.ndarray) -> np.ndarray:
-    wide = _widened(state, x, c)
+    return centred(state, _widened(state, x, c))
+
+
+def centred(state: dict, wide: np.ndarray) -> np.ndarray:
     return (np.where(np.isfinite(wide), wide, state["fill"]) - state["mean"]) / state["sd"]
 
 
@@ -178,6 +186,45 @@ def fit_network(x: np.ndarray, codes: np.ndarray, classes: int, s: Settings, see
     return {f"p{i}": q for i, q in enumerate(kept)} | {"epochs": np.array(epoch), "best": np.array(best)}
 
 
+def epoch_together(params: list[np.ndarray], m: list[np.ndarray], v: list[np.ndarray], t: np.ndarray, x: list[np.ndarray], codes: list[np.ndarray], weight: np.ndarray, s: Settings, rng: np.random.Generator) -> None:
+    """One epoch of several networks of one shape, each on its own rows in the order given, as :func:`fit_network` steps: arrays are stacked by network and changed in place.
+
+    ``t``: steps made so far; ``x`` and ``codes`` come by network, those with more rows first. One call of numpy serves a step of all of them.
+    """
+    steps = [-(-len(c) // s.batch) for c in codes]
+    wide, row = np.zeros((len(x), steps[0] * s.batch, x[0].shape[1])), np.zeros((len(x), steps[0] * s.batch), np.int64)
+    w = np.zeros(row.shape)  # rows that fill up a last batch weigh nothing
+    for k, (a, c) in enumerate(zip(x, codes, strict=True)):
+        wide[k, : len(c)], row[k, : len(c)], w[k, : len(c)] = a, c, weight[k, c]
+    for i in range(steps[0]):
+        n = sum(q > i for q in steps) if steps[-1] <= i else len(steps)
+        at = slice(i * s.batch, (i + 1) * s.batch)
+        seen, masks = [wide[:n, at]], []
+        for j in range(0, len(params), 2):
+            z = seen[-1] @ params[j][:n] + params[j + 1][:n, None]
+            if j + 2 < len(params):
+                masks.append((rng.random(z.shape, np.float32) >= s.dropout) / (1 - s.dropout))
+                z = np.maximum(z, 0) * masks[-1]
+            seen.append(z)
+        back = np.exp(seen[-1] - seen[-1].max(axis=2, keepdims=True))
+        back /= back.sum(axis=2, keepdims=True)
+        back -= row[:n, at, None] == np.arange(back.shape[2])
+        back *= (w[:n, at] / w[:n, at].sum(axis=1, keepdims=True))[:, :, None]
+        t[:n] += 1
+        for j in range(len(params) - 2, -1, -2):
+            a = seen[j // 2]
+            grads = a.transpose(0, 2, 1) @ back, back.sum(axis=1)
+            if j:
+                back = (back @ params[j][:n].transpose(0, 2, 1)) * (a > 0) * masks[j // 2 - 1]
+            for q, g in zip((j, j + 1), grads, strict=True):
+                own, first, second = params[q][:n], m[q][:n], v[q][:n]
+                past = t[:n].reshape(-1, *[1] * (g.ndim - 1))
+                own *= 1 - s.rate * s.decay
+                first += 0.1 * (g - first)
+                second += 0.001 * (g * g - second)
+                own -= s.rate * (first / (1 - 0.9**past)) / (np.sqrt(second / (1 - 0.999**past)) + 1e-8)
+
+
 # --- the models by name ------------------------------------------------------------------------------
 
 

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ethogrid.operators import artifact, evaluation, networks, studies, training
+from ethogrid.operators import artifact, evaluation, networks, passes, studies, training
 from ethogrid.operators import folds as folding
 from ethogrid.operators.networks import Settings
 
@@ -262,6 +262,116 @@ def test_training_rows_are_bounded(spark):
     assert {(r.model, bytes(r.state)) for r in again} == {(r.model, bytes(r.state)) for r in got}
 
 
+@pytest.fixture
+def by_passes(monkeypatch):
+    """Runs of a few rows are large ones."""
+    monkeypatch.setattr(training, "ALONE", 20)
+    monkeypatch.setattr(passes, "SLICE", 17)
+
+
+def test_large_runs_are_fitted_on_all_rows(table, by_passes):
+    """Baselines and logistic regression by passes over slices equal a loop over all training rows, for values that repeat, lie below 0, are missing or the same everywhere."""
+    placed = folding.folds(table, 3, 2, 2)
+    t = table.withColumns({"d": F.when(F.col("b") > 0, F.round("b")), "e": F.lit(None).cast("double"), "f": F.lit(-3.0)})
+    rows = training.as_rows(t, ["a", "b", "d", "e", "f"], ["sex", "model"])
+    models = ("majority", "date_only", "logistic")
+    long = training.cross_fit(rows, placed, models=models, log=[0], settings=SMALL, seed=5)
+    got = {tuple(r[:-1]): r.p for r in long.collect()}
+    want = loop([r.asDict() for r in rows.collect()], [tuple(r) for r in placed.collect()], [], models, [0], SMALL, 5)
+    assert got.keys() == want.keys() and len(got) > 50
+    assert max(abs(got[k] - want[k]) for k in got if k[3] != "logistic") < 1e-12
+    assert max(abs(got[k] - want[k]) for k in got) < 1e-4  # both stop at the same small slope
+    one = training.fitted(rows.withColumn("run", F.lit(0)), training.tasks_of(table.sparkSession.range(1).select(F.lit(0).alias("run")), ("majority", "logistic"), 1), ["run"], [0]).collect()
+    assert [r.rows for r in one] == [151, 151]
+    x = np.array([[np.nan if v is None else v for v in r.x] for r in rows.collect()], float)
+    scaler, want = {k[2:]: v for k, v in networks.unpacked(one[0].state).items() if k[0] == "s"}, networks.fit_scaler(x, np.array([r.c for r in rows.collect()]), np.array([0]))
+    assert scaler.keys() == want.keys() and (scaler["fill"] == want["fill"]).all() and (scaler["level"] == want["level"]).all()
+    assert scaler["mean"] == pytest.approx(want["mean"], abs=1e-12) and scaler["sd"] == pytest.approx(want["sd"], abs=1e-12)
+
+
+def many_rows(spark, n):
+    """More than a task's rows, of which about 1 in 9 belongs to label 1."""
+    wave = F.sin(F.col("id") * 1.0)
+    return spark.range(n).select(F.lit(0).alias("run"), F.col("id").cast("string").alias("video_id"), (F.col("id") % 9 == 0).cast("int").cast("string").alias("label"), (F.col("id") % 3).cast("double").alias("day"),
+                                 F.array(wave, wave + (F.col("id") % 9 == 0).cast("int")).alias("x"), F.array().cast("array<string>").alias("c"))
+
+
+def test_no_training_row_is_left_out(spark):
+    rows = many_rows(spark, 120_000)
+    tasks = training.tasks_of(spark.range(1).select(F.lit(0).alias("run")), ("majority", "date_only", "logistic"), 1)
+    got = {r.model: r for r in training.fitted(rows, tasks, ["run"]).collect()}
+    assert {r.rows for r in got.values()} == {120_000} and len(got) == 3
+    assert (networks.unpacked(got["majority"].state)["m_prior"] * 120_000).round(6).tolist() == [106_666, 13_334]
+    x = np.array([r.x for r in rows.select("x").collect()])
+    assert networks.unpacked(got["logistic"].state)["s_fill"].tolist() == np.median(x, axis=0).tolist()
+
+
+def test_networks_step_together_as_one_by_one():
+    rng = np.random.default_rng(6)
+    s = Settings(hidden=(7, 5), dropout=0.0, rate=0.01, batch=8)
+    x, codes, weight = [rng.normal(size=(n, 4)) for n in (43, 40, 21)], [rng.integers(0, 3, n) for n in (43, 40, 21)], rng.uniform(0.5, 2, (3, 3))
+    one = [networks.layers(4, 3, s.hidden, np.random.default_rng(k)) for k in range(3)]
+    params = [np.stack(q) for q in zip(*one, strict=True)]
+    m, v, t = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], np.zeros(3, np.int64)
+    for _ in range(2):
+        networks.epoch_together(params, m, v, t, x, codes, weight, s, rng)
+    for k in range(3):
+        opt = networks.AdamW(one[k], s.rate, s.decay)
+        for at in 2 * list(range(0, len(codes[k]), s.batch)):
+            rows = slice(at, at + s.batch)
+            opt.step(one[k], networks.loss_gradient(one[k], x[k][rows], codes[k][rows], weight[k])[1])
+        assert opt.t == t[k] and all(np.abs(p[k] - q).max() < 1e-12 for p, q in zip(params, one[k], strict=True))
+
+
+def test_large_networks_train_on_all_rows(spark, by_passes):
+    """A network dealt over slices learns what a line cannot, the same whenever it is fitted, and its rows are all seen."""
+    rng = np.random.default_rng(5)
+    x = rng.uniform(-1, 1, (400, 2))
+    data = [(0, f"v{i}", str(int(a * b > 0)) if i else "once", 1.0, [float(a), float(b)], []) for i, (a, b) in enumerate(x)]
+    rows = spark.createDataFrame(data, "run int, video_id string, label string, day double, x array<double>, c array<string>")
+    tasks = training.tasks_of(spark.range(1).select(F.lit(0).alias("run")), ("network",), 2)
+    s = Settings(hidden=(24,), dropout=0.0, rate=0.05, epochs=20, patience=20, batch=4)
+    got = training.fitted(rows, tasks, ["run"], settings=s, seed=1).collect()
+    assert [r.rows for r in got] == [400, 400] and {tuple(r.classes) for r in got} == {("0", "1", "once")}
+    for r in got:
+        state = networks.unpacked(r.state)
+        p = training.probabilities(state, "network", x, np.zeros((400, 0), dtype=str), np.zeros(400))
+        assert (p.argmax(axis=1)[1:] == (x[:, 0] * x[:, 1] > 0)[1:]).mean() > 0.9
+        assert state["m_best"] <= state["m_epochs"] == 20
+    assert any((networks.unpacked(got[0].state)[f"m_p{i}"] != networks.unpacked(got[1].state)[f"m_p{i}"]).any() for i in range(4))
+    short = Settings(hidden=(24,), rate=0.05, epochs=2, patience=2, batch=4)
+    one, two = ({(r.member, bytes(r.state)) for r in training.fitted(rows.repartition(n), tasks, ["run"], settings=short, seed=1).collect()} for n in (3, 5))
+    assert one == two
+
+
+def test_large_runs_hold_out_rows_of_each_class():
+    settings, h = Settings(holdout=0.2), np.random.default_rng(1).integers(-(1 << 62), 1 << 62, 1000)
+    codes = np.array([0] * 900 + [1] * 96 + [2] * 2 + [3] + [4])
+    h[997] = h[996]  # one id twice: neither copy is held out
+    state = {"classes": np.array(list("abcde")), "seed": 9, "edges": None, "epoch": 0}
+
+    class Half:
+        def __init__(self, at):
+            self.at, self.h, self.part = at, h, 1
+
+        def rows_of(self, *_):
+            return self.at
+
+        def classes(self, _, at):
+            return codes[at]
+
+    parts = [next(passes._epoch(settings, Half(np.arange(i, 1000, 3)), [("A", 0, 0, "network", 0, state)]))[-1] for i in range(3)]
+    t = passes._averaged(settings, [(0, False, state)], parts)[0][1]
+    place, (lo, hi) = passes._place(h, 9), t["edges"]
+    held = ((place < 0.2) & (place < hi[codes])) | (place <= lo[codes])
+    n = np.bincount(codes[held], minlength=5)
+    assert 130 < n[0] < 230 and 8 < n[1] < 32 and n[2:].tolist() == [0, 0, 0]
+    own = np.bincount(codes[~held], minlength=5)
+    assert t["weight"] == pytest.approx(own.sum() / (5 * own))
+    two = passes._averaged(settings, [(0, False, {**state, "edges": None})], [[(2, 2, 0.01, 1, 0.1, 1)], [(3, 0, 0.6, 1, 0.9, 1)]])[0][1]
+    assert two["edges"][0].tolist() == [0.01] and two["edges"][1].tolist() == [0.9]
+
+
 def test_unknown_labels_rank_last(spark):
     long = spark.createDataFrame([(1, "v", "Q", "A", 0.7), (1, "v", "Q", "B", 0.3), (1, "w", "B", "A", 0.5), (1, "w", "B", "B", 0.5)], "r int, video_id string, label string, cls string, p double")
     got = {r.video_id: tuple(r)[2:] for r in training.chosen(long, ["r"]).collect()}
