@@ -493,6 +493,19 @@ def test_dose_models_equal_a_loop_over_compounds(spark, table):
     assert cells("raw") == cells("permuted")  # shuffled within a date only
 
 
+def test_large_dose_models_equal_small_ones(table, monkeypatch):
+    """Compounds above and below the size of a task beside each other: the same predictions whichever way a compound is fitted."""
+    fit = lambda: {tuple(r[:-1]): r.p for r in studies.dose_predictions(table, ["a", "b"], ["sex"], "CTRL", ["a"], ("date_only", "logistic"), 3, 1, SMALL, 6, least=4).collect()}
+    whole = fit()
+    sizes = Counter(k[0] for k in whole if k[1:6] == ("raw", "B", 0, 0, "date_only"))
+    monkeypatch.setattr(training, "ALONE", 20)  # X has more training rows, Y in some folds fewer
+    monkeypatch.setattr(passes, "SLICE", 17)
+    got = fit()
+    assert set(sizes) == {"X", "Y"} and sizes["X"] > 20 and got.keys() == whole.keys()
+    assert max(abs(got[k] - whole[k]) for k in got if k[5] == "date_only") < 1e-12
+    assert max(abs(got[k] - whole[k]) for k in got) < 1e-4
+
+
 def test_dose_models_without_vehicle_and_without_rows(spark, table):
     rows = studies.dose_rows(table.where("compound <> 'CTRL'"), ["a"], [], "CTRL", least=4)
     assert {r.variant for r in rows.select("variant").distinct().collect()} == {"raw", "permuted"}
