@@ -52,14 +52,17 @@ def fitted(placed: DataFrame, tasks: DataFrame, keys: list[str], log: list[int],
 
 
 def _sliced(placed: DataFrame, tasks: DataFrame, keys: list[str], seed: int) -> DataFrame:
-    """(keys, __part, __h, label, day, x, c, __folds), written: rows of one slice lie together. The slice of a row goes by a hash of its id, so that the same rows give the same slices."""
+    """(keys, __part, __h, label, day, x, c, __folds), written: rows of one slice lie together. The slice of a row goes by a hash of its id, so that the same rows give the same slices.
+
+    Ranges, twice as many as slices: a file then holds one slice, where hashes would put several into one and tasks would be of unequal size.
+    """
     parts = tasks.groupBy(*keys).agg(F.ceil(F.max("__n") / SLICE).alias("__slices"))
     total = parts.agg(F.sum("__slices")).first()[0]
     rows = placed.where("label IS NOT NULL")
     rows = rows.join(parts, keys) if keys else rows.crossJoin(parts)
     h = F.xxhash64(F.lit(seed), "video_id")
     rows = rows.select(*keys, F.xxhash64(*keys, F.pmod(h, "__slices")).alias("__part"), h.alias("__h"), "label", "day", "x", "c", "__folds")
-    return written(rows.repartition(int(total), "__part").sortWithinPartitions("__part", "__h", "label"), "slices")
+    return written(rows.repartitionByRange(2 * int(total), "__part").sortWithinPartitions("__part", "__h", "label"), "slices")
 
 
 class _Slice:
